@@ -136,12 +136,16 @@ def answer_tokens(text: Column) -> Column:
     turned into a blank elsewhere, periods kept only inside numbers, number
     words as digits."""
     t = F.trim(F.regexp_replace(F.replace(F.translate(F.lower(text), ",?", ""), F.lit("'s"), F.lit(" 's")), "[\n\t]", " "))
-    commas = F.regexp_like(t, F.lit(r"[0-9](,)[0-9]"))
-    # a fold over the marks: chained CASEs would double the expression with each of them
-    out = F.aggregate(
-        F.array(*[F.lit(p) for p in ANSWER_PUNCTUATION]), t,
-        lambda acc, p: F.when(F.contains(t, F.concat(p, F.lit(" "))) | F.contains(t, F.concat(F.lit(" "), p)) | commas, F.replace(acc, p, F.lit("")))
-        .otherwise(F.replace(acc, p, F.lit(" "))))
+    # a fold over the marks whose state carries the text, so that it is made once
+    # and not again for each mark (as a lambda over its expression would)
+    start = F.struct(t.alias("out"), t.alias("t"), F.regexp_like(t, F.lit(r"[0-9](,)[0-9]")).alias("commas"))
+
+    def drop(s: Column, p: Column) -> Column:
+        beside = F.contains(s["t"], F.concat(p, F.lit(" "))) | F.contains(s["t"], F.concat(F.lit(" "), p)) | s["commas"]
+        out = F.when(beside, F.replace(s["out"], p, F.lit(""))).otherwise(F.replace(s["out"], p, F.lit(" ")))
+        return F.struct(out.alias("out"), s["t"].alias("t"), s["commas"].alias("commas"))
+
+    out = F.aggregate(F.array(*[F.lit(p) for p in ANSWER_PUNCTUATION]), start, drop, lambda s: s["out"])
     out = F.regexp_replace(out, r"(?<![0-9])\.|\.(?![0-9])", "")
     words = F.filter(F.split(F.trim(out), " +"), lambda w: ~w.isin(ARTICLES) & (w != ""))
     table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])

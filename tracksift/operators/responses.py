@@ -126,12 +126,15 @@ def apply_pipelines(df: DataFrame, responses: str, pipelines: dict[str, list[tup
 
 
 def ngram_overlap(docs: DataFrame, key: str, text: str, items: DataFrame, item_text: str, n: int = 5) -> DataFrame:
-    """Documents that share ``n`` successive words with an item: a semi join on n-grams,
-    made unique on both sides first."""
+    """Documents that share ``n`` successive words with an item: a semi join on n-grams.
+    The items' are made unique; being few, they usually end up broadcast at run
+    time, and then the documents' n-grams are never shuffled."""
 
     def grams(df: DataFrame, t: str, *keep: str) -> DataFrame:
         words = df.select(*keep, F.filter(F.split(F.lower(t), r"[^a-z0-9]+"), lambda w: w != "").alias("w")).where(F.size("w") >= n)
-        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return words.select(*keep, F.explode(F.transform(at, lambda i: F.concat_ws(" ", F.slice("w", i, n)))).alias("gram")).distinct()
+        # the generator stands between the words and their windows: a lambda over the
+        # expression of the words would split the text again for each window
+        at = words.select(*keep, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("i"))
+        return at.select(*keep, F.concat_ws(" ", F.slice("w", F.col("i"), F.lit(n))).alias("gram"))
 
-    return grams(docs, text, key).join(grams(items, item_text), "gram", "left_semi").select(key).distinct()
+    return grams(docs, text, key).join(grams(items, item_text).distinct(), "gram", "left_semi").select(key).distinct()

@@ -22,11 +22,6 @@ def collapse(df: DataFrame, keys: list[str], order: list[str], label: str) -> Da
     return df.withColumn("_keep", first | ~F.lag(label).over(w).eqNullSafe(F.col(label))).where("_keep").drop("_keep")
 
 
-def collapsed(labels: Column) -> Column:
-    """An array without adjacent repeats."""
-    return F.filter(labels, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(labels, i - 1)))
-
-
 def coded(labels: Column, alphabet: list[str]) -> Column:
     """One character per label, so the built-in edit distance counts labels;
     labels outside the alphabet share ``~``."""
@@ -34,23 +29,23 @@ def coded(labels: Column, alphabet: list[str]) -> Column:
     return F.array_join(F.transform(labels, lambda x: F.coalesce(F.try_element_at(code, x), F.lit("~"))), "")
 
 
-def edit_scores(pred: Column, ref: Column, alphabet: list[str]) -> list[Column]:
-    """distance, edit_score (0 to 100, 100 if both are empty), action_error_rate
-    (0 for an empty reference) and relative counting error of two label arrays."""
-    p, r = collapsed(pred), collapsed(ref)
-    d = F.levenshtein(coded(p, alphabet), coded(r, alphabet))
-    longest = F.greatest(F.size(p), F.size(r))
-    off = sum((F.abs(count_of(p, a) - count_of(r, a)) for a in alphabet), F.lit(0))
-    return [
-        d.cast("bigint").alias("distance"),
-        F.when(longest == 0, 100.0).otherwise((1.0 - d / longest) * 100.0).alias("edit_score"),
-        F.when(F.size(r) == 0, 0.0).otherwise(d / F.size(r)).alias("action_error_rate"),
-        F.when(F.size(r) == 0, 0.0).otherwise(off / F.size(r)).alias("rce"),
-    ]
+def edit_scores(df: DataFrame, pred: str, ref: str, alphabet: list[str]) -> DataFrame:
+    """``df`` with n_pred, n_ref, distance, edit_score (0 to 100, 100 if both are
+    empty), action_error_rate (0 for an empty reference) and rce (relative
+    counting error) of two label arrays, both without adjacent repeats.
 
-
-def count_of(labels: Column, label: str) -> Column:
-    return F.size(F.filter(labels, lambda x: x == label))
+    Labels become characters once; repeats are then dropped, counted and
+    compared on the strings.
+    """
+    one = lambda c: F.regexp_replace(coded(F.col(c), alphabet), r"(.)\1+", "$1")
+    rows = df.withColumn("_p", one(pred)).withColumn("_r", one(ref))
+    rows = rows.withColumn("n_pred", F.length("_p").cast("bigint")).withColumn("n_ref", F.length("_r").cast("bigint")).withColumn("_d", F.levenshtein("_p", "_r").cast("bigint"))
+    count = lambda c, i: F.length(c) - F.length(F.translate(F.col(c), chr(ord("A") + i), ""))
+    off = sum((F.abs(count("_p", i) - count("_r", i)) for i in range(len(alphabet))), F.lit(0))
+    longest = F.greatest("n_pred", "n_ref")
+    return (rows.withColumn("edit_score", F.when(longest == 0, 100.0).otherwise((1.0 - F.col("_d") / longest) * 100.0))
+            .withColumn("action_error_rate", F.when(F.col("n_ref") == 0, 0.0).otherwise(F.col("_d") / F.col("n_ref")))
+            .withColumn("rce", F.when(F.col("n_ref") == 0, 0.0).otherwise(off / F.col("n_ref"))).withColumn("distance", F.col("_d")).drop("_p", "_r", "_d"))
 
 
 def encode_track(labels: Column, times: Column) -> Column:

@@ -48,8 +48,8 @@ def seq_edit_score(spark, sf_dir):
     item = F.struct("t", "event_id", "event_type")
     arrays = events(spark, sf_dir).groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.when(late, item))).alias("p"), F.array_sort(F.collect_list(F.when(~late, item))).alias("r"))
-    pred, ref = F.transform("p", lambda x: x["event_type"]), F.transform("r", lambda x: x["event_type"])
-    scored = arrays.select("user_id", F.size(S.collapsed(pred)).cast("bigint").alias("n_pred"), F.size(S.collapsed(ref)).cast("bigint").alias("n_ref"), *S.edit_scores(pred, ref, LABELS))
+    halves = arrays.select("user_id", F.transform("p", lambda x: x["event_type"]).alias("p"), F.transform("r", lambda x: x["event_type"]).alias("r"))
+    scored = S.edit_scores(halves, "p", "r", LABELS)
     return scored.select("user_id", "n_pred", "n_ref", "distance", *[F.round(c, 6).alias(c) for c in ("edit_score", "action_error_rate", "rce")])
 
 
