@@ -6,8 +6,14 @@ operators chained on one key share a single shuffle and sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracksift.functions.arrow import map_partition
 
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
@@ -179,3 +185,46 @@ def marker_label(text: Column) -> Column:
     c, d = has("idle", "rest")
     return (F.when(low.contains("reach"), "reach").when(a | b, "reposition").when(low.contains("transport"), "transport")
             .when(low.contains("stabilize"), "stabilize").when(c | d, "idle"))
+
+
+def free_text_labels(df: DataFrame, keys: list[str], text: str, t0: str, t1: str, labels: list[str]) -> DataFrame:
+    """(keys, pos, label, at): the labels a text names, in order, spread evenly over [t0, t1)."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(" + "|".join(labels) + ")"), F.lit(1))
+    rows = df.select(*keys, F.col(t0).alias("_a"), F.col(t1).alias("_b"), found.alias("_l"), F.size(found).alias("_n"))
+    rows = rows.select(*keys, "_a", "_b", "_n", F.posexplode("_l").alias("pos", "label"))
+    return rows.select(*keys, "pos", "label", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("pos") / F.col("_n")).alias("at"))
+
+
+def clip_audit(df: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
+    """(keys, n_clips, overlapping, left_open, stray_ends) of start (s) and end (e)
+    marks: a start while one is open overlaps, an end while none is strays."""
+    w = ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col(kind) == "s", 1).when(F.col(kind) == "e", -1).otherwise(0)
+    rows = df.withColumn("_s", step).withColumn("_open", F.coalesce(F.sum("_s").over(w), F.lit(0)))
+    starts = F.count_if(F.col(kind) == "s")
+    return rows.groupBy(*keys).agg(
+        starts.alias("n_clips"), F.count_if((F.col(kind) == "s") & (F.col("_open") > 0)).alias("overlapping"),
+        F.greatest(F.sum("_s"), F.lit(0)).alias("left_open"), F.count_if((F.col(kind) == "e") & (F.col("_open") <= 0)).alias("stray_ends"))
+
+
+def simulate(shares: DataFrame, start: str, n_sequences: int, length: int, seed: int) -> DataFrame:
+    """(sequence, pos, label): Markov chains of a transition table (from_label, to_label,
+    share), one seeded generator per sequence, so partitioning doesn't matter. The
+    table has a row per pair of labels and rides along with the generator."""
+    table: dict[str, tuple[list[str], list[float]]] = {}
+    for a, b, p in shares.select("from_label", "to_label", "share").orderBy("from_label", "to_label").limit(10_000).collect():
+        names, weights = table.setdefault(a, ([], []))
+        names.append(b)
+        weights.append(p)
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (k,) in rows:
+            rng, label = np.random.default_rng([seed, k]), start
+            for pos in range(length):
+                yield k, pos, label
+                names, weights = table.get(label, ([start], [1.0]))
+                total = np.cumsum(weights)
+                label = names[min(int(np.searchsorted(total, rng.random() * total[-1], side="right")), len(names) - 1)]
+
+    schema = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("label", T.StringType())])
+    return map_partition(shares.sparkSession.range(n_sequences), run, schema)

@@ -57,7 +57,7 @@ def json_records(text: str) -> Iterator[str]:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of files that may be JSON lines, arrays or concatenated objects, parsed
     to ``schema``; one file is read by one task."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     out = T.StructType([T.StructField("file", T.StringType()), T.StructField("record", T.StringType())])
 
     def split(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -140,9 +140,9 @@ def latex_cells(df: DataFrame, group: list[str], value: str, error: str, higher_
 
 
 def annotation_rows(marks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, times): an item's start and end marks as ``s:1.00,e:2.00`` in time order;
+    """(keys, times): an item's start and end marks as ``s:1.000,e:2.000`` in time order;
     ``marks`` has kind (s, e or other, left out) and at."""
-    token = F.concat("kind", F.lit(":"), F.format_string("%.2f", F.col("at")))
+    token = F.concat("kind", F.lit(":"), F.format_string("%.3f", F.col("at")))
     items = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kind") == "s", 1).otherwise(0).alias("o"), token.alias("x"))))
     return marks.where("kind IN ('s', 'e')").groupBy(*keys).agg(F.array_join(F.transform(items, lambda i: i["x"]), ",").alias("times"))
 
