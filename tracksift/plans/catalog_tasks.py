@@ -106,7 +106,7 @@ def stream_state_fold(spark, sf_dir):
 def stream_windowed_counts(spark, sf_dir):
     """Daily windows; the batch twin of the streaming plan, with the window's day."""
     rows = folds.windowed_counts(table(spark, sf_dir, "events"))
-    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return rows.select(F.date_from_unix_date(F.floor(F.col("start_ms") / 86_400_000).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""

@@ -57,20 +57,23 @@ def motion_stream(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(MotionState(), OUT, "Append", "None")
 
 
+def _at(events: DataFrame, late: str) -> DataFrame:
+    """``events`` with the instant its zoneless time names in UTC (a watermark needs
+    one), so windows don't move with the session's zone."""
+    at = events.withColumn("at", F.timestamp_millis(ntz_ms(F.col("ts"))))
+    return at.withWatermark("at", late) if events.isStreaming else at
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, event_type, n, total) per tumbling window, for streams and batches."""
-    at = events.withColumn("at", F.col("ts"))
-    at = at.withWatermark("at", late) if events.isStreaming else at
-    return at.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
-        F.col("w.start").alias("start"), "event_type", "n", "total")
+    """(start_ms, event_type, n, total) per tumbling window, for streams and batches."""
+    counts = _at(events, late).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counts.select(F.unix_millis("w.start").alias("start_ms"), "event_type", "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
-    """(user_id, start, end, n) per session of a user."""
-    at = events.withColumn("at", F.col("ts"))
-    at = at.withWatermark("at", late) if events.isStreaming else at
-    return at.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select(
-        "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """(user_id, start_ms, end_ms, n) per session of a user."""
+    counts = _at(events, late).groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "n")
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
