@@ -24,18 +24,23 @@ def roots(links):
 
 def test_groups_against_union_find(spark):
     rng = random.Random(2)
-    for n in (5, 60):
-        links = [(f"S{rng.randrange(40):05d}", f"{rng.choice('SC')}{rng.randrange(40):05d}") for _ in range(n)]
-        links += links[:3] + [(b, a) for a, b in links[:3]] + [("S00001", "S00001"), (None, "S00002"), ("S00003", None)]
-        links += [(f"C{i:05d}", f"C{i + 1:05d}") for i in range(100, 140)]  # a long chain
-        df = spark.createDataFrame(links, "a string, b string")
-        want = roots(links)
-        assert {r.code: r.person for r in grouped_codes(df, "a", "b").collect()} == want
-        comps, forest = spanning_forest(df, "a", "b")
-        assert forest.count() == len(want) - len(set(want.values()))
-        assert roots([tuple(r) for r in forest.collect()]).keys() <= want.keys()
-    empty = spark.createDataFrame([], "a string, b string")
-    assert grouped_codes(empty, "a", "b").count() == 0
+    links = [(f"S{rng.randrange(40):05d}", f"{rng.choice('SC')}{rng.randrange(40):05d}") for _ in range(60)]
+    links += links[:3] + [(b, a) for a, b in links[:3]] + [("S00001", "S00001"), (None, "S00002"), ("S00003", None)]
+    links += [(f"C{i:05d}", f"C{i + 1:05d}") for i in range(100, 140)]  # a long chain
+    df = spark.createDataFrame(links, "a string, b string")
+    want = roots(links)
+    comps, forest = spanning_forest(df, "a", "b")
+    groups = {}
+    for r in comps.collect():
+        groups.setdefault(r.comp, []).append(r.node)
+    assert {x: min(g) for g in groups.values() for x in g} == want
+    edges = [tuple(r) for r in forest.collect()]
+    assert len(edges) == len(want) - len(set(want.values())) and set(edges) <= {tuple(sorted(x)) for x in links if None not in x}
+    own = {x: x for x in want}
+    assert {**own, **roots(edges)} == want  # a tree per group, so the forest joins what the links join
+    few = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "x")], "a string, b string")
+    assert {r.code: r.person for r in grouped_codes(few, "a", "b").collect()} == {"a": "a", "b": "a", "c": "a", "x": "x"}
+    assert grouped_codes(few.where("false"), "a", "b").count() == 0
 
 
 def test_codes(spark):

@@ -108,4 +108,26 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p5_found, p7_found, p8_found, p8_spans, p9_mix, p10_found, p10_classes)}
 
-ORACLES: dict[str, str] = {}
+_CODE = "upper(regexp_extract({0}, '(?i)([SC])[^0-9A-Za-z]*[0-9]+', 1)) || lpad(ltrim(regexp_extract({0}, '(?i)[SC][^0-9A-Za-z]*([0-9]+)', 1), '0'), 5, '0')"
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+    WITH RECURSIVE l AS (SELECT {_CODE.format('code_a')} AS a, {_CODE.format('code_b')} AS b FROM patient_links),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a, least(a, min(b)) AS person FROM r GROUP BY a),
+    c AS (SELECT rec_no, coalesce({_CODE.format("regexp_extract(id, '^[^_]*')")}, {_CODE.format('patient')}) AS code FROM fp_metadata)
+    SELECT rec_no, coalesce(person, code) AS patient_group FROM c LEFT JOIN m ON code = a
+    """,
+    "p5_found": r"""
+    WITH d AS (SELECT DISTINCT marker_id, id, Time_s, MarkerNames FROM label_track WHERE id IS NOT NULL AND Time_s IS NOT NULL AND MarkerNames IS NOT NULL),
+    h AS (SELECT *, lower(regexp_extract(' ' || MarkerNames, '(?i)[^a-z](l|left|r|right)([^a-z]|$)', 1))[1:1] AS hand FROM d),
+    v AS (SELECT unnest(['reach', 'reposition', 'retract', 'transport', 'stabilize', 'stabilise', 'idle', 'rest']) AS w, unnest(['reach', 'reposition', 'reposition', 'transport', 'stabilize', 'stabilize', 'idle', 'idle']) AS p),
+    n AS (SELECT DISTINCT MarkerNames FROM h), t AS (SELECT MarkerNames, unnest(regexp_extract_all(lower(MarkerNames), '[a-z]+')) AS k FROM n),
+    b AS (SELECT MarkerNames, arg_min(p, damerau_levenshtein(k, w)) AS p FROM t, v WHERE damerau_levenshtein(k, w) <= CASE WHEN length(w) > 4 THEN 1 ELSE 0 END GROUP BY MarkerNames),
+    m AS (SELECT id, hand, Time_s, marker_id, p, CASE WHEN lag(p) OVER w = p THEN 0 ELSE 1 END AS new FROM h JOIN b USING (MarkerNames) WHERE hand <> '' WINDOW w AS (PARTITION BY id, hand ORDER BY Time_s, marker_id)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY id, hand ORDER BY Time_s, marker_id ROWS UNBOUNDED PRECEDING) AS i FROM m)
+    SELECT arg_min(marker_id, (Time_s, marker_id)) AS first_marker_id, arg_max(marker_id, (Time_s, marker_id)) AS last_marker_id, count(*) AS n_markers, CAST(floor((max(Time_s) - min(Time_s)) * 1000 + 0.5) AS BIGINT) AS span_ms
+    FROM i GROUP BY id, hand, i HAVING count(*) >= 2
+    """,
+}
