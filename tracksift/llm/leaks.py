@@ -35,20 +35,40 @@ def leak_words(text: str | None) -> list[str]:
     return _WORD.findall(consistent_form(text).casefold()) if text else []
 
 
-def suffix_array(first: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling on ranks."""
-    n = len(first)
-    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        if new[order[-1]] == n - 1:
-            return order
-        rank, step = new, step * 2
+def suffix_array(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Suffixes in order, by prefix doubling on ranks.
+
+    The first order is that of as many symbols as fit into 62 bits; after that
+    only suffixes that still share their rank with others are sorted again. A
+    rank is the place of its group's first suffix, so ranks of finished
+    suffixes stay as they are.
+    """
+    n, bits = len(symbols), max(1, int(n_symbols - 1).bit_length())
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(min(step, n)):
+        key[: n - j] |= symbols[j:].astype(np.int64) << (bits * (step - 1 - j))
+    order = np.argsort(key)
+    rank, place = np.empty(n, np.int64), np.arange(n)
+    first = np.concatenate(([True], np.diff(key[order]) != 0))
+    rank[order] = np.maximum.accumulate(np.where(first, place, 0))
+    shared = order[~(first & np.concatenate((first[1:], [True])))]
+    while len(shared):
+        beyond = shared + step
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        key = rank[shared] * (n + 1) + second
+        by = np.argsort(key)
+        shared, key, place = shared[by], key[by], np.arange(len(by))
+        old = rank[shared]
+        first = np.concatenate(([True], np.diff(key) != 0))
+        start = np.maximum.accumulate(np.where(first, place, 0))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(old) != 0)), place, 0))
+        rank[shared] = old + start - group
+        shared = shared[~(first & np.concatenate((first[1:], [True])))]
+        step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class WaveletMatrix:
@@ -81,9 +101,7 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.n = n = len(symbols)
         ends = symbols == 0
-        first = symbols.astype(np.int64) + int(ends.sum())
-        first[ends] = np.arange(int(ends.sum()))  # ends differ, so no order runs on past one
-        sa = suffix_array(first)
+        sa = suffix_array(symbols, n_symbols)
         self.bwt = symbols[sa - 1]
         self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=n_symbols))))
         self.tree = WaveletMatrix(self.bwt, n_symbols)
