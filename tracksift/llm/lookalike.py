@@ -75,10 +75,13 @@ _AMBIGUOUS = set(TO_LATIN.values())
 # what the long way can change besides the accents' composition: see consistent_form
 _SUSPECT = re.compile(
     "[\u0000-\u0009\u000b-\u001f\u007f\u00a0\u00ad\u0300-\u036f\u0400-\u08ff\u1100-\u1fff\u2000-\u2012\u2028-\u202f\u205f-\u206f"
-    "\u3000-\u33ff\ua640-\ua69f\uf900-\uffff\U0001d400-\U0001d7ff\U000e0000-\U000e0fff]"
-    "|[\u0370-\u03ff](?=[^\\W\\d_])|(?<=[^\\W\\d_])[\u0370-\u03ff]|[" + "".join(map(chr, TO_LATIN)) + "]"
+    "\u3000-\u33ff\ua640-\ua69f\uf900-\uffff\U0001d400-\U0001d7ff\U000e0000-\U000e0fff"
+    + "".join(map(chr, TO_LATIN)) + "]"
 )
+_CONTROL = re.compile("[\u0000-\u0009\u000b-\u001f\u007f]")
+_JOINED_GREEK = re.compile("[\u0370-\u03ff](?=[^\\W\\d_])|(?<=[^\\W\\d_])[\u0370-\u03ff]")
 _GREEK = re.compile("[\u0370-\u03ff]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u052f\u0531-\u058f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
 _FOLDS, _SCRIPTS = _Folds(), _Scripts()
 
 
@@ -97,11 +100,12 @@ def _votes(text: str) -> dict[str, int]:
 def _plain(text: str) -> bool:
     """Whether the long way would give ``text`` back: no suspect character, accents
     composed, and Latin letters outnumber lone Greek ones (``α = 3``)."""
-    if _SUSPECT.search(text):
-        return False
     if text.isascii():
-        return True
-    return unicodedata.is_normalized("NFC", text) and len(_GREEK.findall(text)) < sum(map(text.count, "tnrlmu"))
+        return not _CONTROL.search(text)
+    if _SUSPECT.search(text) or not unicodedata.is_normalized("NFC", text):
+        return False
+    greek = _GREEK.findall(text)
+    return not greek or (not _JOINED_GREEK.search(text) and len(greek) < sum(map(text.count, "tnrlmu")))
 
 
 def consistent_form(text: str | None) -> str | None:
@@ -111,7 +115,7 @@ def consistent_form(text: str | None) -> str | None:
     t = _INVISIBLE.sub("", text).translate(_FOLDS).translate(_HYPHEN)
     t = _LINE.sub("\n", _BLANK.sub(" ", t))
     t = unicodedata.normalize("NFD", t).translate(TO_LATIN)
-    if not t.isascii():
+    if _OTHER_SCRIPT.search(t):  # else all that is left is Latin, or taken for it
         whole: str | None = None
 
         def spelled(m: re.Match) -> str:
