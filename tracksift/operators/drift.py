@@ -124,7 +124,7 @@ def profiled_fields(df: DataFrame) -> DataFrame:
     its tasks and fields; file positions come from daily buckets. A field
     occurs once per file (a repeated key of a JSON object overwrites).
     """
-    files = profiles(df)
+    files = materialize(profiles(df), "profiles")  # numbering reads it twice; the JSON is parsed once
     placed = running_total(
         files, ["series", "task"], F.to_date("written_at"), ["written_at", "run_no"], F.lit(1), "file_pos"
     )
