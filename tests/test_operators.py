@@ -141,12 +141,22 @@ def test_metrics(spark):
     assert value(spark, M.choice_accuracy(F.array(F.lit(0.4), F.lit(0.1)), F.lit(1))) == 1.0 and value(spark, M.choice_accuracy(F.array(F.lit(0.4)), F.lit(7))) == 0.0
     df = spark.createDataFrame([(0.1, 2), (0.2, 2)], "se double, n bigint")
     assert df.agg(M.pooled_stderr(F.col("se"), F.col("n")).alias("x")).first().x == pytest.approx(0.111803, abs=1e-6)
-    med = spark.createDataFrame([(0, 9.0), (1, 1.0), (2, 5.0)], "o int, v double").agg(M.arrival_median(F.col("v"), F.col("o")).alias("a"), M.median(F.col("v")).alias("b")).first()
-    assert (med.a, med.b) == (1.0, 5.0)
+    arrived = spark.createDataFrame([("k", 0, 9.0), ("k", 1, 1.0), ("k", 2, 5.0)], "k string, o int, v double")
+    assert M.arrival_median(arrived, ["k"], "o", "v").first().mid == 1.0 and arrived.agg(M.median(F.col("v")).alias("b")).first().b == 5.0
     flags = spark.createDataFrame([(True, True), (None, True), (False, True), (None, False), (True, None)], "g boolean, p boolean").agg(*M.masked_f1(F.col("g"), F.col("p"))).first()
     assert flags.f1_low <= flags.f1 <= flags.f1_high and flags.coverage == 0.4
 
 
+def test_quantiles_against_percentile(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([round(rng.gauss(0, 5), 1), 2.0])) for _ in range(500)] + [("c", 7.0), ("d", None), ("hot", float("nan")), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double").where("k IS NOT NULL")
+    got = {r.k: (r.q0, r.q1, r.q2) for r in M.exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.95], 16).collect()}
+    want = df.where("NOT isnan(v)").groupBy("k").agg(F.percentile("v", F.array(F.lit(0.0), F.lit(0.5), F.lit(0.95))).alias("x")).where("x IS NOT NULL").collect()
+    assert set(got) == {"hot", "b", "c"} and all(got[r.k] == pytest.approx(tuple(r.x)) for r in want)
+    assert M.exact_quantiles(df.where("false"), ["k"], "v", [0.5]).count() == 0
+
+
 def test_bootstrap_is_near_the_closed_form(spark):
     rng = random.Random(0)
     df = spark.createDataFrame([("k", i, rng.gauss(0, 1)) for i in range(500)], "k string, i bigint, v double")

@@ -13,6 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.operators.ranks import running_total
+from tracksift.session import materialize
+
 AGGREGATIONS: dict[str, Callable[..., Column]] = {}
 
 
@@ -33,17 +36,11 @@ def mean(v: Column) -> Column:
 
 @register_aggregation("median")
 def median(v: Column) -> Column:
+    """The exact median of a task's scores. Its state grows with the different
+    values of a group; for large groups of many values see ``exact_quantiles``."""
     return F.percentile(v, 0.5)
 
 
-@register_aggregation("arrival_median")
-def arrival_median(v: Column, order: Column) -> Column:
-    """The middle element in order of arrival, not of size. It keeps a group's
-    (order, value) pairs, so it is for groups of the size of a task's samples."""
-    items = F.array_sort(F.collect_list(F.struct(order.alias("o"), v.alias("v"))))
-    return F.element_at(items, (F.size(items) / 2).cast("int") + 1)["v"]
-
-
 @register_aggregation("bypass")
 def bypass(v: Column) -> Column:
     return F.max(F.lit(999.0))
@@ -113,6 +110,53 @@ def pooled_stderr(se: Column, n: Column) -> Column:
     return F.sqrt(F.sum((n - 1) * se * se * n) / (total - F.count(n)) / total)
 
 
+def _spread(df: DataFrame, value: str, buckets: int) -> Column:
+    """A bucket that grows with ``value``, for running totals."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    width = ((high or 0) - (low or 0)) / buckets or 1
+    return F.floor((F.col(value) - F.lit(low or 0)) / F.lit(width))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles, interpolated between neighbours.
+
+    Equal values are counted before anything is sorted, positions come from
+    running totals over ranges of values, so neither a hot group nor one of very
+    many values is held in one task. NULL and NaN values are left out, and
+    groups without others.
+    """
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    counts = materialize(known, "values")
+    upto = running_total(counts, keys, _spread(counts, "_v", buckets), ["_v"], F.col("_c"), "_cum")
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    cols = []
+    for i, q in enumerate(shares):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        at = lambda p: F.min(F.when(F.col("_cum") > p, F.col("_v")))
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        cols.append((low + (high - low) * F.max(h - F.floor(h))).alias(f"q{i}"))
+    return upto.join(totals, keys).groupBy(*keys).agg(*cols)
+
+
+def arrival_median(df: DataFrame, keys: list[str], order: str, value: str, buckets: int = 1024) -> DataFrame:
+    """(keys, mid): the middle value in order of arrival (a unique number), not of size."""
+    rows = df.select(*keys, order, value)
+    placed = running_total(rows, keys, _spread(rows, order, buckets), [order], F.lit(1), "_i")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return placed.join(sizes, keys).where("_i = floor(_n / 2) + 1").select(*keys, F.col(value).alias("mid"))
+
+
+def tree_hash(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
+    """(keys, hash) of a set of hex digests: they are hashed in order within 256
+    buckets by their first two digits, then the buckets' hashes in order, so the
+    digests of a group are gathered in small parts only."""
+    part = F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256)
+    parts = df.where(F.col(digest).isNotNull()).groupBy(*keys, F.substring(digest, 1, 2).alias("_b")).agg(part.alias("_p"))
+    ordered = F.array_sort(F.collect_list(F.struct("_b", "_p")))
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["_p"]), ""), 256).alias("hash"))
+
+
 # --- per row ---------------------------------------------------------------
 
 

@@ -20,16 +20,16 @@ def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     (a group of their own, first); ties are in an arbitrary order, so ``order``
     should be unique within keys.
     """
-    rows = df.withColumn("_b", bucket).withColumn("_v", value)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__rt_b", bucket).withColumn("__rt_v", value)
+    before = Window.partitionBy(*keys).orderBy("__rt_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
-        .withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_b").alias("_o_b"), "_off")
+        rows.groupBy(*keys, "__rt_b").agg(F.sum("__rt_v").alias("__rt_s"))
+        .withColumn("__rt_off", F.coalesce(F.sum("__rt_s").over(before), F.lit(0)))
+        .select(*[F.col(k).alias(f"__rt_o_{k}") for k in keys], F.col("__rt_b").alias("__rt_o_b"), "__rt_off")
     )
-    within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_run", F.sum("_v").over(within))
-    match = F.col("_b").eqNullSafe(F.col("_o_b"))
+    within = Window.partitionBy(*keys, "__rt_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("__rt_run", F.sum("__rt_v").over(within))
+    match = F.col("__rt_b").eqNullSafe(F.col("__rt_o_b"))
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    return local.join(offsets, match).select(*df.columns, (F.col("_run") + F.col("_off")).alias(out))
+        match = match & F.col(k).eqNullSafe(F.col(f"__rt_o_{k}"))
+    return local.join(offsets, match).select(*df.columns, (F.col("__rt_run") + F.col("__rt_off")).alias(out))

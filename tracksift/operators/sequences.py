@@ -212,7 +212,7 @@ def simulate(shares: DataFrame, start: str, n_sequences: int, length: int, seed:
     share), one seeded generator per sequence, so partitioning doesn't matter. The
     table has a row per pair of labels and rides along with the generator."""
     table: dict[str, tuple[list[str], list[float]]] = {}
-    for a, b, p in shares.select("from_label", "to_label", "share").orderBy("from_label", "to_label").limit(10_000).collect():
+    for a, b, p in shares.select("from_label", "to_label", "share").orderBy("from_label", "to_label").collect():  # few: pairs of labels
         names, weights = table.setdefault(a, ([], []))
         names.append(b)
         weights.append(p)

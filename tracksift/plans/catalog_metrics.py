@@ -133,7 +133,8 @@ def metric_iou(spark, sf_dir):
 @query(f"SELECT task, list_extract(list(accuracy ORDER BY sample_no), CAST(count(accuracy) // 2 + 1 AS BIGINT)) AS mid, round(quantile_cont(accuracy, 0.5), 6) AS median FROM {_ONE} WHERE accuracy IS NOT NULL GROUP BY task")
 def agg_median_unsorted(spark, sf_dir):
     rows = log_rows(spark, sf_dir, "sample_log", "task", "accuracy").where("accuracy IS NOT NULL")
-    return rows.groupBy("task").agg(M.arrival_median(F.col("accuracy"), F.col("sample_no")).alias("mid"), r6(M.median(F.col("accuracy")), "median"))
+    mids = M.arrival_median(rows, ["task"], "sample_no", "accuracy")
+    return mids.join(rows.groupBy("task").agg(r6(M.median(F.col("accuracy")), "median")), "task")
 
 
 @query(f"SELECT task, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy) / sqrt(count(accuracy)), 6) AS stderr, count(accuracy) AS n FROM {_ONE} GROUP BY task")
@@ -200,7 +201,8 @@ def dedupe_keep_first(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY l_returnflag")
 def agg_quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(F.percentile("l_extendedprice", 0.5), "p50"), r6(F.percentile("l_extendedprice", 0.95), "p95"))
+    q = M.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.95])
+    return q.select("l_returnflag", r6(F.col("q0"), "p50"), r6(F.col("q1"), "p95"))
 
 
 @query("""

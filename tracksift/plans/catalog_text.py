@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracksift.functions import text as X
 from tracksift.functions.times import ntz_ms
 from tracksift.operators import responses as R
+from tracksift.operators.metrics import tree_hash
 from tracksift.plans.catalog import query
 from tracksift.sources.tables import log_rows, table
 
@@ -116,12 +117,13 @@ def hash_sample(spark, sf_dir):
 
 
 @query(rf"""
-    SELECT task, sha256(string_agg(doc_hash, '' ORDER BY doc_hash)) AS task_hash FROM {_ONE} WHERE doc_hash IS NOT NULL GROUP BY task
+    WITH p AS (SELECT task, doc_hash[1:2] AS b, sha256(string_agg(doc_hash, '' ORDER BY doc_hash)) AS p FROM {_ONE} WHERE doc_hash IS NOT NULL GROUP BY task, doc_hash[1:2])
+    SELECT task, sha256(string_agg(p, '' ORDER BY b)) AS task_hash FROM p GROUP BY task
 """)
 def hash_task(spark, sf_dir):
-    """A task's hash over its samples' hashes, which are few bytes each; within one task they come in order."""
-    rows = log_rows(spark, sf_dir, "sample_log", "task", "doc_hash").where("doc_hash IS NOT NULL")
-    return rows.groupBy("task").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("doc_hash")), ""), 256).alias("task_hash"))
+    """A task's hash over its samples' hashes in order, as a tree."""
+    rows = log_rows(spark, sf_dir, "sample_log", "task", "doc_hash")
+    return tree_hash(rows, ["task"], "doc_hash").withColumnRenamed("hash", "task_hash")
 
 
 # --- response filters -------------------------------------------------------

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, stderr
+from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, stderr, tree_hash
 from tracksift.operators.responses import apply_pipelines
 from tracksift.sources.logs import template
 
@@ -143,9 +143,8 @@ def evaluate(names: list[str], spark: SparkSession, sf_dir: str, source: str) ->
 
 
 def task_hash(asked: DataFrame) -> DataFrame:
-    """(task, task_hash) over the samples' hashes in order; hashes only are gathered."""
-    one = F.concat("doc_hash", "prompt_hash", "target_hash")
-    return asked.groupBy("task").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(one, 256))), ""), 256).alias("task_hash"))
+    """(task, hash) over the samples' hashes in order, as a tree."""
+    return tree_hash(asked.withColumn("_h", F.sha2(F.concat("doc_hash", "prompt_hash", "target_hash"), 256)), ["task"], "_h")
 
 
 def hierarchy(root: str, depth: int = 0) -> list[tuple[int, str]]:
