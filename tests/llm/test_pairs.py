@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,21 @@ def test_tiles_cover_long_texts_and_repeats():
     p = "a b c d e".split()
     assert tiles("x a b c y d e".split(), p) == [False, True, True, True, False, False, False]
     assert all(tiles(p + p, p)) and tiles([], p) == [] and not any(tiles(p, []))
-    assert is_copy("word " * 3000, "word " * 40)
+    assert is_copy("word " * 100_000, "word " * 40) and is_copy("word " * 50_000, "word " * 50_000)
+
+
+def test_tiles_against_all_stretches():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, p = ([rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        known = {tuple(p[i : i + k]) for k in range(1, len(p) + 1) for i in range(len(p) - k + 1)}
+        want, end = [False] * len(a), len(a)
+        while end:
+            size = max((k for k in range(1, end + 1) if tuple(a[end - k : end]) in known), default=0)
+            if size >= 3:
+                want[end - size : end] = [True] * size
+            end -= size if size >= 3 else 1
+        assert tiles(a, p) == want
 
 
 def test_rows(spark):

@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tracksift.llm.splits import deal_splits, grouped_codes, patient_code, spanning_forest
+from tracksift.llm.splits import deal_splits, grouped_codes, patient_code, spanning_forest, with_person
 
 
 def roots(links):
@@ -43,6 +43,14 @@ def test_groups_against_union_find(spark):
     assert grouped_codes(few.where("false"), "a", "b").count() == 0
 
 
+def test_rows_with_clashing_columns(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", None)], "code string, person string")
+    rows = spark.createDataFrame([(1, "b", "x", "y"), (1, "b", "x", "y"), (2, "z", None, None), (3, None, "", "")], "rec_no int, code string, person string, patient_group string")
+    got = sorted((r.rec_no, r.person, r.patient_group) for r in with_person(rows, F.col("code"), links, "code", "person").collect() if r.rec_no < 2)
+    assert got == [(1, "x", "a"), (1, "x", "a")]
+    assert {(r.rec_no, r.patient_group) for r in with_person(rows, F.col("code"), links, "code", "person").collect()} == {(1, "a"), (2, "z"), (3, None)}
+
+
 def test_codes(spark):
     raw = ["(C00590)", "c_00589", "s0510", "C591", " S-00518 ", "S 7", "x", "", None, "S123456"]
     df = spark.createDataFrame([(x,) for x in raw], "t string").select(patient_code(F.col("t")).alias("c"))

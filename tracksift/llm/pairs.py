@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,7 @@ REFUSALS = re.compile("|".join([
 _FINAL = re.compile(r"FINAL_(?:ANSWER|SCORE)\s*:[ \t]*([^\n]*?)\s*$")
 _LEAD_IN = {"q", "question", "prompt", "user", "frage", "you", "ask", "asked", "input", "task"}
 _WORD = re.compile(r"[^\W_]+")
+_TAG = re.compile(r"<(/?)([a-z]+)>")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
 
 
@@ -98,7 +100,7 @@ class Pushdown:
                 self.stack.pop()
             elif c in _PAIRS:
                 self.stack.append(c)
-            elif c == "<" and (tag := re.match(r"<(/?)([a-z]+)>", text[i:])):
+            elif c == "<" and (tag := _TAG.match(text, i)):
                 if not tag[1]:
                     self.stack.append(tag[2])
                 elif top == tag[2]:
@@ -142,35 +144,64 @@ def is_truncated(text: str, labels: frozenset[str] = frozenset()) -> bool:
     return not (bare in labels or bare in ("yes", "no", "ja", "nein") or bare.isdigit())
 
 
+@lru_cache(maxsize=512)
+def _automaton(prompt: tuple[str, ...]) -> tuple[list[dict[str, int]], list[int], list[int]]:
+    """Suffix automaton of a prompt's words: per state its steps, the state of the
+    next shorter context, and the length of its longest stretch."""
+    steps: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for word in prompt:
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and word not in steps[p]:
+            steps[p][word] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][word]
+            if length[q] != length[p] + 1:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and steps[p].get(word) == q:
+                    steps[p][word] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+    return steps, link, length
+
+
 def tiles(answer: Sequence[str], prompt: Sequence[str], min_tile: int = MIN_TILE) -> list[bool]:
-    """Marks the answer's words covered by greedy string tiling: the longest
-    common stretches of unmarked words first. The prompt is offered anew as
-    long as tiles are found, so an answer that repeats it twice is covered."""
-    covered = [False] * len(answer)
-    at: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(prompt) - min_tile + 1):
-        at.setdefault(tuple(prompt[j : j + min_tile]), []).append(j)
-    if not at:
-        return covered
-    while True:
-        used, any_tile = [False] * len(prompt), False
-        while True:
-            best: list[tuple[int, int, int]] = []
-            for i in range(len(answer) - min_tile + 1):
-                for j in at.get(tuple(answer[i : i + min_tile]), ()):
-                    k = 0
-                    while i + k < len(answer) and j + k < len(prompt) and answer[i + k] == prompt[j + k] and not covered[i + k] and not used[j + k]:
-                        k += 1
-                    if k >= min_tile:
-                        best.append((-k, i, j))
-            if not best:
-                break
-            for k, i, j in sorted(best):
-                if not any(covered[i : i - k]) and not any(used[j : j - k]):
-                    covered[i : i - k], used[j : j - k] = [True] * -k, [True] * -k
-                    any_tile = True
-        if not any_tile:
-            return covered
+    """Marks the answer's words covered by greedy string tiling: from its end, the
+    longest stretch that also stands in the prompt becomes a tile if it has
+    ``min_tile`` words. The prompt is offered anew for each tile, so an answer
+    that repeats it is covered. Stretches come from a suffix automaton, hence in
+    time proportional to both texts, however repetitive they are."""
+    steps, link, length = _automaton(tuple(prompt))
+    reach, state, n = [], 0, 0
+    for word in answer:
+        while state and word not in steps[state]:
+            state = link[state]
+            n = length[state]
+        if word in steps[state]:
+            state, n = steps[state][word], n + 1
+        else:
+            n = 0
+        reach.append(n)
+    covered, end = [False] * len(answer), len(answer)
+    while end:
+        size = reach[end - 1]
+        if size >= min_tile:
+            covered[end - size : end] = [True] * size
+            end -= size
+        else:
+            end -= 1
+    return covered
 
 
 def is_copy(answer: str, prompt: str) -> bool:

@@ -91,12 +91,12 @@ def grouped_codes(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def with_person(rows: DataFrame, code: Column, links: DataFrame, a: str, b: str) -> DataFrame:
-    """``rows`` with ``patient_group``; a code without a link stands for itself, a NULL code stays NULL."""
-    people = grouped_codes(links, a, b)
-    coded = rows.withColumn("_code", code)
-    return coded.join(people, coded["_code"] == people["code"], "left").select(
-        *[coded[c] for c in rows.columns], F.coalesce(people["person"], coded["_code"]).alias("patient_group")
-    )
+    """``rows`` with ``patient_group`` (put in place of a column of that name); a
+    code without a link stands for itself, a NULL code stays NULL."""
+    people = grouped_codes(links, a, b).select(F.col("code").alias("__code"), F.col("person").alias("__person"))
+    coded = rows.withColumn("__own", code)
+    kept = [coded[c] for c in rows.columns if c != "patient_group"]
+    return coded.join(people, F.col("__own") == F.col("__code"), "left").select(*kept, F.coalesce("__person", "__own").alias("patient_group"))
 
 
 def _deal_large(groups: list[tuple], whole: dict[tuple, int], shares: list[float]) -> tuple[list[int], list[float]]:
