@@ -204,7 +204,7 @@ def pose_moved(spark, sf_dir):
 
 @query("""
     WITH g AS (SELECT n_nationkey, seg FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer)), c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 8000 GROUP BY ALL)
-    SELECT n_nationkey, CAST(sum((n IS NULL)::INT) AS BIGINT) AS missing, CAST(sum((n > 1)::INT) AS BIGINT) AS repeated FROM g LEFT JOIN c ON n_nationkey = c_nationkey AND seg = c_mktsegment GROUP BY n_nationkey
+    SELECT n_nationkey, CAST(sum((n IS NULL)::INT) AS BIGINT) AS missing, CAST(coalesce(sum((n > 1)::INT), 0) AS BIGINT) AS repeated FROM g LEFT JOIN c ON n_nationkey = c_nationkey AND seg = c_mktsegment GROUP BY n_nationkey
 """)
 def completeness_audit(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -212,7 +212,7 @@ def completeness_audit(spark, sf_dir):
     grid = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(segs)
     have = c.where("c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
     return grid.join(have, ["n_nationkey", "seg"], "left").groupBy("n_nationkey").agg(
-        F.count_if(F.col("n").isNull()).alias("missing"), F.coalesce(F.count_if(F.col("n") > 1), F.lit(0)).alias("repeated"))
+        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) = 4")
