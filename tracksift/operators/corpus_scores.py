@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,20 +77,48 @@ def translation_edits(hyp: list[str], ref: list[str], max_shift: int = 10) -> in
     return best + shifts
 
 
-def corpus_scores(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
-    """(keys, n, bleu, chrf, ter) in percent; pairs with a NULL side are left out."""
-    n = MAX_N * 2 + 2 + CHAR_N * 3 + 1
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(f"c{i}", T.LongType()) for i in range(n)])
+#: Counts of a pair: word and character n-grams, lengths and translation edits.
+COUNTS = MAX_N * 2 + 2 + CHAR_N * 3 + 1
+
+
+def counted_pairs(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
+    """(keys, c0, c1, ...): the counts of each pair; pairs with a NULL side are left out."""
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(f"c{i}", T.LongType()) for i in range(COUNTS)])
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for *k, h, r in rows:
             yield *k, *pair_counts(h, r), translation_edits(h.split(), r.split())
 
-    counted = map_partition(df.where(F.col(hyp).isNotNull() & F.col(ref).isNotNull()).select(*keys, hyp, ref), run, schema)
+    return map_partition(df.where(F.col(hyp).isNotNull() & F.col(ref).isNotNull()).select(*keys, hyp, ref), run, schema)
+
+
+def score_of_sums(score: str, sums: np.ndarray) -> np.ndarray:
+    """BLEU, chrF or TER of each row of summed counts, as ``corpus_scores`` gives it."""
+    c = sums.astype(float).T
+    div = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+    hyp_len, ref_len, at = c[2 * MAX_N], c[2 * MAX_N + 1], 2 * MAX_N + 2
+    if score == "ter":
+        return np.where(ref_len > 0, 100 * div(c[COUNTS - 1], ref_len), np.nan)
+    if score == "bleu":
+        shares = np.array([div(c[2 * i], c[2 * i + 1]) for i in range(MAX_N)])
+        logs = np.log(np.where(shares > 0, shares, 1.0)).mean(0)
+        return np.where((shares > 0).all(0), 100 * np.exp(np.minimum(0.0, 1 - div(ref_len, hyp_len)) + logs), 0.0)
+    p, r = (np.array([div(c[at + 3 * i], c[at + 3 * i + j]) for i in range(CHAR_N)]) for j in (1, 2))
+    return 100 * div((1 + BETA**2) * p * r, BETA**2 * p + r).mean(0)
+
+
+def corpus_scores(df: DataFrame, keys: list[str], hyp: str, ref: str) -> DataFrame:
+    """(keys, n, bleu, chrf, ter) in percent; pairs with a NULL side are left out."""
+    return scores_of_counts(counted_pairs(df, keys, hyp, ref), keys)
+
+
+def scores_of_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, bleu, chrf, ter) from the pairs' counts."""
+    n = COUNTS
     s = counted.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"c{i}").cast("double").alias(f"c{i}") for i in range(n)])
     logs = sum((F.ln(F.try_divide(F.col(f"c{2 * i}"), F.col(f"c{2 * i + 1}"))) for i in range(MAX_N)), F.lit(0.0)) / MAX_N
     hyp_len, ref_len = F.col(f"c{2 * MAX_N}"), F.col(f"c{2 * MAX_N + 1}")
-    short = F.when(hyp_len < ref_len, F.exp(1 - ref_len / hyp_len)).otherwise(1.0)
+    short = F.when(hyp_len < ref_len, F.exp(1 - F.try_divide(ref_len, hyp_len))).otherwise(1.0)
     at = 2 * MAX_N + 2
     f = F.lit(0.0)
     for i in range(CHAR_N):

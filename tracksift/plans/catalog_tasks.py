@@ -40,10 +40,17 @@ def _binary(asked):
     UNION ALL SELECT 'question_sampling', 'none', 'exact_match', round(exp(-avg((s = 'binary')::INT)), 6), NULL, count(*) FROM q
 """)
 def task_results(spark, sf_dir):
-    rows = T.evaluate(["questions"], spark, sf_dir, "echo_binary")
+    """Without resampling, which its SQL has no number for; see ``task_results_bootstrap``."""
+    rows = T.evaluate(["questions"], spark, sf_dir, "echo_binary", rounds=0)
     return rows.select("task", "filter", "metric", F.round("value", 6).alias("value"), F.round("stderr", 6).alias("stderr"), "n")
 
 
+@query()
+def task_results_bootstrap(spark, sf_dir):
+    """The same results with all standard errors, over 100,000 rounds."""
+    return T.evaluate(["questions"], spark, sf_dir, "echo_binary")
+
+
 @query("SELECT CAST(qid AS BIGINT) AS doc_id, replace(fm_video, '_', ' ') || ': ' || sampling AS prompt, question_type AS target, sha256(replace(fm_video, '_', ' ') || ': ' || sampling) AS prompt_hash FROM fm_item_questions")
 def task_requests(spark, sf_dir):
     return T.requests(T.TASKS["question_kind"], spark, sf_dir).select("doc_id", "prompt", "target", "prompt_hash")

@@ -12,16 +12,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracksift.operators.bootstrap import ROUNDS, bootstrap
+from tracksift.operators.corpus_scores import COUNTS, counted_pairs, scores_of_counts
 from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, stderr, tree_hash
 from tracksift.operators.responses import apply_pipelines
+from tracksift.session import materialize
 from tracksift.sources.logs import template
 
-#: metric name -> (filtered response, target) -> score of a sample
+#: Aggregations over (gold, pred) of all samples: of truths, and of texts.
+OF_TRUTHS, OF_TEXTS = ("f1", "matthews"), ("bleu", "chrf", "ter")
+#: metric name -> (filtered response, target) -> score of a sample, or a struct
+#: of gold and pred where the aggregation is over pairs
 METRICS: dict[str, Callable[[Column, Column], Column]] = {}
 #: name -> (spark, docs) -> docs with ``resps``
 RESPONSE_SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -51,6 +58,13 @@ def _contains(pred: Column, target: Column) -> Column:
     return F.contains(F.lower(pred), F.lower(target)).cast("double")
 
 
+@register(METRICS, "pair")
+def _pair(pred: Column, target: Column) -> Column:
+    """Target and response as they are, for aggregations over pairs. As truths,
+    a response that isn't one is false."""
+    return F.struct(target.alias("gold"), pred.alias("pred"))
+
+
 @dataclass(frozen=True)
 class Task:
     """``prompt`` and ``target`` are templates; ``load`` gives documents with doc_id;
@@ -108,34 +122,72 @@ def cached_responses(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
 
 
 def samples(task: Task, answered: DataFrame) -> DataFrame:
-    """(task, filter, doc_id, metric, value) from requests with ``resps`` (array<string>)."""
+    """(task, doc_id, repeat, filter, metric, value, gold, pred) from requests with
+    ``resps`` (array<string>); a sample has a value, or gold and pred."""
     rows = apply_pipelines(answered, "resps", task.pipelines)
-    cells = [
-        F.struct(F.lit(p).alias("filter"), F.lit(m).alias("metric"), METRICS[m](F.try_element_at(F.col("filtered")[p], F.lit(1)), F.col("target")).alias("value"))
-        for p in task.pipelines for m, _ in task.metrics
-    ]
-    return rows.select("task", "doc_id", "repeat", F.inline(F.array(*cells)))
-
-
-def results(task: Task, scored: DataFrame) -> DataFrame:
-    """(task, filter, metric, value, stderr, n): one aggregate for all metrics and pipelines."""
-    how = dict(task.metrics)
-    value = F.lit(None).cast("double")
+    none = F.lit(None)
+
+    def cell(p: str, m: str, a: str) -> Column:
+        x = METRICS[m](F.try_element_at(F.col("filtered")[p], F.lit(1)), F.col("target"))
+        value, gold, pred = (none, x["gold"], x["pred"]) if a in OF_TRUTHS + OF_TEXTS else (x, none, none)
+        return F.struct(F.lit(p).alias("filter"), F.lit(m).alias("metric"), value.cast("double").alias("value"),
+                        gold.cast("string").alias("gold"), pred.cast("string").alias("pred"))
+
+    return rows.select("task", "doc_id", "repeat", F.inline(F.array(*[cell(p, m, a) for p in task.pipelines for m, a in task.metrics])))
+
+
+def _of_texts(rows: DataFrame, score: str, keys: list[str], rounds: int) -> DataFrame:
+    """(keys, value, stderr, n) of a corpus score; the pairs are counted once."""
+    counted = materialize(counted_pairs(rows, keys, "pred", "gold"), "pairs")
+    value = scores_of_counts(counted, keys).select(*keys, F.col(score).alias("value"), "n")
+    if rounds <= 0:
+        return value.select(*keys, "value", F.lit(None).cast("double").alias("stderr"), "n")
+    error = bootstrap(counted, keys, [f"c{i}" for i in range(COUNTS)], score, rounds)
+    return value.join(error, keys, "left").select(*keys, "value", "stderr", "n")
+
+
+def results(task: Task, scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(task, filter, metric, value, stderr, n): one aggregate for all metrics and
+    pipelines of numbers and truths, one more for each of texts. Standard errors
+    without a closed form take ``rounds`` rounds of resampling (corpus scores at
+    most 100), none with 0; fewer than two samples have none."""
+    how, keys = dict(task.metrics), ["task", "filter", "metric"]
+    gold, pred = F.col("gold").try_cast("boolean"), F.coalesce(F.col("pred").try_cast("boolean"), F.lit(False))
+    scored = scored.withColumns({"_gold": gold, "_pred": F.when(gold.isNotNull(), pred)})
+    value, n = F.lit(None).cast("double"), F.count("value")
     error = F.lit(None).cast("double")
+    resampled, out = [], []
     for m, a in how.items():
-        value = F.when(F.col("metric") == m, AGGREGATIONS[a](F.col("value"))).otherwise(value)
+        here = F.col("metric") == m
+        rows = scored.where(here)
+        if a in OF_TEXTS:
+            out.append(_of_texts(rows, a, keys, rounds))
+            continue
+        cols = ["_gold", "_pred"] if a in OF_TRUTHS else ["value"]
+        value = F.when(here, AGGREGATIONS[a](*map(F.col, cols))).otherwise(value)
+        if a in OF_TRUTHS:
+            n = F.when(here, F.count("_gold")).otherwise(n)
         if STANDARD_ERRORS.get(a) == "closed":
-            error = F.when(F.col("metric") == m, stderr(F.col("value"))).otherwise(error)
-    return scored.groupBy("task", "filter", "metric").agg(value.alias("value"), error.alias("stderr"), F.count("value").alias("n"))
-
-
-def evaluate(names: list[str], spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Results of all tasks that match, as one plan."""
+            error = F.when(here, stderr(F.col("value"))).otherwise(error)
+        elif STANDARD_ERRORS.get(a) == "bootstrap" and rounds > 0:
+            resampled.append(bootstrap(rows, keys, cols, a, rounds))
+    if len(out) < len(how):
+        plain = scored.where(~F.col("metric").isin([m for m, a in how.items() if a in OF_TEXTS])) if out else scored
+        table = plain.groupBy(*keys).agg(value.alias("value"), error.alias("stderr"), n.alias("n"))
+        if resampled:
+            errors = reduce(DataFrame.unionByName, resampled).withColumnRenamed("stderr", "_se")
+            table = table.join(errors, keys, "left").select(*keys, "value", F.coalesce("stderr", "_se").alias("stderr"), "n")
+        out.append(table)
+    return reduce(DataFrame.unionByName, out)
+
+
+def evaluate(names: list[str], spark: SparkSession, sf_dir: str, source: str, rounds: int = ROUNDS) -> DataFrame:
+    """Results of all tasks that match, as one plan; ``rounds`` as in ``results``."""
     out = None
     for name in resolve(names):
         task = TASKS[name]
         answered = RESPONSE_SOURCES[source](requests(task, spark, sf_dir))
-        part = results(task, samples(task, answered))
+        part = results(task, samples(task, answered), rounds)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no task matches {names}")
