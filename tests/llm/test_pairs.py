@@ -35,6 +35,17 @@ def test_pushdown():
     assert not is_truncated("yes") and not is_truncated("2")
 
 
+@pytest.mark.parametrize(("answer", "want"), [
+    ("Signs:\n- bent elb", True), ("1. The hand lifts a", True), ("Signs:\n- bent elbow\n- short path of the", True), ("Signs:\n- bent elbow,\n- short path,", True),
+    ("Signs:\n- The elbow is bent.\n- The path is sho", True), ("Signs:\n- an elbow\n- the left elb", True), ("Schritte:\n1) Glas heben\n2) Glas und", True),
+    ("Signs:\n- bent elbow\n- short frames", False), ("1. The hand lifts a mug.", False), ("- mug\n- drinking", False), ("Steps:\n* lift (slow)\n* drop (fast)", False), ("Scores:\n- 1\n- 2", False),
+    ("The **hand is still.", True), ("See `x is set.", True), ("So <b>the hand rests.", True), ("The **hand** is <b>`x`</b> still.", False),
+    ("It doesn`t move.", False), ("It is 2 ** 3 or 2**3.", False), ("One.<br>Two.", False),
+])
+def test_list_items_and_markup(answer, want):
+    assert is_truncated(answer, frozenset(["drinking"]), PROMPT) == want
+
+
 def test_tiles_cover_long_texts_and_repeats():
     p = "a b c d e".split()
     assert tiles("x a b c y d e".split(), p) == [False, True, True, True, False, False, False]

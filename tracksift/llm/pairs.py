@@ -66,6 +66,11 @@ _FINAL = re.compile(r"FINAL_(?:ANSWER|SCORE)\s*:[ \t]*([^\n]*?)\s*$")
 _LEAD_IN = {"q", "question", "prompt", "user", "frage", "you", "ask", "asked", "input", "task"}
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<(/?)([a-z]+)>")
+# Tags that need no end, and words that no list item ends with (English, German).
+_NO_END = {"br", "hr", "img", "wbr", "p", "li", "dt", "dd", "tr", "td", "th"}
+_DANGLING = set("a an the and or but nor because although while whose my your his her its their our of from into than "
+                "der die das den dem des eine einen einem einer eines und oder aber sondern weil dass sowie von".split())
+_ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d+[.)])[ \t]+(\S.*)")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»"}
 
 
@@ -75,7 +80,9 @@ def words(text: str) -> list[str]:
 
 class Pushdown:
     """What is open at the end of a text: fences, inline code, brackets,
-    quotations, emphasis, tags; and whether its last line is a list item."""
+    quotations, emphasis, tags; and its list items, if its last line is one.
+
+    A backtick or ``**`` within a word, or ``**`` before a space, opens nothing."""
 
     def __init__(self, text: str):
         self.stack: list[str] = []
@@ -90,9 +97,11 @@ class Pushdown:
                 if c == "`" and top == "`":
                     self.stack.pop()
             elif c == "`":
-                self.stack.append("`")
+                if not text[i - 1 : i].isalnum():
+                    self.stack.append("`")
             elif text.startswith("**", i):
-                self.flip("**")
+                if "**" in self.stack or not (text[i - 1 : i].isalnum() or text[i + 2 : i + 3].isspace()):
+                    self.flip("**")
                 i += 1
             elif c == '"':
                 self.flip('"')
@@ -101,13 +110,18 @@ class Pushdown:
             elif c in _PAIRS:
                 self.stack.append(c)
             elif c == "<" and (tag := _TAG.match(text, i)):
-                if not tag[1]:
+                if not tag[1] and tag[2] not in _NO_END:
                     self.stack.append(tag[2])
-                elif top == tag[2]:
-                    self.stack.pop()
+                elif tag[1] and tag[2] in self.stack:
+                    self.flip(tag[2])
             i += 1
-        last = text.rstrip().rsplit("\n", 1)[-1]
-        self.in_list = bool(re.match(r"\s*(?:[-*+•]|\d+[.)])\s+\S", last))
+        self.items: list[str] = []
+        lines = text.rstrip().split("\n")
+        for x in reversed(lines if _ITEM.match(lines[-1]) else ()):
+            if m := _ITEM.match(x):
+                self.items.insert(0, m[1].strip())
+            elif x.strip() and not x[0].isspace():
+                break
 
     def flip(self, mark: str) -> None:
         if mark in self.stack:
@@ -117,10 +131,28 @@ class Pushdown:
             self.stack.append(mark)
 
 
-def is_truncated(text: str, labels: frozenset[str] = frozenset()) -> bool:
-    """Whether a text breaks off inside a sentence, a word, a quotation or the
-    closing line. Whole sentences without that line are fine, as are a bare
-    label, a number or yes/no, a closed fence and the last item of a list."""
+def _item_is_cut(items: list[str], known: set[str]) -> bool:
+    """Whether the last of a list's items, which ends in no sentence's end, was cut:
+    it ends in a dangling word, a joining mark or the beginning of a known word,
+    or its sisters end in a mark that it lacks. An item without sisters is read
+    as a sentence, which must end."""
+    *sisters, last = items
+    if not sisters or last[-1] in ",;:-–—/&":
+        return True
+    if sum(x[-1] in ".!?;,。！？" for x in sisters) * 2 > len(sisters):
+        return True
+    w = words(last)
+    if not w or not last[-1].isalpha():
+        return False
+    end = w[-1]
+    return end in _DANGLING or end not in known and any(x.startswith(end) for x in known)
+
+
+def is_truncated(text: str, labels: frozenset[str] = frozenset(), prompt: str = "") -> bool:
+    """Whether a text breaks off inside a sentence, a word, a quotation, markup, a
+    list item or the closing line. Whole sentences without that line are fine, as
+    are a bare label, a number or yes/no, a closed fence and a last list item
+    that is like its sisters. ``prompt`` tells words."""
     t = text.strip()
     if m := _FINAL.search(t):
         value = m.group(1).strip()
@@ -131,9 +163,9 @@ def is_truncated(text: str, labels: frozenset[str] = frozenset()) -> bool:
     if re.search(r"FINAL_(?:ANSWER|SCORE)\s*$", t):
         return True
     state = Pushdown(t)
-    if any(x in ("```", "(", "[", "{", '"', "“", "„", "«") for x in state.stack):
+    if state.stack:
         return True
-    if t.endswith("```") or state.in_list:
+    if t.endswith("```"):
         return False
     end = t.rstrip("\"'”’»)]}*_` ")
     if end.endswith(("...", "…")) or re.search(r"\s\.+$", end):
@@ -141,6 +173,12 @@ def is_truncated(text: str, labels: frozenset[str] = frozenset()) -> bool:
     if end[-1:] in ".!?。！？":
         return False
     bare = end.lower()
+    if state.items:
+        item = state.items[-1].rstrip("\"'”’»)]}*_` ").lower()
+        if item in labels or item in ("yes", "no", "ja", "nein") or item.isdigit():
+            return False
+        known = {w for x in (t[: t.rfind("\n") + 1], " ".join(words(state.items[-1])[:-1]), prompt, *labels) for w in words(x)}.union(*_FUNCTION.values())
+        return _item_is_cut(state.items, known)
     return not (bare in labels or bare in ("yes", "no", "ja", "nein") or bare.isdigit())
 
 
@@ -269,7 +307,7 @@ def defect(answer: str | None, prompt: str | None, labels: frozenset[str] = froz
         return "refusal"
     if p and in_other_language(a, p):
         return "other_language"
-    return "truncated" if is_truncated(a, labels) else None
+    return "truncated" if is_truncated(a, labels, p) else None
 
 
 def answer_segments(resps: Column, filtered: Column) -> Column:
