@@ -28,6 +28,19 @@ def test_defects(answer, prompt, want):
     assert defect(answer, prompt, frozenset(["drinking", "jarlid"])) == want
 
 
+HINDI, CHINESE = "हाथ धीरे से कप उठाता है और मेज पर रखता है।", "左手慢慢地举起杯子。"
+
+
+@pytest.mark.parametrize(("answer", "prompt", "other"), [
+    (HINDI, PROMPT, True), ("হাত ধীরে কাপ তোলে।", PROMPT, True), ("கை மெதுவாக கோப்பையை தூக்குகிறது.", PROMPT, True), ("มือยกถ้วยขึ้นช้าๆ", PROMPT, True),
+    ("ხელი ნელა ასწევს ჭიქას.", PROMPT, True), ("Ձեռքը դանդաղ բարձրացնում է բաժակը։", PROMPT, True), ("היד מרימה את הכוס.", "ترفع اليد الكوب ببطء؟", True),
+    (CHINESE, "手がゆっくりコップを持ち上げるか。", True), ("손이 천천히 컵을 든다.", CHINESE, True), ("右手拿着杯子。", CHINESE, False), (CHINESE, PROMPT, True), ("Да.", PROMPT, True),
+    (PROMPT[:40] + " β. " + FINE, PROMPT, False), (FINE, HINDI, True), ("कप मेज पर है और हाथ स्थिर है।", HINDI, False), ("Der Winkel α ist klein und das Glas steht.", GERMAN, False),
+])
+def test_scripts(answer, prompt, other):
+    assert (defect(answer, prompt) == "other_language") is other
+
+
 def test_pushdown():
     assert is_truncated("See `x` and **bold** text:\n```\ncode") and not is_truncated("Done:\n```\ncode\n```")
     assert is_truncated("He said \"stop it.") and not is_truncated("He said \"stop it.\"")

@@ -11,6 +11,8 @@ empty, copy, refusal, other_language, truncated.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -263,16 +265,33 @@ def is_refusal(answer: str) -> bool:
     return bool(REFUSALS.search(t)) and not (m and words(m.group(1)))
 
 
+@lru_cache(maxsize=65536)
+def _script_of(c: str) -> str:
+    """A letter's script by its Unicode name, "" if it is of none (signs, styled letters)."""
+    first = re.split(r"[ -]", unicodedata.name(unicodedata.normalize("NFKC", c)[0], ""), maxsplit=1)[0]
+    return "" if first in ("", "MODIFIER", "FEMININE", "MASCULINE", "DOUBLE", "TURNED", "ALEF", "KANGXI") else first
+
+
+def script(text: str) -> str | None:
+    """The script of most letters, None without letters. Kana makes Chinese
+    characters Japanese, and fewer of them than Hangul are Korean."""
+    n = Counter(map(_script_of, filter(str.isalpha, text)))
+    del n[""]
+    kana, han = n.pop("HIRAGANA", 0) + n.pop("KATAKANA", 0), n.pop("CJK", 0)
+    for name, part in (("JAPANESE", kana * 20 >= kana + han and kana), ("HANGUL", n["HANGUL"] > han)):
+        if part:
+            n[name] += kana + han
+            break
+    else:
+        n["CJK"] = han + kana
+    top = max(n, key=lambda x: (n[x], x == "LATIN"))
+    return top if n[top] else None
+
+
 def language(text: str) -> str | None:
     """Language by script, then by function words; None if nothing tells."""
-    letters = {"CYRILLIC": 0, "GREEK": 0, "CJK": 0, "ARABIC": 0, "LATIN": 0}
-    for c in text:
-        if c.isalpha():
-            o = ord(c)
-            k = ("LATIN" if o < 0x370 else "GREEK" if o < 0x400 else "CYRILLIC" if o < 0x530 else "ARABIC" if 0x590 <= o < 0x900 else "CJK" if 0x2e80 <= o < 0xd800 else "LATIN")
-            letters[k] += 1
-    top = max(letters, key=letters.get)
-    if letters[top] and top != "LATIN":
+    top = script(text)
+    if top and top != "LATIN":
         return top.lower()
     w = words(text)
     hits = {lang: sum(x in known for x in w) for lang, known in _FUNCTION.items()}
@@ -282,16 +301,22 @@ def language(text: str) -> str | None:
 
 def in_other_language(answer: str, prompt: str) -> bool:
     """Whether the answer's own words (the prompt's and the closing line left
-    out) are clearly in another language than the prompt."""
-    own = re.sub(r"FINAL_\w*\s*:?[^\n]*$", " ", answer)
-    a, p = words(own), words(prompt)
+    out) are clearly in another script or language than the prompt. Fewer than
+    three words tell a script only, and only where it is the whole answer's."""
+    body = re.sub(r"FINAL_\w*\s*:?[^\n]*$", " ", answer)
+    a, p = words(body), words(prompt)
     own = " ".join(x for x, c in zip(a, tiles(a, p)) if not c)
+    asked_in, told_in = script(prompt), script(own)
+    few = len(own.split()) < 3
+    if not asked_in or not told_in or few and (told_in == "LATIN" or script(body) != told_in):
+        return False
+    if asked_in != told_in:
+        return True
     asked, told = language(prompt), language(own)
-    if not asked or not told or asked == told or len(own.split()) < 3:
+    if not asked or not told or asked == told:
         return False
     known = _FUNCTION.get(asked, set())
-    told_hits = sum(x in _FUNCTION.get(told, ()) for x in own.split()) if told in _FUNCTION else 99
-    return told_hits > sum(x in known for x in own.split())
+    return sum(x in _FUNCTION[told] for x in own.split()) > sum(x in known for x in own.split())
 
 
 def defect(answer: str | None, prompt: str | None, labels: frozenset[str] = frozenset()) -> str | None:
