@@ -32,6 +32,13 @@ def test_field_that_comes_back(spark):
     assert changes(spark, [{"a": 1, "z": 0}, {"z": 0}, {"a": 3, "z": 0}]) == {(2, "removed", "a", ""), (3, "added", "", "a")}
 
 
+def test_file_without_fields(spark):
+    assert changes(spark, [{"a": 1, "b": 2}, {}, {"a": 1}, {}]) == {(2, "removed", "a", ""), (2, "removed", "b", ""), (3, "added", "", "a"), (4, "removed", "a", "")}
+    assert changes(spark, [{}, {"a": 1}]) == {(2, "added", "", "a")} and changes(spark, [{}]) == set()
+    fields = runs(spark, [{"a": 1}, {}, {"a": 1}])
+    assert sorted(r.run_no for r in unified(fields, field_changes(fields)).collect()) == [1, 3]
+
+
 def test_unified_follows_chains(spark):
     fields = runs(spark, [{"a": 1.0, "k": 7.5}, {"b": 1.0, "k": 7.5}, {"c": 1.01, "k": 7.5}, {"d": 1.0, "k": "7.5"}])
     rows = unified(fields, field_changes(fields)).collect()

@@ -115,7 +115,8 @@ def _classify(gone: list[dict], come: list[dict]) -> list[tuple[str, str, str]]:
 
 
 def profiled_fields(df: DataFrame) -> DataFrame:
-    """One row per (series, task, file, field), materialised, with the file's
+    """One row per (series, task, file, field), and one with a NULL field for a
+    file without fields, materialised, with the file's
     position among the task's files (``file_pos`` from 1), the field's position
     before and after (``prev_pos``, ``next_pos``) and ``seen_type``, the type
     last seen up to this file.
@@ -128,7 +129,7 @@ def profiled_fields(df: DataFrame) -> DataFrame:
     placed = running_total(
         files, ["series", "task"], F.to_date("written_at"), ["written_at", "run_no"], F.lit(1), "file_pos"
     )
-    rows = placed.select("series", "task", "file_pos", "run_no", F.inline("fields"))
+    rows = placed.select("series", "task", "file_pos", "run_no", F.inline_outer("fields"))
     w = Window.partitionBy("series", "task", "field").orderBy("file_pos")
     return materialize(
         rows.withColumn("prev_pos", F.lag("file_pos").over(w))
@@ -152,7 +153,7 @@ def field_changes(fields: DataFrame) -> DataFrame:
     )
     item = F.struct("field", F.col("seen_type").alias("value_type"), "number")
     files = fields.groupBy("series", "task", "file_pos").agg(F.first("run_no").alias("run_no"))
-    moves = fields.select(
+    moves = fields.where("field IS NOT NULL").select(
         "series", "task",
         F.inline(F.filter(F.array(
             F.when(F.coalesce(F.col("prev_pos") < F.col("file_pos") - 1, F.col("prev_pos").isNull()) & (F.col("file_pos") > 1),
@@ -187,7 +188,7 @@ def unified(fields: DataFrame, changes: DataFrame) -> DataFrame:
     """
     k = ["series", "task"]
     w = Window.partitionBy(*k, "field").orderBy("file_pos")
-    stays = fields.withColumn("since", F.last(F.when(F.coalesce(F.col("prev_pos") < F.col("file_pos") - 1, F.lit(True)), F.col("file_pos")), ignorenulls=True).over(w))
+    stays = fields.where("field IS NOT NULL").withColumn("since", F.last(F.when(F.coalesce(F.col("prev_pos") < F.col("file_pos") - 1, F.lit(True)), F.col("file_pos")), ignorenulls=True).over(w))
     stays = materialize(stays, "stays")
     ends = stays.groupBy(*k, "field", "since").agg(F.max("file_pos").alias("until"))
     renames = changes.where("change_kind = 'renamed'").select(*k, "old_field", "new_field", F.col("file_pos").alias("at"))
