@@ -2,7 +2,8 @@
 
 A group's rows are counted by value first. A round draws as many rows as the
 group has, with replacement: a multinomial count per different value, from
-which the statistic follows by weighted sums (the median by running counts).
+which the statistic follows by weighted sums; the median's draws have a law of
+their own.
 Rounds are dealt in chunks, each with its own seed, so the result is the same
 at every partitioning; a chunk holds the different values of one group.
 """
@@ -41,12 +42,16 @@ def statistic(name: str):
     return add
 
 
-@statistic("median")
-def _median(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """``x`` is in ascending order; even numbers of rows take the middle of two values."""
-    upto, last = w.cumsum(1), int(w[0].sum()) - 1
-    low, high = ((upto <= p).sum(1) for p in (last // 2, last - last // 2))
-    return (x[low, 0] + x[high, 0]) / 2
+def medians(times: np.ndarray, x: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Medians of resamples, without their other rows: the k-th of n uniform draws
+    is Beta(k, n - k + 1), the next one lies a Beta(1, n - k) of the rest above.
+    ``x`` is in ascending order; even numbers of rows take the middle of two values."""
+    n, upto = int(times.sum()), times.cumsum()
+    k = (n + 1) // 2
+    low = rng.beta(k, n - k + 1, rounds)
+    high = low if n % 2 else low + (1 - low) * rng.beta(1, n - k, rounds)
+    a, b = (x[np.searchsorted(upto, np.minimum((u * n).astype(int), n - 1), side="right"), 0] for u in (low, high))
+    return (a + b) / 2
 
 
 def _sides(w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,7 +97,7 @@ def bootstrap(df: DataFrame, keys: list[str], values: list[str], name: str, roun
     cells = known.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
     dealt = cells.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // CHUNK))))
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_m", T.DoubleType())])
-    arrow, f = to_arrow_schema(schema), STATISTICS[name]
+    arrow, f = to_arrow_schema(schema), STATISTICS.get(name)
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         x = part["_x"].combine_chunks().flatten().to_numpy().reshape(-1, len(values))
@@ -102,7 +107,8 @@ def bootstrap(df: DataFrame, keys: list[str], values: list[str], name: str, roun
         todo = min(CHUNK, rounds - chunk * CHUNK) if times.sum() > 1 else 0
         rng, step, found = np.random.default_rng([seed, chunk]), max(1, CELLS // len(times)), []
         for at in range(0, todo, step):
-            found.append(f(resample(times, min(step, todo - at), rng), x))
+            size = min(step, todo - at)
+            found.append(medians(times, x, size, rng) if name == "median" else f(resample(times, size, rng), x))
         m = pa.array(np.concatenate(found) if found else [], type=pa.float64())
         return pa.Table.from_arrays([pa.array([k.as_py()] * len(m), type=arrow.field(i).type) for i, k in enumerate(key[:-1])] + [m], schema=arrow)
 

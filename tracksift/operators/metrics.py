@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.operators.bootstrap import ROUNDS, bootstrap
 from tracksift.operators.ranks import running_total
 from tracksift.session import materialize
 
@@ -90,18 +91,10 @@ STANDARD_ERRORS = {"mean": "closed", "acc_all": "closed", "median": "bootstrap",
                    "bleu": "bootstrap", "chrf": "bootstrap", "ter": "bootstrap"}
 
 
-def bootstrap_stderr(df: DataFrame, keys: list[str], value: str, row_id: str, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """(keys, stderr) of the mean by Poisson resampling: each row counts in each
-    round as often as a hash of (seed, round, row) says, so the result is the
-    same at every partitioning. Rounds are summed up before the shuffle."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "_round", row_id), F.lit(1 << 30)) / float(1 << 30)
-    times, steps, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        steps += p / math.factorial(k)
-        times = times + F.when(u >= steps, 1).otherwise(0)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_n", times)
-    sums = rows.groupBy(*keys, "_round").agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("_m"))
-    return sums.groupBy(*keys).agg(F.stddev_samp("_m").alias("stderr"))
+def bootstrap_stderr(df: DataFrame, keys: list[str], value: str, row_id: str, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """(keys, stderr) of the mean by ``bootstrap``. Rows are counted by value, so
+    ``row_id`` makes no difference."""
+    return bootstrap(df, keys, [value], "mean", rounds, seed)
 
 
 def pooled_stderr(se: Column, n: Column) -> Column:

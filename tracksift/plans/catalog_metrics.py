@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracksift.operators import metrics as M
+from tracksift.operators.bootstrap import bootstrap
 from tracksift.operators import sampling as P
 from tracksift.operators import state as K
 from tracksift.operators import stats as Z
@@ -173,8 +174,9 @@ def agg_group_rollup(spark, sf_dir):
 
 @query()
 def agg_bootstrap_se(spark, sf_dir):
+    """Of each task's median accuracy, over 100,000 rounds."""
     rows = log_rows(spark, sf_dir, "sample_log", "task", "accuracy")
-    return M.bootstrap_stderr(rows, ["task"], "accuracy", "sample_no", rounds=100)
+    return bootstrap(rows, ["task"], ["accuracy"], "median")
 
 
 @query("""
