@@ -1,5 +1,6 @@
 """Small cases worked out by hand, and plain-Python versions of stateful passes."""
 
+import os
 import random
 
 import pytest
@@ -17,7 +18,11 @@ from tracksift.operators import windows as W
 from tracksift.operators.corpus_scores import corpus_scores, translation_edits
 from tracksift.operators.interval_joins import asof_join, overlap_join, substring_join
 from tracksift.operators.ranks import running_total
+from tracksift.plans import catalog_more, catalog_tasks  # noqa: F401 (they register their queries)
+from tracksift.plans.catalog import QUERIES
+from tracksift.sources.tables import log_rows
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LABELS = ["idle", "reach", "transport", "stabilize", "reposition"]
 
 
@@ -213,6 +218,18 @@ def test_substring_join(spark):
     assert {tuple(r) for r in substring_join(t, "t", n, "n", 3).distinct().collect()} == {(a, b) for a in texts for b in needles if b in a}
 
 
+def test_corpus_scores_of_empty_answers(spark):
+    df = spark.createDataFrame([("g", "", "a b")], "k string, h string, r string")
+    row = corpus_scores(df, ["k"], "h", "r").first()
+    assert (row.bleu, row.chrf, row.ter) == (0.0, 0.0, 100.0)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
+def test_corpus_scores_of_all_tasks(spark):
+    log = log_rows(spark, SF, "sample_log", "task", "target", "filtered_resps").where("filtered_resps IS NOT NULL AND target IS NOT NULL")
+    assert {(r.task, r.n) for r in QUERIES["agg_corpus_scores"](spark, SF).collect()} == {tuple(r) for r in log.groupBy("task").count().collect()}
+
+
 def test_corpus_scores(spark):
     df = spark.createDataFrame([("g", "the cat sat on the mat", "the cat sat on the mat"), ("g", None, "x")], "k string, h string, r string")
     row = corpus_scores(df, ["k"], "h", "r").first()

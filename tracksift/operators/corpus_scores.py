@@ -56,7 +56,7 @@ def translation_edits(hyp: list[str], ref: list[str], max_shift: int = 10) -> in
     such move is made."""
     shifts, words = 0, list(hyp)
     best = edit_distance(words, ref)
-    while best:
+    while best > abs(len(words) - len(ref)) + 1:  # no move changes the lengths, nor what they cost
         found = None
         for size in range(min(max_shift, len(words)), 0, -1):
             known = grams(ref, size)

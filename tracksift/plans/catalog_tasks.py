@@ -92,10 +92,9 @@ def modal_path_depth(spark, sf_dir):
 
 @query()
 def agg_corpus_scores(spark, sf_dir):
-    """BLEU, chrF and TER of questions as asked against the other wording of the same item."""
-    q = table(spark, sf_dir, "fm_item_questions").select("question_type", "fm_video", "question", "qid")
-    pairs = q.join(q.select("fm_video", F.col("question").alias("other"), F.col("qid").alias("q2")), "fm_video").where("qid < q2")
-    return corpus_scores.corpus_scores(pairs, ["question_type"], "question", "other")
+    """BLEU, chrF and TER of each task's whole answers against their targets."""
+    rows = log_rows(spark, sf_dir, "sample_log", "task", "target", "filtered_resps")
+    return corpus_scores.corpus_scores(rows.withColumn("answer", F.array_join("filtered_resps", "\n")), ["task"], "answer", "target")
 
 
 @query(f"""
