@@ -230,6 +230,14 @@ def test_corpus_scores_of_all_tasks(spark):
     assert {(r.task, r.n) for r in QUERIES["agg_corpus_scores"](spark, SF).collect()} == {tuple(r) for r in log.groupBy("task").count().collect()}
 
 
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
+def test_whole_sample_log(spark):
+    log = log_rows(spark, SF, "sample_log", "task", "doc_id", "target", "arguments", "resps", "filtered_resps")
+    text = F.to_json(F.struct("doc_id", "target", "arguments", "resps", "filtered_resps"), {"ignoreNullFields": "false"})
+    got, want = (sorted(r[0] for r in df.select(text).collect()) for df in (QUERIES["io_jsonl_whole"](spark, SF), log))
+    assert got == want
+
+
 def test_corpus_scores(spark):
     df = spark.createDataFrame([("g", "the cat sat on the mat", "the cat sat on the mat"), ("g", None, "x")], "k string, h string, r string")
     row = corpus_scores(df, ["k"], "h", "r").first()

@@ -16,6 +16,7 @@ from tracksift.operators import windows as W
 from tracksift.plans.catalog import query
 from tracksift.plans.catalog_sequences import EV, events
 from tracksift.session import shared_dir
+from tracksift.session import materialize
 from tracksift.sources import logs as L
 from tracksift.sources.tables import log_rows, table
 
@@ -48,6 +49,17 @@ def io_jsonl(spark, sf_dir):
     return read.select("doc_id", "target", F.when(F.col("filtered_resps").isNotNull(), F.size("filtered_resps")).cast("bigint").alias("n"))
 
 
+@query()
+def io_jsonl_whole(spark, sf_dir):
+    """The round trip of all samples, nested and NULL fields included; ``io_jsonl``'s SQL takes one task."""
+    path = _path(spark, "jsonl")
+    cols = ["doc_id", "target", "arguments", "resps", "filtered_resps"]
+    lines = log_rows(spark, sf_dir, "sample_log", *cols).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    lines.unionByName(spark.range(1).select(F.lit('{"doc_id": 1, "target').alias("value"))).write.text(path)
+    read = materialize(L.read_samples(spark, path).select(*cols, "_corrupt_record"), "samples")  # Spark counts no rows by that column alone
+    return read.where("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def io_records(spark, sf_dir):
     """One file of concatenated objects over several lines, between other text."""
