@@ -218,6 +218,13 @@ def test_substring_join(spark):
     assert {tuple(r) for r in substring_join(t, "t", n, "n", 3).distinct().collect()} == {(a, b) for a in texts for b in needles if b in a}
 
 
+def test_substring_join_of_short_needles(spark):
+    texts, needles = ["alphabet soup", "betamax", "xx", "x", "", None], ["x", "be", "xx", "soup", "q", "", None]
+    t, n = spark.createDataFrame([(x,) for x in texts], "t string"), spark.createDataFrame([(x,) for x in needles], "n string")
+    got = sorted(tuple(r) for r in substring_join(t, "t", n, "n", 3).collect())
+    assert got == sorted((a, b) for a in texts for b in needles if a is not None and b is not None and b in a)
+
+
 def test_corpus_scores_of_empty_answers(spark):
     df = spark.createDataFrame([("g", "", "a b")], "k string, h string, r string")
     row = corpus_scores(df, ["k"], "h", "r").first()

@@ -8,7 +8,7 @@ starts only, so it comes out once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,14 @@ def asof_join(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, val
 def substring_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, n: int) -> DataFrame:
     """Pairs where ``needle`` is contained in ``text``, joined on the needle's first
     ``n`` characters among the text's n-grams (each once per text) and then
-    checked. Needles shorter than ``n`` match nothing: choose ``n`` by the
-    shortest needle that means something."""
-    at = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    grams = texts.where(F.length(text) >= n).withColumn("_g", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(n))))))
-    long = needles.where(F.length(needle) >= n).withColumn("_g", F.substring(needle, 1, n))
-    return grams.join(long, "_g").where(F.contains(F.col(text), F.col(needle))).drop("_g")
+    checked. Shorter needles are joined on the text's shorter grams, the empty one
+    with every text."""
+    size = F.length(text)
+
+    def pieces(k: int) -> Column:
+        at = F.when(size >= k, F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(k)))
+
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(k) for k in range(1, n + 1)]))
+    grams = texts.where(F.col(text).isNotNull()).withColumn("_g", F.explode(every))
+    return grams.join(needles.withColumn("_g", F.substring(needle, 1, n)), "_g").where(F.contains(F.col(text), F.col(needle))).drop("_g")
