@@ -95,9 +95,65 @@ def test_unknown_runs(spark):
     assert got == {k: named_runs(s) for k, s in seqs.items()}
 
 
-def test_smoothing_passes():
-    assert K.fill_between(list("AABBAAB"), "A", 2) == ["A"] * 7
-    assert K.soften_turns(["idle"] * 3 + ["transport"] * 3, 1) == ["idle", "idle", "reach", "reach", "transport", "transport"]
+def frames_of(spark, seqs):
+    return spark.createDataFrame([(k, i, x) for k, s in seqs.items() for i, x in enumerate(s)], "id string, _pos bigint, label string")
+
+
+def by_key(df, label="label", at="_pos"):
+    got = {}
+    for r in df.orderBy("id", at).collect():
+        got.setdefault(r.id, []).append(r[label])
+    return got
+
+
+def test_windows_are_filled(spark):
+    cases = {"a": "AABBAAB", "b": "AABBBBAA", "c": "ABBBAB", "d": "BBAABAABAA", "e": "A", "f": "AAB", "g": "BBBBBBB", "h": "AACCAB"}
+    want = {"a": "AAAAAAA", "b": "AABBBBAA", "c": "ABAAAB", "d": "BBAAAAAAAA", "e": "A", "f": "AAA", "g": "BBBBBBB", "h": "AAAAAB"}
+    assert by_key(K.fill_windows(frames_of(spark, cases), "id", "label", "A", 2)) == {k: list(v) for k, v in want.items()}
+    rng = random.Random(8)
+    seqs = {f"v{i}": rng.choices("AAB", k=rng.randint(1, 25)) for i in range(60)}
+    got = by_key(K.fill_windows(frames_of(spark, seqs), "id", "label", "A", 3))
+    for k, s in seqs.items():  # what a filled frame must have around it, window by window
+        heads = [x == "A" for x in s[::3]]
+        now = list(heads)
+        for i in range(len(heads)):
+            part = s[3 * i : 3 * i + 3]
+            inside = 0 < i < len(heads) - 1 and now[i - 1] and heads[i + 1]
+            tail = len(part) < 3 and i > 0 and now[i - 1]
+            now[i] = heads[i] or inside or tail
+            assert got[k][3 * i : 3 * i + 3] == (["A"] * len(part) if inside or tail else part)
+
+
+def test_turns_are_opened(spark):
+    idle, move = "idle", "transport"
+    cases = {"one": [idle] * 3 + [move] * 3, "back": [move] * 2 + [idle] * 2, "close": [idle, move, idle, move, idle, move], "none": [idle, "reach", move], "empty": [None, move]}
+    turns = {(idle, move): "reach", (move, idle): "reposition"}
+    got = by_key(K.open_turns(frames_of(spark, cases), "id", "label", 1, turns))
+    assert got["one"] == [idle, idle, "reach", "reach", move, move] and got["back"] == [move, "reposition", "reposition", idle]
+    assert got["close"] == ["reach", "reach", "reach", "reach", "reach", "reach"] and got["none"] == cases["none"] and got["empty"] == cases["empty"]
+    wide = by_key(K.open_turns(frames_of(spark, {"v": [idle] * 4 + [move] * 3 + [idle] * 4}), "id", "label", 2, turns))
+    assert wide["v"] == [idle, idle, "reach", "reach", "reach", "reposition", "reposition", "reposition", "reposition", idle, idle][: 11]
+
+
+def test_held_steady_frames(spark):
+    rows = [("v", t, "x", 1 <= t <= 20, t in (2, 3, 4, 5) or t in (15, 16)) for t in range(24)] + [("w", t, "x", t < 9, t == 1) for t in range(12)] + [("n", 0, "x", None, None)]
+    df = spark.createDataFrame(rows, "id string, t int, label string, h boolean, s boolean")
+    got = by_key(K.hold_stabilize(df, "id", ["t"], "label", "h", "s", 2), at="t")
+    assert [i for i, x in enumerate(got["v"]) if x == "stabilize"] == [2, 3, 4, 5, 19, 20]
+    assert got["w"] == ["x"] * 12 and got["n"] == ["x"]
+    assert [i for i, x in enumerate(by_key(K.hold_stabilize(df.where("t >= 13"), "id", ["t"], "label", "h", "s", 2), at="t")["v"]) if x == "stabilize"] == [6, 7]
+
+
+def test_flags_turn_set_and_stay(spark):
+    rng = random.Random(3)
+    rows = [(k, t, rng.random() < 0.4, rng.choice([True, False, False, None])) for k in range(20) for t in range(30)]
+    df = spark.createDataFrame(rows, "id int, t int, starts boolean, ends boolean")
+    got = {(r.id, r.t): r.on for r in K.two_flag_states(df, ["id"], ["t"], {"on": F.col("starts")}, {"on": F.col("ends")}).collect()}
+    state, last = False, None
+    for k, t, starts, ends in sorted(rows, key=lambda r: r[:2]):
+        state = (not ends if state else starts) if k == last else starts
+        last = k
+        assert got[k, t] == state
 
 
 def test_tracker():

@@ -32,7 +32,13 @@ def register_aggregation(name: str):
 
 @register_aggregation("mean")
 def mean(v: Column) -> Column:
-    return F.avg(v)
+    """The mean over the rows with a value, the same in whatever order they come:
+    values are added as decimals of twelve places and divided once. Where a
+    value is too large or too small for that, or not finite, it is ``avg``."""
+    d = v.cast("double")
+    exact = d.try_cast("decimal(28,12)")
+    fits = F.count_if(exact.isNotNull() & ((d == 0) | (F.abs(d) >= 1e-6))) == F.count(d)
+    return F.when(fits, F.try_divide(F.sum(exact).cast("double"), F.count(d))).otherwise(F.avg(d))
 
 
 @register_aggregation("median")

@@ -1,78 +1,148 @@
-"""Keyed state: folds over ordered rows, smoothing passes and box tracking.
+"""Keyed state: flags over ordered rows, smoothing passes and box tracking.
 
-A fold whose next state depends on the state is a Column over the ordered
-array of an entity where the state is small; passes that rewrite a sequence in
-place, and trackers, run per entity over Arrow.
+What a state needs to know of the rows before is put into running windows;
+only trackers run per entity over Arrow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.functions.arrow import map_partition
+from tracksift.session import materialize
+
 
 def two_flag_states(df: DataFrame, keys: list[str], order: list[str], when_off: dict[str, Column], when_on: dict[str, Column]) -> DataFrame:
     """Rows (keys, *order, *flags): per flag the state after each row.
 
     ``when_off`` and ``when_on`` give, per flag, the answer to the question that
     is asked while the flag is off (does it start?) and on (does it end?), of
-    which only the one the state asks for counts.
+    which only the one the state asks for counts. A row where just one answer is
+    yes sets the state whatever it was, one with two yeses turns it over, one
+    with none leaves it: the state is that of the last row that set it, turned
+    over as often as rows since do, which running windows give. A NULL answer
+    is a no; ties in ``order`` are in an arbitrary order.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df
+    for f in when_off:
+        starts, ends = F.coalesce(when_off[f], F.lit(False)), F.coalesce(when_on[f], F.lit(False))
+        rows = rows.withColumn(f"__s_{f}", F.when(starts != ends, starts)).withColumn(f"__t_{f}", (starts & ends).cast("int"))
+    for f in when_off:
+        turns = F.sum(f"__t_{f}").over(w)
+        rows = rows.withColumn(f"__n_{f}", turns)
+    states = []
+    for f in when_off:
+        at_set = F.when(F.col(f"__s_{f}").isNotNull(), F.struct(F.col(f"__s_{f}").alias("on"), F.col(f"__n_{f}").alias("n")))
+        last = F.last(at_set, ignorenulls=True).over(w)
+        since = F.col(f"__n_{f}") - F.coalesce(last["n"], F.lit(0))
+        states.append((F.coalesce(last["on"], F.lit(False)) != (since % 2 == 1)).alias(f))
+    return rows.select(*keys, *order, *states)
+
+
+def fill_windows(frames: DataFrame, key: str, label: str, element: str, width: int) -> DataFrame:
+    """``frames`` (with ``_pos`` from 0) with the windows of ``width`` frames that lie
+    between windows beginning with ``element`` given to it whole, and a part
+    window at the end given to it after one that does.
+
+    A window only counts by its first frame, so the rule runs on a table of
+    window heads. Filling one window can matter to the next only where that
+    begins with the element itself, hence two windows back are looked at and
+    nothing has to be done one after the other.
     """
-    flags = list(when_off)
-    row = F.struct(*order, *[when_off[f].alias(f"_off_{f}") for f in flags], *[when_on[f].alias(f"_on_{f}") for f in flags])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    start = F.array().cast("array<struct<" + ",".join(f"`{f}`: boolean" for f in flags) + ">>")
-
-    def step(acc: Column, x: Column) -> Column:
-        now = []
-        for f in flags:
-            was = F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))[f]).otherwise(False)
-            now.append(F.when(was, ~x[f"_on_{f}"]).otherwise(x[f"_off_{f}"]).alias(f))
-        return F.concat(acc, F.array(F.struct(*now)))
-
-    states = rows.withColumn("_s", F.aggregate("_rows", start, step))
-    return states.select(*keys, F.inline(F.zip_with("_rows", "_s", lambda r, s: F.struct(*[r[o].alias(o) for o in order], *[s[f].alias(f) for f in flags]))))
-
-
-def fill_between(seq: list, element: object, width: int) -> list:
-    """Windows between two windows of ``element`` filled with it, one after the
-    other in place, and a part window at the end after one of it."""
-    out = list(seq)
-    for at in range(width, len(out) - width, width):
-        if out[at - width] == element and out[at + width] == element:
-            out[at : at + width] = [element] * width
-    rest = len(out) % width
-    if rest and len(out) - rest - width >= 0 and out[len(out) - rest - width] == element:
-        out[len(out) - rest :] = [element] * rest
-    return out
-
-
-def soften_turns(seq: list[str], half: int) -> list[str]:
-    """Direct turns between idle and transport opened up by ``half`` frames to each
-    side, as reach (towards transport) or reposition, in place from the left."""
-    out = list(seq)
-    for i in range(1, len(out)):
-        turn = (out[i - 1], out[i])
-        if turn in (("idle", "transport"), ("transport", "idle")):
-            for j in range(max(0, i - half), min(len(out), i + half)):
-                out[j] = "reach" if turn[1] == "transport" else "reposition"
-    return out
+    at = F.floor(F.col("_pos") / width)
+    heads = frames.where(F.col("_pos") % width == 0).select(
+        F.col(key).alias("_hk"), at.alias("_win"), F.coalesce(F.col(label) == element, F.lit(False)).alias("_is"))
+    sizes = frames.groupBy(F.col(key).alias("_hk"), at.alias("_win")).agg(F.count("*").alias("_size"))
+    w = Window.partitionBy("_hk").orderBy("_win")
+    near = lambda n: F.coalesce((F.lag("_is", -n) if n < 0 else F.lead("_is", n)).over(w), F.lit(False))
+    before = F.lag("_is", 1).over(w)
+    came = F.coalesce(before, F.lit(False)) | (F.col("_is") & F.coalesce(F.lag("_is", 2).over(w), F.lit(False)) & before.isNotNull())
+    marks = heads.join(sizes, ["_hk", "_win"]).select(
+        "_hk", "_win", "_size", "_is", (near(1) & came).alias("_mid"), before.isNotNull().alias("_second"), came.alias("_came"))
+    # the head before a part window, after the windows before it were filled
+    held = F.lag(F.col("_is") | F.col("_mid"), 1).over(w)
+    filled = marks.select("_hk", F.col("_win").alias("_fw"), F.when(F.col("_size") < width, F.coalesce(held, F.lit(False))).otherwise(F.col("_mid") & F.col("_second")).alias("_fill"))
+    joined = frames.withColumn("_win", at).join(filled, (F.col(key) == F.col("_hk")) & (F.col("_win") == F.col("_fw")))
+    return joined.select(*[F.when(F.col("_fill"), F.lit(element)).otherwise(F.col(c)).alias(c) if c == label else c for c in frames.columns])
+
+
+def open_turns(frames: DataFrame, key: str, label: str, half: int, turns: dict[tuple[str, str], str]) -> DataFrame:
+    """``frames`` (with ``_pos``) with direct turns opened up by ``half`` frames to each
+    side: ``turns`` maps (before, after) to the label put there.
+
+    A turn within the frames that an earlier one opened up is none any more.
+    That choice goes from turn to turn, with one number of state, over the rows
+    of the turns alone; a frame takes the latest turn that reaches it.
+    """
+    w = Window.partitionBy(key).orderBy("_pos")
+    before = F.lag(label).over(w)
+    to = F.coalesce(*[F.when((before == a) & (F.col(label) == b), F.lit(c)) for (a, b), c in turns.items()])
+    found = frames.withColumn("_to", to).where("_to IS NOT NULL").select(key, "_pos", "_to")
 
+    def choose(rows: Iterator[tuple]) -> Iterator[tuple]:
+        who, last = None, 0
+        for k, pos, named in rows:
+            if k != who or pos > last + half:
+                who, last = k, pos
+                yield k, pos, named
 
-def smooth(df: DataFrame, key: str, order: list[str], label: str, elements: list[str], width: int) -> DataFrame:
-    """(key, *order, label): ``fill_between`` for each element in turn, then
-    ``soften_turns``. An entity's sequence is one video's frames."""
-    cols = [key, *order, label]
+    kept = map_partition(found.repartition(key).sortWithinPartitions(key, "_pos"), choose, found.schema)
+    reach = kept.select(F.col(key).alias("_hk"), F.explode(F.sequence(F.col("_pos") - half, F.col("_pos") + (half - 1))).alias("_at"), F.col("_pos").alias("_turn"), "_to")
+    latest = reach.groupBy("_hk", "_at").agg(F.max_by("_to", "_turn").alias("_to"))
+    joined = frames.join(latest, (F.col(key) == F.col("_hk")) & (F.col("_pos") == F.col("_at")), "left")
+    return joined.select(*[F.coalesce("_to", label).alias(c) if c == label else c for c in frames.columns])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        seq = list(pdf[label])
-        for e in elements:
-            seq = fill_between(seq, e, width)
-        return pdf.assign(**{label: soften_turns(seq, width // 2)})[cols]
 
-    return df.select(*cols).groupBy(key).applyInPandas(run, df.select(*cols).schema)
+def smooth(df: DataFrame, key: str, order: list[str], label: str, elements: list[str], width: int) -> DataFrame:
+    """(key, *order, label): ``fill_windows`` for each element in turn, then turns
+    between idle and transport opened up as reach and reposition.
+
+    Rows with a NULL key are left out; an empty table gives no row.
+    """
+    if width < 2:
+        raise ValueError("a window has two frames at least")
+    frames = df.where(F.col(key).isNotNull()).select(key, *order, label, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("bigint").alias("_pos"))
+    for e in elements:
+        frames = materialize(fill_windows(frames, key, label, e, width), "frames")
+    out = open_turns(frames, key, label, width // 2, {("idle", "transport"): "reach", ("transport", "idle"): "reposition"})
+    return out.select(key, *order, label)
+
+
+def hold_stabilize(df: DataFrame, key: str, order: list[str], label: str, holding: str, steady: str, width: int) -> DataFrame:
+    """(key, *order, label): stretches of ``steady`` frames within stretches of
+    ``holding`` frames, both booleans, brought into the labels as ``stabilize``.
+
+    A steady stretch of two windows or more is taken as it is. A shorter one that
+    ends at most three windows before the hold does turns the hold's last window
+    into ``stabilize``, and with it what lies between the last stretch taken
+    before and that window if it is less than a window. What reaches before the
+    first frame is cut off; NULL flags are false.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = df.where(F.col(key).isNotNull()).select(key, *order, label, (F.row_number().over(w) - 1).cast("bigint").alias("_pos"), flag(holding).alias("_h"), (flag(holding) & flag(steady)).alias("_s"))
+    frames = materialize(rows, "frames")
+    by = Window.partitionBy(key).orderBy("_pos")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    start = lambda c: (F.col(c) & ~F.coalesce(F.lag(c).over(by), F.lit(False))).cast("int")
+    runs = frames.select(key, "_pos", "_h", "_s", start("_h").alias("_nh"), start("_s").alias("_ns")).where("_h").select(
+        key, "_pos", "_s", F.sum("_nh").over(upto).alias("_hold"), F.sum("_ns").over(upto).alias("_run"))
+    ends = runs.groupBy(key, "_hold").agg((F.max("_pos") + 1).alias("_end"))
+    parts = runs.where("_s").groupBy(key, "_hold", "_run").agg(F.min("_pos").alias("_a"), (F.max("_pos") + 1).alias("_b")).join(ends, [key, "_hold"])
+    long = F.col("_b") - F.col("_a") >= 2 * width
+    earlier = Window.partitionBy(key, "_hold").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last(F.when(long, F.col("_b")), ignorenulls=True).over(earlier)
+    last = F.col("_end") - width
+    spans = parts.select(key, F.when(long, F.col("_a")).when(last - seen < width, F.least(seen, last)).otherwise(last).alias("_from"),
+                         F.when(long, F.col("_b")).otherwise(F.col("_end")).alias("_upto"), (long | (F.col("_end") - F.col("_b") <= 3 * width)).alias("_take")).where("_take")
+    hit = spans.select(F.col(key).alias("_hk"), F.explode(F.sequence(F.greatest("_from", F.lit(0)), F.col("_upto") - 1)).alias("_at")).distinct()
+    joined = frames.join(hit, (F.col(key) == F.col("_hk")) & (F.col("_pos") == F.col("_at")), "left")
+    return joined.select(key, *order, F.when(F.col("_at").isNotNull(), F.lit("stabilize")).otherwise(F.col(label)).alias(label))
 
 
 def box_iou(a: tuple, b: tuple) -> float:
@@ -125,4 +195,3 @@ def track_boxes(df: DataFrame, key: str, least: float = 0.3, max_age: int = 30)
         return pd.DataFrame(rows, columns=[key, "frame", "box", "track"])
 
     return df.groupBy(key).applyInPandas(run, schema)
-

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +23,14 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def sql_mean(x: str) -> str:
+    """SQL of the mean that doesn't depend on the order of rows."""
+    return f"(sum(CAST({x} AS DECIMAL(28,12)))::DOUBLE / count({x}))"
+
+
+def half_up(c: Column, places: int = 6) -> Column:
+    """Rounded as SQL rounds a double: scaled, halves away from zero, scaled back."""
+    scale = float(10**places)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale

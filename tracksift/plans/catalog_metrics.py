@@ -11,7 +11,7 @@ from tracksift.operators import sampling as P
 from tracksift.operators import state as K
 from tracksift.operators import stats as Z
 from tracksift.operators import windows as W
-from tracksift.plans.catalog import query
+from tracksift.plans.catalog import half_up, query, sql_mean
 from tracksift.plans.catalog_sequences import EV, events
 from tracksift.sources.tables import log_rows, table
 
@@ -19,7 +19,7 @@ _ONE = "(SELECT DISTINCT sample_no, task, id, target, accuracy, run_no FROM samp
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return half_up(c).alias(name)
 
 
 # --- metrics ----------------------------------------------------------------
@@ -138,13 +138,13 @@ def agg_median_unsorted(spark, sf_dir):
     return mids.join(rows.groupBy("task").agg(r6(M.median(F.col("accuracy")), "median")), "task")
 
 
-@query(f"SELECT task, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy) / sqrt(count(accuracy)), 6) AS stderr, count(accuracy) AS n FROM {_ONE} GROUP BY task")
+@query(f"SELECT task, round({sql_mean("accuracy")}, 6) AS mean, round(stddev_samp(accuracy) / sqrt(count(accuracy)), 6) AS stderr, count(accuracy) AS n FROM {_ONE} GROUP BY task")
 def agg_se(spark, sf_dir):
     v = F.col("accuracy")
     return log_rows(spark, sf_dir, "sample_log", "task", "accuracy").groupBy("task").agg(r6(M.mean(v), "mean"), r6(M.stderr(v), "stderr"), F.count(v).alias("n"))
 
 
-_TASKS = f"(SELECT task, stddev_samp(accuracy) / sqrt(count(accuracy)) AS se, avg(accuracy) AS v, count(accuracy) AS n FROM {_ONE} GROUP BY task)"
+_TASKS = f"(SELECT task, stddev_samp(accuracy) / sqrt(count(accuracy)) AS se, {sql_mean("accuracy")} AS v, count(accuracy) AS n FROM {_ONE} GROUP BY task)"
 
 
 @query(f"SELECT round(sqrt(sum((n - 1) * se * se * n) / (sum(n) - count(n)) / sum(n)), 6) AS pooled FROM {_TASKS}")
@@ -154,8 +154,8 @@ def agg_pooled_se(spark, sf_dir):
     return rows.agg(r6(M.pooled_stderr(F.col("se"), F.col("n")), "pooled"))
 
 
-@query("""
-    WITH s AS (SELECT s_suppkey, s_nationkey, avg(l_discount) AS v, stddev_samp(l_discount) / sqrt(count(*)) AS se, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+@query(f"""
+    WITH s AS (SELECT s_suppkey, s_nationkey, {sql_mean("l_discount")} AS v, stddev_samp(l_discount) / sqrt(count(*)) AS se, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
     a AS (SELECT 'n' || s_nationkey AS g, * FROM s UNION ALL SELECT 'r' || n_regionkey, s.* FROM s JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'all', * FROM s)
     SELECT g AS "group", 'discount' AS metric, round(sum(v * n) / sum(n), 6) AS value, round(sqrt(sum((n - 1) * se * se * n) / (sum(n) - count(n)) / sum(n)), 6) AS stderr, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY g
 """)
@@ -217,15 +217,15 @@ def agg_cdf_table(spark, sf_dir):
     return rows.groupBy("activity", "limit_s").agg(hit.alias("n"), r6(100.0 * hit / F.count("*"), "pct"))
 
 
-@query("""
-    SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS sd, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) AS sem
+@query(f"""
+    SELECT o_orderstatus, o_orderpriority, count(*) AS n, round({sql_mean("o_totalprice")}, 6) AS mean, round(stddev_samp(o_totalprice), 6) AS sd, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) AS sem
     FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())
 """)
 def agg_multi_stats(spark, sf_dir):
     v = "o_totalprice"
     s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
     return table(spark, sf_dir, "orders").groupingSets([[s], [p], []], s, p).agg(
-        F.count("*").alias("n"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "sd"), r6(F.stddev_samp(v) / F.sqrt(F.count("*")), "sem"))
+        F.count("*").alias("n"), r6(M.mean(F.col(v)), "mean"), r6(F.stddev_samp(v), "sd"), r6(F.stddev_samp(v) / F.sqrt(F.count("*")), "sem"))
 
 
 @query("SELECT activity, arg_max(height, n * 100000 - height) AS mode_height, max(n) AS mode_n FROM (SELECT activity, height, count(*) AS n FROM fp_metadata WHERE height IS NOT NULL GROUP BY ALL) GROUP BY activity")
@@ -295,12 +295,12 @@ def stat_chi2(spark, sf_dir):
     return Z.chi_square(cells, "o_orderstatus", "o_orderpriority", "n").select(r6(F.col("chi2"), "chi2"), "dof")
 
 
-@query("""
-    WITH p AS (SELECT l_linenumber AS test, avg(l_discount) * 0.5 AS p FROM lineitem GROUP BY l_linenumber), r AS (SELECT *, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER () AS m FROM p)
+@query(f"""
+    WITH p AS (SELECT l_linenumber AS test, {sql_mean("l_discount")} * 0.5 AS p FROM lineitem GROUP BY l_linenumber), r AS (SELECT *, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER () AS m FROM p)
     SELECT test, round(p, 6) AS p, round(max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, test), 6) AS p_holm FROM r
 """)
 def stat_holm(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("test")).agg((F.avg("l_discount") * 0.5).alias("p"))
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("test")).agg((M.mean(F.col("l_discount")) * 0.5).alias("p"))
     return Z.holm(p, "p").select("test", r6(F.col("p"), "p"), r6(F.col("p_holm"), "p_holm"))
 
 
@@ -341,9 +341,9 @@ def sort_natural(spark, sf_dir):
     return table(spark, sf_dir, "run_log").select("model_name").where("model_name IS NOT NULL").distinct().select("model_name", P.natural_key(F.col("model_name")).alias("sort_key"))
 
 
-@query("SELECT l_returnflag, l_suppkey, CAST(r AS INTEGER) AS place, round(v, 6) AS v FROM (SELECT l_returnflag, l_suppkey, avg(l_discount) AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY avg(l_discount) DESC, l_suppkey) AS r FROM lineitem GROUP BY l_returnflag, l_suppkey) WHERE r <= 2")
+@query(f"SELECT l_returnflag, l_suppkey, CAST(r AS INTEGER) AS place, round(v, 6) AS v FROM (SELECT l_returnflag, l_suppkey, {sql_mean('l_discount')} AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY {sql_mean('l_discount')} DESC, l_suppkey) AS r FROM lineitem GROUP BY l_returnflag, l_suppkey) WHERE r <= 2")
 def topk_best_second(spark, sf_dir):
-    means = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_discount").alias("v"))
+    means = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(M.mean(F.col("l_discount")).alias("v"))
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("v"), "l_suppkey")
     return means.withColumn("place", F.row_number().over(w)).where("place <= 2").select("l_returnflag", "l_suppkey", "place", r6(F.col("v"), "v"))
 

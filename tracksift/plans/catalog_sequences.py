@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tracksift.functions.times import ntz_ms
 from tracksift.operators import interval_joins as J
+from tracksift.operators import metrics as M
 from tracksift.operators import sequences as S
-from tracksift.plans.catalog import query
+from tracksift.plans.catalog import half_up, query, sql_mean
 from tracksift.sources.tables import log_rows, table
 
 LABELS = ["click", "error", "purchase", "signup", "view"]
@@ -50,16 +51,16 @@ def seq_edit_score(spark, sf_dir):
         F.array_sort(F.collect_list(F.when(late, item))).alias("p"), F.array_sort(F.collect_list(F.when(~late, item))).alias("r"))
     halves = arrays.select("user_id", F.transform("p", lambda x: x["event_type"]).alias("p"), F.transform("r", lambda x: x["event_type"]).alias("r"))
     scored = S.edit_scores(halves, "p", "r", LABELS)
-    return scored.select("user_id", "n_pred", "n_ref", "distance", *[F.round(c, 6).alias(c) for c in ("edit_score", "action_error_rate", "rce")])
+    return scored.select("user_id", "n_pred", "n_ref", "distance", *[half_up(F.col(c)).alias(c) for c in ("edit_score", "action_error_rate", "rce")])
 
 
-@query(f"""WITH {_HALVES} SELECT round(avg(edit_score), 6) AS mean_score, round(stddev_samp(edit_score) / sqrt(count(*)), 6) AS se_score,
-    round(avg(action_error_rate), 6) AS mean_aer, round(stddev_samp(action_error_rate) / sqrt(count(*)), 6) AS se_aer, count(*) AS n FROM scored""")
+@query(f"""WITH {_HALVES} SELECT round({sql_mean("edit_score")}, 6) AS mean_score, round(stddev_samp(edit_score) / sqrt(count(*)), 6) AS se_score,
+    round({sql_mean("action_error_rate")}, 6) AS mean_aer, round(stddev_samp(action_error_rate) / sqrt(count(*)), 6) AS se_aer, count(*) AS n FROM scored""")
 def seq_edit_score_agg(spark, sf_dir):
     se = lambda c: F.round(F.stddev_samp(c) / F.sqrt(F.count("*")), 6)
     return seq_edit_score(spark, sf_dir).agg(
-        F.round(F.avg("edit_score"), 6).alias("mean_score"), se("edit_score").alias("se_score"),
-        F.round(F.avg("action_error_rate"), 6).alias("mean_aer"), se("action_error_rate").alias("se_aer"), F.count("*").alias("n"))
+        half_up(M.mean(F.col("edit_score"))).alias("mean_score"), se("edit_score").alias("se_score"),
+        half_up(M.mean(F.col("action_error_rate"))).alias("mean_aer"), se("action_error_rate").alias("se_aer"), F.count("*").alias("n"))
 
 
 @query(f"SELECT user_id, event_id, t, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM {EV}) WHERE p IS NULL OR p <> event_type")

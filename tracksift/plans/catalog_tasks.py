@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracksift.operators import corpus_scores
 from tracksift.plans import task as T
-from tracksift.plans.catalog import query
+from tracksift.plans.catalog import half_up, query, sql_mean
 from tracksift.plans.catalog_sequences import EV
 from tracksift.sources import logs as L
 from tracksift.sources.tables import log_rows, table
@@ -32,17 +32,17 @@ def _binary(asked):
     return asked.withColumn("resps", F.array(F.lit("binary"), F.when(odd, "RATE").otherwise("Uniform"), F.when(odd, "rate").otherwise("uniform")))
 
 
-@query("""
+@query(f"""
     WITH q AS (SELECT qid, question_type AS t, sampling AS s, CASE WHEN qid % 2 = 1 THEN 'rate' ELSE 'uniform' END AS v FROM fm_item_questions),
     x AS (SELECT 'question_kind' AS task, 'first' AS filter, 'exact_match' AS metric, (t = 'binary')::INT::DOUBLE AS v FROM q UNION ALL SELECT 'question_kind', 'first', 'contains', contains('binary', t)::INT::DOUBLE FROM q
       UNION ALL SELECT 'question_kind', 'vote', 'exact_match', (t = v)::INT::DOUBLE FROM q UNION ALL SELECT 'question_kind', 'vote', 'contains', contains(v, t)::INT::DOUBLE FROM q)
-    SELECT task, filter, metric, round(avg(v), 6) AS value, round(stddev_samp(v) / sqrt(count(*)), 6) AS stderr, count(*) AS n FROM x GROUP BY task, filter, metric
+    SELECT task, filter, metric, round({sql_mean('v')}, 6) AS value, round(stddev_samp(v) / sqrt(count(*)), 6) AS stderr, count(*) AS n FROM x GROUP BY task, filter, metric
     UNION ALL SELECT 'question_sampling', 'none', 'exact_match', round(exp(-avg((s = 'binary')::INT)), 6), NULL, count(*) FROM q
 """)
 def task_results(spark, sf_dir):
     """Without resampling, which its SQL has no number for; see ``task_results_bootstrap``."""
     rows = T.evaluate(["questions"], spark, sf_dir, "echo_binary", rounds=0)
-    return rows.select("task", "filter", "metric", F.round("value", 6).alias("value"), F.round("stderr", 6).alias("stderr"), "n")
+    return rows.select("task", "filter", "metric", half_up(F.col("value")).alias("value"), F.round("stderr", 6).alias("stderr"), "n")
 
 
 @query()
