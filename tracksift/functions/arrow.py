@@ -32,12 +32,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def map_partition(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType) -> DataFrame:
+def map_partition(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: T.StructType, size: int = OUT_ROWS) -> DataFrame:
     """``fn`` gets the rows of a partition as an iterator of tuples and gives
-    the output rows; neither side is held whole unless ``fn`` does so."""
+    the output rows, ``size`` to a batch; neither side is held whole unless
+    ``fn`` does so."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from to_batches(fn(row for b in batches for row in batch_rows(b)), arrow)
+        yield from to_batches(fn(row for b in batches for row in batch_rows(b)), arrow, size)
 
     return df.mapInArrow(run, schema)

@@ -41,7 +41,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._tracksift_path = path
+    return scan
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove written tables that no result reads any more (results of
+    ``materialize`` themselves; anything else is left alone)."""
+    for df in tables:
+        path = getattr(df, "_tracksift_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_parts(spark: SparkSession, at_least: int = 1) -> int:
