@@ -1,25 +1,53 @@
 import unicodedata
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tracksift.llm.lookalike import FROM_LATIN, consistent_form, lookalike_classes, lookalike_pairs
+from tracksift.llm.lookalike import LOOKALIKES, consistent_texts, lookalike_classes, lookalike_pairs, standard_forms
 
+FROM_LATIN = {script: {pair[0]: pair[1] for pair in pairs.split()} for script, pairs in LOOKALIKES.items()}
 
-def test_forms():
-    assert consistent_form("Ｆｕｌｌ １２") == "Full 12" and consistent_form("ﬁn") == "fin"
-    assert consistent_form("café") == consistent_form("café") == "café"
-    assert consistent_form("a​b­c﻿") == "abc" and consistent_form("a b c　d") == "a b c d"
-    assert consistent_form("re‑run") == "re-run" and consistent_form("x\r\ny") == "x\ny"
+
+def test_forms(spark):
+    consistent_form = standard_forms(spark).form
+    assert consistent_form("Ｆｕｌｌ １２") == "Full 12" and consistent_form("\ufb01n") == "fin"
+    assert consistent_form("cafe\u0301") == consistent_form("caf\u00e9") == "caf\u00e9"
+    assert consistent_form("a\u200bb\u00adc\ufeff") == "abc" and consistent_form("a\u00a0b\u2009c\u3000d") == "a b c d"
+    assert consistent_form("re\u2011run") == "re-run" and consistent_form("x\r\ny") == "x\ny"
     assert consistent_form("рilot") == "pilot" and consistent_form("Тhе соmb") == "The comb"
-    assert consistent_form("лoжкa") == "ложка" and consistent_form("Опa c лoжкoй") == consistent_form("Опа с ложкой") == "Опа с ложкой"
-    assert consistent_form("α = 3") == "α = 3" and consistent_form("“x” – 3°") == "“x” – 3°"
-    assert (consistent_form(None), consistent_form(""), consistent_form("​")) == (None, "", "")
+    assert consistent_form("лoжкa") == "ложка" and consistent_form("Опa c ложкoй") == consistent_form("Опа с ложкой") == "Опа с ложкой"
+    assert consistent_form("“x” – 3°") == "“x” – 3°" and consistent_form("και το δέντρο") == "και το δέντρο"
+    assert (consistent_form(None), consistent_form(""), consistent_form("\u200b")) == (None, "", "")
+
+
+def test_letters_of_any_script(spark):
+    form = standard_forms(spark).form
+    for disguised, meant in (("\u13aa", "A"), ("\u0251", "a"), ("\u03c1", "p"), ("\u03bd", "v"), ("\u03b1 = 3", "a = 3"), ("\ua4ee", "A")):
+        assert form(disguised) == meant
+    assert form("no nun on α β") == form("n\u043e nun on α β") == form("\u0578o nu\u0578 on a β")
+    for a, b in (("A", "a"), ("I", "l"), ("l", "1"), ("O", "0"), ("rn", "m"), ("\u0131", "i"), ("\u03c3", "\u03bf"), ("\u4e00", "\u30fc"), ("в", "b"), ("v", "u")):
+        assert form(a) != form(b)
+
+
+def test_flags(spark):
+    rows = [(1, "рilot", "x"), (2, "The соре", "x"), (3, "plain words", "x"), (4, None, "x"), (5, "", "x"), (6, "λx", None)]
+    got = {r.doc_id: (r.form, r.n_mixed, r.n_whole) for r in consistent_texts(spark.createDataFrame(rows, "doc_id int, text string, form string"), "doc_id", "text").collect()}
+    assert got == {1: ("pilot", 1, 0), 2: ("The cope", 0, 1), 3: ("plain words", 0, 0), 4: (None, 0, 0), 5: ("", 0, 0), 6: ("λx", 1, 0)}
+
+
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet="abcdehijopsxyABCEHKMOPTXfglmnrtuзßøœ üéæ “”–…€°.,\n0127", max_size=40))
+def test_the_short_way_gives_what_the_long_way_does(spark, text):
+    forms = standard_forms(spark)
+    if forms.plain(text):
+        assert forms.long_form(text) == (text, 0, 0)
+    assert forms.form(text) == forms.long_form(text)[0]
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="abcdehijopsxyABCEHKMOPTXfglmnrtuз дожЯé ü.,\n0α", max_size=40), st.randoms(use_true_random=False))
-def test_disguises_come_back(text, rng):
+def test_disguises_come_back(spark, text, rng):
+    consistent_form = standard_forms(spark).form
     want = consistent_form(text)
     assert consistent_form(want) == want
     out = []

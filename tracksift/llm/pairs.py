@@ -4,15 +4,13 @@ An answer is read by a pushdown parser (fences, brackets, quotations, list
 items and markup are pushed and popped; what is still open at the end, or an
 end outside a sentence, means it was cut), compared with its prompt by greedy
 string tiling, held against refusal grammars and identified by script and
-function words. One defect is given per pair, the first that applies of:
+character n-grams. One defect is given per pair, the first that applies of:
 empty, copy, refusal, other_language, truncated.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -21,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracksift.functions.arrow import map_partition
-from tracksift.llm.lookalike import consistent_form
+from tracksift.llm.languages import LanguageModel, main_script, split_words
+from tracksift.llm.lookalike import Forms, standard_forms
 
 #: Words a tile must have, and answer words outside all tiles that a copy may have.
 MIN_TILE, FREE_SHARE, FREE_WORDS = 3, 0.2, 3
@@ -30,39 +29,60 @@ MIN_TILE, FREE_SHARE, FREE_WORDS = 3, 0.2, 3
 PLACEHOLDERS = {"", "na", "n a", "none", "null", "nil", "nan", "invalid", "empty", "no answer", "no response", "no reply", "tbd", "todo",
                 "unknown", "undefined", "keine antwort", "keine angabe", "leer"}
 
-# Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": "the and of is in to it that which was for on with as are this by an be or from at not but then while i there so show stays both",
-    "de": "der die das und ist nicht ein eine einer den dem des mit auf für von zu im sich dass nach wurden blieb hat am als ich sehr ohne weil da kam beim gegen über mir kann darf beginn",
-    "fr": "le la les et est un une des du de que qui dans pour sur avec pas au aux après été on car où côté il elle se ne par vers fois est sans",
-    "es": "el la los las y es un una de del que en para con por se no al tras quedó hacia donde porque lado su pues más sin fue muy veces",
-    "pt": "o a os as e é um uma de do da dos das que em no na para com por se não ao aos foi sem mais lado muito há ficou pessoa manhã depois",
-    "it": "il lo la gli le e è un una di del della che in nel nella per con si non al sono ci più dopo cui ha stato senza lato volte",
-    "nl": "de het een en van is niet in op te dat die met voor zijn aan bij na naar werd heeft er maar ook werden",
-    "pl": "i w na z się nie do jest że po od przez za dla oraz był została przy ale to jak",
-    "sv": "och i att det som en på är av för med till den inte efter har var ett om sig",
-    "tr": "ve bir bu için ile da de çok daha sonra olarak olan sol sağ kez",
+# Grammars of refusals: a rule's alternatives, in which <name> stands for another rule
+# and blanks for any blanks. A sentence refuses if it holds a <refusal>.
+REFUSALS = {
+    "refusal": ["<unable> <adverbs> <act>", "<must> <adverb>? <refuse>", "i <adverb>? <refuse> to", "(?:not|n't) be appropriate", "not appropriate for me",
+                "<lie> <outside> (?:my|what i)", "something i <cannot> \\w+", "not something i (?:am|can)", "my <adverb>? <rules> <keep>", "<rules> <forbid>",
+                "i(?:'d| would) rather not", "no <answer> can be given", "leave (?:this|that|the) \\w+ unanswered", "i(?:'m| am) not comfortable"],
+    "unable": ["can(?:no|')t", "can not", "could not", "couldn't", "<be> not able to", "<be>? unable to", "(?:wo|will )n[o']t be able to", "not in a position to",
+               "do(?:n't| not) have the ability to", "not (?:permitted|allowed) to"],
+    "be": ["am", "'m", "are", "'re"],
+    "act": ["help", "assist", "analy[sz]e", "answer", "respond", "reply", "comment", "judge", "provide", "offer", "give", "evaluat", "assess", "identify", "describe", "watch",
+            "rate", "rating", "score", "scoring", "discuss", "share", "comply", "fulfil", "do (?:that|this|so)", "go into", "review", "make", "continue"],
+    "adverbs": ["(?:\\w+ ){0,2}?"],
+    "adverb": ["(?:\\w+ )"],
+    "must": ["must", "have to", "need to", "will", "shall", "prefer to"],
+    "refuse": ["decline", "refuse", "pass on"],
+    "lie": ["fall", "falls", "go", "goes", "lie", "lies", "be", "is", "are"],
+    "outside": ["outside", "outside of", "beyond"],
+    "cannot": ["don't", "do not", "can't", "cannot", "won't"],
+    "rules": ["guidelines", "rules", "terms", "policy", "policies", "instructions"],
+    "keep": ["keep", "prevent", "forbid", "prohibit", "stop", "bar", "do not", "don't", "rule"],
+    "forbid": ["rule out", "forbid", "prohibit", "prevent"],
+    "answer": ["reply", "answer", "response"],
 }
-_FUNCTION = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
-
-_ACT = (r"(?:help|assist|analy[sz]e|answer|respond|reply|comment|judge|provide|offer|give|evaluat|assess|identify|describe|watch|rate|rating|score|scoring|"
-        r"discuss|share|comply|fulfil|do (?:that|this|so)|go into|review|make|continue)")
-_NOT_ABLE = (r"(?:can(?:no|')t|can not|could not|couldn't|am not able to|'m not able to|am unable to|'m unable to|unable to|won't be able to|will not be able to|"
-             r"not in a position to|do not have the ability to|don't have the ability to|not (?:permitted|allowed) to)")
-# Sentences that refuse, by language; each alternative is one rule of the grammar.
-REFUSALS = re.compile("|".join([
-    rf"\b{_NOT_ABLE}\s+(?:\w+\s+){{0,2}}?{_ACT}",
-    r"\b(?:must|have to|need to|will|shall|prefer to)\s+(?:\w+ly\s+)?(?:decline|refuse|pass on)\b", r"\bi\s+(?:\w+ly\s+)?(?:decline|refuse) to\b",
-    r"\b(?:not|n't) be appropriate\b", r"\bnot appropriate for me\b",
-    r"\b(?:fall|go|lie|be|is|are)(?:e?s)?\s+(?:outside|beyond)\s+(?:of\s+)?(?:my|what i)\b",
-    r"\bsomething i (?:don't|do not|can't|cannot|won't) \w+", r"\bnot something i (?:am|can)\b",
-    r"\bmy (?:\w+\s+)?(?:guidelines|rules|terms|polic(?:y|ies)|instructions)\s+(?:keep|prevent|forbid|prohibit|stop|bar|do not|don't|rule)\b",
-    r"\b(?:guidelines|rules|terms|polic(?:y|ies))\s+(?:rule out|forbid|prohibit|prevent)\b",
-    r"\bi(?:'d| would) rather not\b", r"\bno (?:reply|answer|response) can be given\b", r"\bleave (?:this|that|the) \w+ unanswered\b",
-    r"\bi(?:'m| am) not comfortable\b",
-    r"\bablehnen\b", r"\blehne\b.*\bab\b", r"\b(?:darf|kann|möchte|werde)\b.*\bnicht\b.*\b(?:helfen|beurteilen|beantworten|bewerten|analysieren|kommentieren|sagen|geben|machen)\b",
-    r"\bsteht mir nicht zu\b", r"\bkeine (?:auskunft|antwort|bewertung)\b.*\b(?:geben|möglich)\b",
-]), re.I | re.S)
+REFUSALS_DE = {
+    "refusal": ["ablehnen", "lehne .*ab", "<modal> .*nicht .*<act>", "steht mir nicht zu", "keine <answer> .*(?:geben|möglich)"],
+    "modal": ["darf", "kann", "möchte", "werde"],
+    "act": ["helfen", "beurteilen", "beantworten", "bewerten", "analysieren", "kommentieren", "sagen", "geben", "machen"],
+    "answer": ["auskunft", "antwort", "bewertung"],
+}
+
+
+def compile_grammar(rules: dict[str, list[str]], start: str = "refusal") -> re.Pattern:
+    """A pattern of all sentences with a phrase of ``start``. Rules may use each
+    other but not themselves; a rule followed by ``?`` may be left out with the blank after it."""
+
+    def expand(name: str, above: tuple[str, ...]) -> str:
+        if name in above:
+            raise ValueError(f"rule {name} uses itself")
+        return "(?:" + "|".join(part(x, (*above, name)) for x in rules[name]) + ")"
+
+    def part(text: str, above: tuple[str, ...]) -> str:
+        out = []
+        for piece in re.split(r"(<\w+>\??(?: |$)?)", text):
+            if m := re.fullmatch(r"<(\w+)>(\??)( ?)", piece):
+                body, blank = expand(m[1], above), r"\b\s*" if m[3] else ""
+                out.append(f"(?:{body}{blank})?" if m[2] else body + blank)
+            else:
+                out.append(piece.replace(" ", r"\s+"))
+        return "".join(out)
+
+    return re.compile(r"(?:\b|(?=n't))" + expand(start, ()), re.I | re.S)
+
+
+_REFUSALS = [compile_grammar(REFUSALS), compile_grammar(REFUSALS_DE)]
 
 _FINAL = re.compile(r"FINAL_(?:ANSWER|SCORE)\s*:[ \t]*([^\n]*?)\s*$")
 _LEAD_IN = {"q", "question", "prompt", "user", "frage", "you", "ask", "asked", "input", "task"}
@@ -150,11 +170,11 @@ def _item_is_cut(items: list[str], known: set[str]) -> bool:
     return end in _DANGLING or end not in known and any(x.startswith(end) for x in known)
 
 
-def is_truncated(text: str, labels: frozenset[str] = frozenset(), prompt: str = "") -> bool:
+def is_truncated(text: str, labels: frozenset[str] = frozenset(), prompt: str = "", common: frozenset[str] = frozenset()) -> bool:
     """Whether a text breaks off inside a sentence, a word, a quotation, markup, a
     list item or the closing line. Whole sentences without that line are fine, as
     are a bare label, a number or yes/no, a closed fence and a last list item
-    that is like its sisters. ``prompt`` tells words."""
+    that is like its sisters. ``prompt`` and ``common`` tell words."""
     t = text.strip()
     if m := _FINAL.search(t):
         value = m.group(1).strip()
@@ -179,81 +199,139 @@ def is_truncated(text: str, labels: frozenset[str] = frozenset(), prompt: str =
         item = state.items[-1].rstrip("\"'”’»)]}*_` ").lower()
         if item in labels or item in ("yes", "no", "ja", "nein") or item.isdigit():
             return False
-        known = {w for x in (t[: t.rfind("\n") + 1], " ".join(words(state.items[-1])[:-1]), prompt, *labels) for w in words(x)}.union(*_FUNCTION.values())
+        known = {w for x in (t[: t.rfind("\n") + 1], " ".join(words(state.items[-1])[:-1]), prompt, *labels) for w in words(x)} | common
         return _item_is_cut(state.items, known)
     return not (bare in labels or bare in ("yes", "no", "ja", "nein") or bare.isdigit())
 
 
-@lru_cache(maxsize=512)
-def _automaton(prompt: tuple[str, ...]) -> tuple[list[dict[str, int]], list[int], list[int]]:
-    """Suffix automaton of a prompt's words: per state its steps, the state of the
-    next shorter context, and the length of its longest stretch."""
-    steps: list[dict[str, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for word in prompt:
-        new = len(steps)
-        steps.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and word not in steps[p]:
-            steps[p][word] = new
-            p = link[p]
+class _Automaton:
+    """Suffix automaton of a sequence; ``reach`` gives, for each place of another
+    sequence, how many elements up to there stand in the first, and where there
+    the first such stretch ends, in linear time. None stands nowhere."""
+
+    def __init__(self, seq: Sequence):
+        self.steps: list[dict] = [{}]
+        self.link, self.length, self.first = [-1], [0], [-1]
+        last = 0
+        for i, word in enumerate(seq):
+            last = 0 if word is None else self._add(last, word, i)
+
+    def _state(self, steps: dict, link: int, length: int, first: int) -> int:
+        self.steps.append(steps)
+        self.link.append(link)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.steps) - 1
+
+    def _split(self, p: int, word, q: int) -> int:
+        """The state of the shorter stretches that ``q`` holds when reached from ``p``."""
+        copy = self._state(dict(self.steps[q]), self.link[q], self.length[p] + 1, self.first[q])
+        while p >= 0 and self.steps[p].get(word) == q:
+            self.steps[p][word] = copy
+            p = self.link[p]
+        self.link[q] = copy
+        return copy
+
+    def _add(self, last: int, word, i: int) -> int:
+        q = self.steps[last].get(word)
+        if q is not None:  # the stretch has been seen before, after a break
+            return q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
+        new, p = self._state({}, 0, self.length[last] + 1, i), last
+        while p >= 0 and word not in self.steps[p]:
+            self.steps[p][word] = new
+            p = self.link[p]
         if p >= 0:
-            q = steps[p][word]
-            if length[q] != length[p] + 1:
-                copy = len(steps)
-                steps.append(dict(steps[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p >= 0 and steps[p].get(word) == q:
-                    steps[p][word] = copy
-                    p = link[p]
-                link[q] = copy
-                q = copy
-            link[new] = q
-        last = new
-    return steps, link, length
+            q = self.steps[p][word]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
+        return new
+
+    def reach(self, seq: Sequence) -> tuple[list[int], list[int]]:
+        sizes, ends, state, n = [], [], 0, 0
+        steps, link, length, first = self.steps, self.link, self.length, self.first
+        for word in seq:
+            if word is None:
+                state = n = 0
+            else:
+                while state and word not in steps[state]:
+                    state = link[state]
+                    n = length[state]
+                if word in steps[state]:
+                    state, n = steps[state][word], n + 1
+                else:
+                    n = 0
+            sizes.append(n)
+            ends.append(first[state])
+        return sizes, ends
+
+
+@lru_cache(maxsize=512)
+def _whole(prompt: tuple[str, ...]) -> _Automaton:
+    return _Automaton(prompt)
 
 
 def tiles(answer: Sequence[str], prompt: Sequence[str], min_tile: int = MIN_TILE) -> list[bool]:
-    """Marks the answer's words covered by greedy string tiling: from its end, the
-    longest stretch that also stands in the prompt becomes a tile if it has
-    ``min_tile`` words. The prompt is offered anew for each tile, so an answer
-    that repeats it is covered. Stretches come from a suffix automaton, hence in
-    time proportional to both texts, however repetitive they are."""
-    steps, link, length = _automaton(tuple(prompt))
-    reach, state, n = [], 0, 0
-    for word in answer:
-        while state and word not in steps[state]:
-            state = link[state]
-            n = length[state]
-        if word in steps[state]:
-            state, n = steps[state][word], n + 1
-        else:
-            n = 0
-        reach.append(n)
-    covered, end = [False] * len(answer), len(answer)
+    """Marks the answer's words covered by greedy string tiling.
+
+    The longest stretches of unmarked words that stand in both texts become
+    tiles, marked in both, then the next shorter, down to ``min_tile`` words. A
+    round finds the stretches of one length by a suffix automaton of the prompt,
+    so it is linear; the automaton is made anew from what the prompt has left
+    when none of them is free there. Then the prompt is offered once more,
+    whole, to what the answer has left, from its end, so an answer that says it
+    several times is covered.
+    """
+    left, asked = list(answer), list(prompt)
+    whole = now = _whole(tuple(prompt))
+    while True:
+        sizes, at = now.reach(left)
+        size = max(sizes, default=0)
+        if size < min_tile:
+            break
+        placed, free = False, None
+        for i, n in enumerate(sizes):
+            start = i + 1 - size
+            if n < size or left[start] is None:
+                continue
+            j = at[i] + 1 - size
+            if asked[j] is None or None in asked[j : j + size]:
+                if free is None:  # all free stretches of that length, last one first
+                    free, run = {}, 0
+                    for k in range(len(asked) - 1, -1, -1):
+                        run = 0 if asked[k] is None else run + 1
+                        if run >= size:
+                            free.setdefault(tuple(asked[k : k + size]), []).append(k)
+                places = free.get(tuple(left[start : i + 1]), []) if free else []
+                while places and None in asked[places[-1] : places[-1] + size]:
+                    places.pop()
+                if not places:
+                    continue
+                j = places.pop()
+            left[start : i + 1] = asked[j : j + size] = [None] * size
+            placed = True
+        if not placed:
+            now = _Automaton(asked)
+    sizes, _ = whole.reach(left)
+    end = len(left)
     while end:
-        size = reach[end - 1]
+        size = sizes[end - 1]
         if size >= min_tile:
-            covered[end - size : end] = [True] * size
+            left[end - size : end] = [None] * size
             end -= size
         else:
             end -= 1
-    return covered
+    return [x is None for x in left]
 
 
-def is_copy(answer: str, prompt: str) -> bool:
+def is_copy(answer: str, prompt: str, covered: Sequence[bool] | None = None) -> bool:
     """Whether an answer says only what its prompt says: few of its words are
     outside the tiles, lead-ins (``Question:``) apart, and it ends in no value
     of its own."""
     a, p = words(answer), words(prompt)
     if not a or not p:
         return False
-    if (m := _FINAL.search(answer.strip())) and not words(m.group(1)) <= [] and " ".join(words(m.group(1))) not in " ".join(p):
+    if (m := _FINAL.search(answer.strip())) and words(m.group(1)) and " ".join(words(m.group(1))) not in " ".join(p):
         return False
-    covered = tiles(a, p)
+    covered = tiles(a, p) if covered is None else covered
     free = sum(not c for w, c in zip(a, covered) if w not in _LEAD_IN)
     return any(covered) and free <= max(FREE_WORDS, FREE_SHARE * len(a)) and sum(covered) > free
 
@@ -262,77 +340,48 @@ def is_refusal(answer: str) -> bool:
     """Whether a sentence refuses and no value closes the answer."""
     t = answer.replace("’", "'")
     m = _FINAL.search(t.strip())
-    return bool(REFUSALS.search(t)) and not (m and words(m.group(1)))
-
-
-@lru_cache(maxsize=65536)
-def _script_of(c: str) -> str:
-    """A letter's script by its Unicode name, "" if it is of none (signs, styled letters)."""
-    first = re.split(r"[ -]", unicodedata.name(unicodedata.normalize("NFKC", c)[0], ""), maxsplit=1)[0]
-    return "" if first in ("", "MODIFIER", "FEMININE", "MASCULINE", "DOUBLE", "TURNED", "ALEF", "KANGXI") else first
-
-
-def script(text: str) -> str | None:
-    """The script of most letters, None without letters. Kana makes Chinese
-    characters Japanese, and fewer of them than Hangul are Korean."""
-    n = Counter(map(_script_of, filter(str.isalpha, text)))
-    del n[""]
-    kana, han = n.pop("HIRAGANA", 0) + n.pop("KATAKANA", 0), n.pop("CJK", 0)
-    for name, part in (("JAPANESE", kana * 20 >= kana + han and kana), ("HANGUL", n["HANGUL"] > han)):
-        if part:
-            n[name] += kana + han
-            break
-    else:
-        n["CJK"] = han + kana
-    top = max(n, key=lambda x: (n[x], x == "LATIN"))
-    return top if n[top] else None
-
+    return any(g.search(t) for g in _REFUSALS) and not (m and words(m.group(1)))
 
-def language(text: str) -> str | None:
-    """Language by script, then by function words; None if nothing tells."""
-    top = script(text)
-    if top and top != "LATIN":
-        return top.lower()
-    w = words(text)
-    hits = {lang: sum(x in known for x in w) for lang, known in _FUNCTION.items()}
-    best = max(hits, key=lambda x: (hits[x], x == "en"))
-    return best if hits[best] else None
 
-
-def in_other_language(answer: str, prompt: str) -> bool:
+def in_other_language(answer: str, prompt: str, model: LanguageModel, covered: Sequence[bool] | None = None) -> bool:
     """Whether the answer's own words (the prompt's and the closing line left
     out) are clearly in another script or language than the prompt. Fewer than
-    three words tell a script only, and only where it is the whole answer's."""
+    three words tell a script only, and only where it is the whole answer's. A
+    prompt in a language that isn't modelled tells scripts only."""
     body = re.sub(r"FINAL_\w*\s*:?[^\n]*$", " ", answer)
-    a, p = words(body), words(prompt)
-    own = " ".join(x for x, c in zip(a, tiles(a, p)) if not c)
-    asked_in, told_in = script(prompt), script(own)
+    a = words(body)  # the first words of the answer
+    covered = tiles(words(answer), words(prompt)) if covered is None else covered
+    own = " ".join(x for x, c in zip(a, covered) if not c)
+    asked_in, told_in = main_script(prompt), main_script(own)
     few = len(own.split()) < 3
-    if not asked_in or not told_in or few and (told_in == "LATIN" or script(body) != told_in):
+    if not asked_in or not told_in or few and (told_in == "LATIN" or main_script(body) != told_in):
         return False
     if asked_in != told_in:
         return True
-    asked, told = language(prompt), language(own)
-    if not asked or not told or asked == told:
-        return False
-    known = _FUNCTION.get(asked, set())
-    return sum(x in _FUNCTION[told] for x in own.split()) > sum(x in known for x in own.split())
-
-
-def defect(answer: str | None, prompt: str | None, labels: frozenset[str] = frozenset()) -> str | None:
-    """The defect of a pair, or None. A NULL answer is empty; against a NULL or
-    empty prompt neither copies nor languages are told."""
-    a = consistent_form(answer or "")
-    if " ".join(words(a)) in PLACEHOLDERS:
-        return "empty"
-    p = consistent_form(prompt or "")
-    if is_copy(a, p):
-        return "copy"
-    if is_refusal(a):
-        return "refusal"
-    if p and in_other_language(a, p):
-        return "other_language"
-    return "truncated" if is_truncated(a, labels, p) else None
+    return not few and model.other(split_words(prompt), split_words(own))
+
+
+class Defects:
+    """What defects are told by: forms of texts, languages, and labels that may end an answer."""
+
+    def __init__(self, forms: Forms, model: LanguageModel, labels: frozenset[str] = frozenset()):
+        self.forms, self.model, self.labels = forms, model, labels
+
+    def of(self, answer: str | None, prompt: str | None) -> str | None:
+        """The defect of a pair, or None. A NULL answer is empty; against a NULL or
+        empty prompt neither copies nor languages are told."""
+        a = self.forms.form(answer or "")
+        if " ".join(words(a)) in PLACEHOLDERS:
+            return "empty"
+        p = self.forms.form(prompt or "")
+        covered = tiles(words(a), words(p))
+        if is_copy(a, p, covered):
+            return "copy"
+        if is_refusal(a):
+            return "refusal"
+        if p and in_other_language(a, p, self.model, covered):
+            return "other_language"
+        return "truncated" if is_truncated(a, self.labels, p, self.model.words) else None
 
 
 def answer_segments(resps: Column, filtered: Column) -> Column:
@@ -347,18 +396,21 @@ def answer_segments(resps: Column, filtered: Column) -> Column:
     return F.when(F.size(texts) > 0, texts).when(F.size(cut) > 0, cut).otherwise(none)
 
 
-def pair_defects(df: DataFrame, key: str, prompt: str, segments: Column, labels: frozenset[str] = frozenset()) -> DataFrame:
+def pair_defects(df: DataFrame, key: str, prompt: str, segments: Column, model: LanguageModel, labels: frozenset[str] = frozenset()) -> DataFrame:
     """Rows (key, seg_no, defect), one per defective pair, in a narrow pass.
+    ``model`` is that of ``train_languages``.
 
     Rows delivered twice give their rows twice. Texts are read whole; an empty
     table gives no row; columns beyond those named are ignored.
     """
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("seg_no", T.LongType()), T.StructField("defect", T.StringType())])
 
+    defects = df.sparkSession.sparkContext.broadcast(Defects(standard_forms(df.sparkSession), model, labels))
+
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for k, asked, answers in rows:
             for i, answer in enumerate(answers or [None]):
-                if found := defect(answer, asked, labels):
+                if found := defects.value.of(answer, asked):
                     yield k, i, found
 
     return map_partition(df.select(key, prompt, segments.alias("_segments")), run, schema)

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracksift.llm.languages import language_name, train_languages
 from tracksift.llm.leaks import leaked_spans
 from tracksift.llm.lookalike import lookalike_classes, lookalike_pairs
 from tracksift.llm.mixing import mix, source_name, token_counts
@@ -74,8 +75,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sample_log").where(
         F.col("task").startswith("strokerehab_identification_") | F.col("task").startswith("strokerehab_ia3"))
+    model = train_languages(table(spark, sf_dir, "documents"), "text", language_name(F.col("lang")))
     # a redelivered sample gives equal rows, and those are few: they are made unique rather than the texts
-    return pair_defects(rows, "sample_no", "input", answer_segments(F.col("resps"), F.col("filtered_resps")), ACTIVITIES).distinct()
+    return pair_defects(rows, "sample_no", "input", answer_segments(F.col("resps"), F.col("filtered_resps")), model, ACTIVITIES).distinct()
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
