@@ -1,8 +1,9 @@
+import functools
 import itertools
 import random
 
 from tracksift.llm.queries import primitives
-from tracksift.llm.runs import Vocabulary, label_runs, segment, slips
+from tracksift.llm.runs import SCALE, Vocabulary, label_runs, segment, slips
 
 
 def cost(labels, costs, penalty):
@@ -13,10 +14,11 @@ def test_segmentation_is_optimal():
     rng = random.Random(5)
     for _ in range(300):
         n, k = rng.randint(1, 6), rng.randint(1, 3)
-        costs = [tuple(rng.choice([0, 0.1, 0.3, 0.5, 1.0]) for _ in range(k)) for _ in range(n)]
+        costs = [tuple(round(SCALE * rng.choice([0, 0.1, 0.3, 0.5, 1.0])) for _ in range(k)) for _ in range(n)]
         penalty = rng.choice([0.0, 0.1, 0.25, 0.6])
-        best = min(cost(p, costs, penalty) for p in itertools.product(range(k), repeat=n))
-        assert abs(cost(segment(costs, penalty), costs, penalty) - best) < 1e-9
+        at = round(penalty * SCALE)
+        best = min(cost(p, costs, at) for p in itertools.product(range(k), repeat=n))
+        assert cost(segment(costs, penalty), costs, at) == best
 
 
 def test_slips_and_words():
@@ -54,6 +56,31 @@ def test_runs_over_partitions(spark):
     assert label_runs(df.where("false"), ["who"], "t", "k", "x", primitives).count() == 0
 
 
+letters = functools.partial(Vocabulary, {"a": ["aaaa"], "b": ["aaab"], "c": ["aabb"], "d": ["abbb"]}, max_slips=8)
+
+
+def test_borders_make_no_difference(spark):
+    """Where a boundary costs much, labels hang on far events; the optimum is found over partitions all the same."""
+    rng = random.Random(21)
+    vocabulary, texts = letters(), ["aaaa", "aaab", "aabb", "abbb", "abab", "aaba", "bbbb"]
+    for penalty in (0.1, 0.3, 0.8, 2.0):
+        rows, key = [], 0
+        for who, n in (("hot", 160), ("b", 1), ("c", 9), ("d", 60)):
+            for t in range(n):
+                key += 1
+                rows.append((who, float(t // 2), key, rng.choice(texts)))
+        df = spark.createDataFrame(rows + rows[::7], "who string, t double, k bigint, x string").repartition(3)
+        runs = label_runs(df, ["who"], "t", "k", "x", letters, penalty).collect()
+        at = round(penalty * SCALE)
+        for who in "hot", "b", "c", "d":
+            events = [r for r in rows if r[0] == who]
+            costs = [vocabulary.distances(r[3]) for r in events]
+            mine = sorted((r for r in runs if r.who == who), key=lambda r: r.first_key)
+            assert all(x.label != y.label and x.last_key + 1 == y.first_key for x, y in zip(mine, mine[1:]))
+            labels = [vocabulary.labels.index(r.label) for r in mine for _ in range(r.n_events)]
+            assert len(labels) == len(events) and cost(labels, costs, at) == cost(segment(costs, penalty), costs, at)
+
+
 def test_near_identical_events_merge_when_a_boundary_costs_more():
     v = Vocabulary({"a": ["aaaa"], "b": ["aaab"]}, max_slips=2)
     costs = [v.distances(x) for x in ("aaaa", "aaab", "aaaa")]
