@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tracksift.llm.splits import deal_splits, grouped_codes, patient_code, spanning_forest, with_person
+from tracksift.llm.splits import deal_splits, grouped_codes, patient_code, rooted_forest, spanning_forest, with_person
 
 
 def roots(links):
@@ -59,14 +59,27 @@ def test_codes(spark):
 
 def test_shares_and_whole_groups(spark):
     rng = random.Random(4)
-    for n_groups, hot in ((60, 60), (9000, 5000)):
+    targets = [("train", 0.7), ("val", 0.15), ("test", 0.15)]
+    for n_groups, hot, segment in ((60, 60, 50_000), (4000, 4000, 50_000), (4000, 4000, 700)):
         rows = [(g, rng.choice("ab"), i) for g in range(n_groups) for i in range(rng.choice([1, 2, 3]))] + [(-1, "a", i) for i in range(hot)] + [(None, None, 0)] * 3
         df = spark.createDataFrame(rows, "g bigint, trait string, split_name bigint")
-        got = deal_splits(df, "g", [F.col("trait")], [("train", 0.7), ("val", 0.15), ("test", 0.15)]).collect()
+        got = deal_splits(df, "g", [F.col("trait")], targets, segment=segment).collect()
         of = {r.g: r.split_name for r in got}
         assert len(got) == len(of) == n_groups + 2
         n = Counter(of[g] for g, _, _ in rows)
-        assert all(abs(n[s] / len(rows) - share) < 0.03 for s, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)))
-        a = Counter(of[g] for g, t, _ in rows if t == "b")
-        assert all(abs(a[s] / sum(a.values()) - share) < 0.12 for s, share in (("train", 0.7), ("val", 0.15)))
+        assert all(abs(n[s] / len(rows) - share) < 0.01 for s, share in targets)
+        b = Counter(of[g] for g, t, _ in rows if t == "b")
+        if segment > n_groups:  # else the hot group's surplus is made up for in the last segment only, whatever is left there
+            assert all(abs(b[s] / sum(b.values()) - share) < 0.06 for s, share in targets)
+        again = deal_splits(df.repartition(7), "g", [F.col("trait")], targets, segment=segment).collect()
+        assert {r.g: r.split_name for r in again} == of
     assert deal_splits(df.where("false"), "g", [F.col("trait")], [("train", 1.0)]).count() == 0
+    one = deal_splits(df.where("g = 3"), "g", [], targets).collect()
+    assert [(r.g, r.split_name) for r in one] == [(3, "train")]
+
+
+def test_forest_with_roots(spark):
+    links = spark.createDataFrame([("b", "a"), ("b", "c"), ("c", "a"), ("x", "x"), ("y", "z")], "a string, b string")
+    codes, edges = rooted_forest(links, "a", "b")
+    assert {(r.code, r.person) for r in codes.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "y"), ("z", "y")}
+    assert Counter(r.person for r in edges.collect()) == {"a": 2, "y": 1}

@@ -14,7 +14,7 @@ from tracksift.llm.lookalike import lookalike_classes, lookalike_pairs
 from tracksift.llm.mixing import mix, source_name, token_counts
 from tracksift.llm.pairs import answer_segments, pair_defects
 from tracksift.llm.runs import Vocabulary, label_runs
-from tracksift.llm.splits import deal_splits, patient_code, with_person
+from tracksift.llm.splits import deal_splits, patient_code, rooted_forest, with_person
 from tracksift.operators.intervals import to_ms
 from tracksift.session import materialize
 from tracksift.sources.tables import table
@@ -57,7 +57,17 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").orderBy(F.desc("target_share"), "split_name").limit(1000).collect()]
     activity = F.regexp_extract("id", r"^[^_]*_([a-z]+)", 1)
     dealt = deal_splits(rows, "patient_group", [F.substring("id", 1, 1), activity], targets)
-    return rows.join(dealt, "patient_group").select("rec_no", "patient_group", "split_name")
+    to = dealt.select(F.col("patient_group").alias("_person"), "split_name")
+    return rows.join(to, F.col("patient_group").eqNullSafe(F.col("_person"))).select("rec_no", "patient_group", "split_name")
+
+
+def p4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per person with linked codes: the codes and the edges of their tree."""
+    links = table(spark, sf_dir, "patient_links").select(patient_code(F.col("code_a")).alias("a"), patient_code(F.col("code_b")).alias("b"))
+    codes, edges = rooted_forest(links, "a", "b")
+    n_edges = edges.groupBy("person").agg(F.count("*").alias("n_edges"))
+    n_codes = codes.groupBy("person").agg(F.count("*").alias("n_codes"))
+    return n_codes.join(n_edges, "person", "left").select("person", "n_codes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +118,7 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p5_found, p7_found, p8_found, p8_spans, p9_mix, p10_found, p10_classes)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_forest, p5_found, p7_found, p8_found, p8_spans, p9_mix, p10_found, p10_classes)}
 
 _CODE = "upper(regexp_extract({0}, '(?i)([SC])[^0-9A-Za-z]*[0-9]+', 1)) || lpad(ltrim(regexp_extract({0}, '(?i)[SC][^0-9A-Za-z]*([0-9]+)', 1), '0'), 5, '0')"
 
@@ -121,6 +131,13 @@ ORACLES: dict[str, str] = {
     c AS (SELECT rec_no, coalesce({_CODE.format("regexp_extract(id, '^[^_]*')")}, {_CODE.format('patient')}) AS code FROM fp_metadata)
     SELECT rec_no, coalesce(person, code) AS patient_group FROM c LEFT JOIN m ON code = a
     """,
+    "p4_forest": f"""
+    WITH RECURSIVE l AS (SELECT {_CODE.format('code_a')} AS a, {_CODE.format('code_b')} AS b FROM patient_links),
+    e AS (SELECT a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a, least(a, min(b)) AS person FROM r GROUP BY a)
+    SELECT person, count(*) AS n_codes, count(*) - 1 AS n_edges FROM m GROUP BY person
+    """,
     "p5_found": r"""
     WITH d AS (SELECT DISTINCT marker_id, id, Time_s, MarkerNames FROM label_track WHERE id IS NOT NULL AND Time_s IS NOT NULL AND MarkerNames IS NOT NULL),
     h AS (SELECT *, lower(regexp_extract(' ' || MarkerNames, '(?i)[^a-z](l|left|r|right)([^a-z]|$)', 1))[1:1] AS hand FROM d),

@@ -3,25 +3,29 @@
 Related codes are the nodes of a graph; Boruvka rounds let every component
 pick its least outgoing edge at once and contract the picked edges, so the
 number of components at least halves per round. The picked edges are kept as a
-spanning forest. Whole groups are then dealt to the splits by size band: the
-few large ones one by one, the others systematically within strata of equal
-band and traits, in a random but fixed order, by their cumulative rows.
+spanning forest with their roots. The roots' groups are then stratified by size
+band and traits and dealt systematically: along the strata, largest band first,
+each group goes to the split that is furthest behind its share of the rows
+dealt so far, and what one stratum leaves uneven is carried to the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracksift.operators.ranks import running_total
-from tracksift.session import materialize
+from tracksift.functions.arrow import map_partition
+from tracksift.session import discard, materialize
 
 #: A round at least halves the components, so this is beyond any possible input.
 MAX_ROUNDS = 64
-#: Groups of at least 1/LARGE of the rows are dealt one by one; trait values balanced singly.
-LARGE, TRAIT_VALUES = 4096, 64
+#: Groups that one task deals; orders within the strata that are tried; parts a
+#: trait's values are hashed to for comparing those; weight of the rows beside a trait.
+SEGMENT, STARTS, TRAIT_PARTS, ROW_WEIGHT = 50_000, 64, 64, 16.0
 
 
 def patient_code(text: Column) -> Column:
@@ -35,10 +39,12 @@ def _jump(parents: DataFrame) -> DataFrame:
     """(comp, parent) with every parent replaced by its root, by pointer jumping."""
     while True:
         up = parents.select(F.col("comp").alias("parent"), F.col("parent").alias("up"))
+        done = parents
         parents = materialize(
             parents.select("comp", "parent").join(up, "parent").select("comp", F.col("up").alias("parent"), (F.col("up") != F.col("parent")).alias("moved")),
             "parents",
         )
+        discard(done)
         if parents.where("moved").isEmpty():
             return parents.select("comp", "parent")
 
@@ -66,6 +72,7 @@ def spanning_forest(links: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFr
             "picked",
         )
         if picked.isEmpty():
+            discard(ends, open_edges, picked)
             return comps, materialize(forest.distinct(), "forest")
         forest = forest.unionByName(picked.select("u", "v"))
         # two components that pick the same edge would point at each other: the smaller is the root
@@ -74,20 +81,31 @@ def spanning_forest(links: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFr
             "comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("parent")
         )
         roots = _jump(materialize(parents, "parents"))
+        old = comps
         comps = materialize(
             comps.join(roots, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")), "comps"
         )
         cu = comps.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
         cv = comps.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-        open_edges = materialize(open_edges.select("u", "v").join(cu, "u").join(cv, "v").where("cu <> cv").select("u", "v", "cu", "cv"), "edges")
+        discard(old)
+        edges = open_edges
+        open_edges = materialize(edges.select("u", "v").join(cu, "u").join(cv, "v").where("cu <> cv").select("u", "v", "cu", "cv"), "edges")
+        discard(edges)
     raise RuntimeError("components were left after the last round")
 
 
+def rooted_forest(links: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """((code, person) of every code in a link, (u, v, person) of the forest's
+    edges): the person is the root of the tree, its least code."""
+    comps, forest = spanning_forest(links, a, b)
+    least = comps.groupBy("comp").agg(F.min("node").alias("person"))
+    codes = comps.join(least, "comp").select(F.col("node").alias("code"), "person")
+    return codes, forest.join(codes.select(F.col("code").alias("u"), "person"), "u").select("u", "v", "person")
+
+
 def grouped_codes(links: DataFrame, a: str, b: str) -> DataFrame:
     """(code, person): the least code among all codes linked directly or through others."""
-    comps, _ = spanning_forest(links, a, b)
-    least = comps.groupBy("comp").agg(F.min("node").alias("person"))
-    return comps.join(least, "comp").select(F.col("node").alias("code"), "person")
+    return rooted_forest(links, a, b)[0]
 
 
 def with_person(rows: DataFrame, code: Column, links: DataFrame, a: str, b: str) -> DataFrame:
@@ -99,42 +117,50 @@ def with_person(rows: DataFrame, code: Column, links: DataFrame, a: str, b: str)
     return coded.join(people, F.col("__own") == F.col("__code"), "left").select(*kept, F.coalesce("__person", "__own").alias("patient_group"))
 
 
-def _deal_large(groups: list[tuple], whole: dict[tuple, int], shares: list[float]) -> tuple[list[int], list[float]]:
-    """The split of each large group, and the rows each split then has.
+class _Deal:
+    """The deal of one segment of groups, in STARTS orders at once.
 
-    ``groups`` are (rows, {(trait, value): rows}), largest first; each goes
-    where rows and traits come closest to their targets.
+    All orders keep the bands, largest first, and the strata within them
+    together; they differ in which stratum of a band and which group of a
+    stratum comes first, by a hash.
     """
-    have: list[dict[tuple, float]] = [{} for _ in shares]
-    out = []
-    for rows, cells in groups:
-        parts = {(-1, None): rows} | cells
-        scores = []
-        for k, share in enumerate(shares):
-            score = 0.0
-            for cell, n in parts.items():
-                off = have[k].get(cell, 0.0) - share * whole[cell]
-                score += n * (n + 2 * off) / whole[cell] * (4 if cell[0] < 0 else 1)
-            scores.append((score, k))
-        k = min(scores)[1]
-        out.append(k)
-        for cell, n in parts.items():
-            have[k][cell] = have[k].get(cell, 0.0) + n
-    return out, [h.get((-1, None), 0.0) for h in have]
-
-
-def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets: list[tuple[str, float]], seed: int = 0) -> DataFrame:
+
+    def __init__(self, shares: list[float], groups: list[tuple], starts: Sequence[int]):
+        rows, bands, strata, hashes = (np.array(x) for x in zip(*groups))
+        self.shares, self.rows = np.array(shares), rows.astype(np.float64)
+        odd = np.array([2 * (s * 0x9E3779B97F4A7C15 % (1 << 63)) + 1 for s in starts], np.uint64)
+        with np.errstate(over="ignore"):
+            mixed = [(x.astype(np.int64).view(np.uint64)[None, :] * odd[:, None]) >> np.uint64(7) for x in (strata, hashes)]
+        self.order = np.stack([np.lexsort((hashes, mixed[1][s], strata, mixed[0][s], -bands)) for s in range(len(starts))])
+
+    def run(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(split of each group per order, how far each split is behind at the end)."""
+        n_starts, n = self.order.shape
+        behind = np.repeat(behind[None, :], n_starts, 0) if behind.ndim == 1 else behind.copy()
+        out, each = np.empty((n_starts, n), np.int16), np.arange(n_starts)
+        for i in range(n):
+            at = self.order[:, i]
+            size = self.rows[at]
+            behind += size[:, None] * self.shares
+            to = behind.argmax(1)
+            behind[each, to] -= size
+            out[each, at] = to
+        return out, behind
+
+
+def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets: list[tuple[str, float]], seed: int = 0, segment: int = SEGMENT) -> DataFrame:
     """(group, split_name): each group in one split, rows in the given shares.
 
-    ``targets`` are (name, share), few. Groups of at least 1/LARGE of all rows
-    (hence at most LARGE of them) are dealt one by one from the largest band
-    down, each to the split whose rows and trait values it brings closest to
-    target; so a group of a third of all rows falls where it does least harm.
-    The other groups are stratified by size band and by the most frequent
-    value of each trait, ordered by a hash of their name and dealt by the middle
-    of their cumulative rows, in shares that make up for what the large ones
-    left. Trait values beyond the TRAIT_VALUES most frequent are balanced as
-    one. Rows with a NULL group stay together; an empty table gives no row.
+    ``targets`` are (name, share), few. Groups are stratified by size band (rows
+    to a power of two) and by the most frequent value of each trait, and dealt
+    along the strata from the largest band down, each to the split furthest
+    behind; so a group of a third of all rows comes first and all others make
+    up for it, and the smallest come last. A segment of groups is one task's;
+    the last one begins with what all others left uneven. STARTS orders within
+    the strata are dealt, and the one is taken that leaves rows and traits
+    nearest to their shares. This is the same for any number of groups.
+    Rows with a NULL group stay together; an empty table gives no row; ties are
+    ordered by a hash of the group's name, so the deal is the same every time.
     """
     total_share = sum(share for _, share in targets)
     if not targets or total_share <= 0 or any(share < 0 for _, share in targets):
@@ -143,49 +169,69 @@ def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets:
     names = [f"_t{i}" for i in range(len(traits))]
     cells = rows.select(F.col(group).alias("_g"), *[t.cast("string").alias(n) for n, t in zip(names, traits)])
     counts = cells.groupBy("_g", *names).agg(F.count("*").alias("_n"))
+    # the rows of a group by part of each trait's values
+    part = lambda n: F.pmod(F.xxhash64(F.lit(n), F.coalesce(n, F.lit("\0"))), F.lit(TRAIT_PARTS)).cast("int")
+    text = F.coalesce(F.col("_g").cast("string"), F.lit("\0"))
     keyed = materialize(
         counts.groupBy("_g").agg(
-            F.sum("_n").alias("_rows"), *[F.max_by(n, F.struct("_n", F.coalesce(n, F.lit("")))).alias(n) for n in names])
-        .withColumn("_band", F.floor(F.log2("_rows")).cast("int"))
-        .withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_g").cast("string"), F.lit(""))), 256)),
+            F.sum("_n").alias("_rows"), *[F.max_by(n, F.struct("_n", F.coalesce(n, F.lit("")))).alias(n) for n in names],
+            *[F.collect_list(F.struct(part(n).alias("p"), "_n")).alias(f"{n}p") for n in names])
+        .select("_g", "_rows", F.floor(F.log2("_rows")).cast("int").alias("_band"),
+                F.xxhash64(F.lit(seed), *names).alias("_stratum"), F.xxhash64(F.lit(seed), text).alias("_h"), *[f"{n}p" for n in names]),
         "groups",
     )
-    n_rows = keyed.agg(F.sum("_rows")).first()[0] or 0
-    least = max(1, -(-n_rows // LARGE))
-
-    whole: dict[tuple, int] = {(-1, None): n_rows}
-    kept: list[set] = []
-    for i, n in enumerate(names):
-        top = counts.groupBy(n).agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), n).limit(TRAIT_VALUES).collect()
-        kept.append({r[n] for r in top})
-        whole |= {(i, r[n]): r["_n"] for r in top}
-        whole[i, "\0other"] = max(1, n_rows - sum(r["_n"] for r in top))
-    large = keyed.where(F.col("_rows") >= least).select("_g", "_rows", "_h")
-    big = {r["_g"]: (r["_rows"], r["_h"], {}) for r in large.collect()}
-    for i, n in enumerate(names):
-        known = F.when(F.col(n).isin(*[v for v in kept[i] if v is not None]) | F.col(n).isNull(), F.col(n)).otherwise(F.lit("\0other"))
-        own = counts.join(large.select(F.col("_g").alias("_lg")), F.col("_g").eqNullSafe(F.col("_lg")), "left_semi")
-        for g, v, m in own.groupBy("_g", known.alias("_v")).agg(F.sum("_n").alias("_n")).collect():
-            cell = (i, v if v is not None or None in kept[i] else "\0other")
-            big[g][2][cell] = big[g][2].get(cell, 0) + m
-    order = sorted(big, key=lambda g: (-big[g][0], big[g][1]))
-    dealt, have = _deal_large([(big[g][0], big[g][2]) for g in order], whole, shares)
+    n_groups, n_rows = keyed.agg(F.count("*"), F.sum("_rows")).first()
     spark = rows.sparkSession
-    key_type = keyed.schema["_g"].dataType.simpleString()
-    done = spark.createDataFrame([(g, targets[k][0]) for g, k in zip(order, dealt)], f"`{group}` {key_type}, split_name string")
-
-    left = [max(0.0, share * n_rows - h) for share, h in zip(shares, have)]
-    rest = [x / (sum(left) or 1.0) for x in left] if sum(left) else shares
-    small = keyed.where(F.col("_rows") < least)
-    strata = ["_band", *names]
-    placed = running_total(small, strata, F.substring("_h", 1, 3), ["_h"], F.col("_rows"), "_upto")
-    sums = small.groupBy(*strata).agg(F.sum("_rows").alias("_all"))
-    match = F.lit(True)
-    for s in strata:
-        match = match & placed[s].eqNullSafe(sums[s])
-    at = (placed["_upto"] - placed["_rows"] / F.lit(2.0)) / sums["_all"]
-    split, upto = F.lit(targets[-1][0]), 1.0
-    for (name, _), share in zip(reversed(targets[:-1]), reversed(rest[1:])):
-        upto -= share
-        split = F.when(at < upto, F.lit(name)).otherwise(split)
-    return done.unionByName(placed.join(sums, match).select(placed["_g"].alias(group), split.alias("split_name")))
+    key_type = keyed.schema["_g"].dataType
+    schema = T.StructType([T.StructField(group, key_type), T.StructField("split_name", T.StringType())])
+    if not n_groups:
+        return spark.createDataFrame([], schema)
+    parts = -(-n_groups // segment)
+    line = ["_negband", "_stratum", "_h"]
+    ordered = keyed.withColumn("_negband", -F.col("_band")).repartitionByRange(parts, *line).sortWithinPartitions(*line)
+    dealt_in = materialize(
+        ordered.select("_g", "_rows", "_band", "_stratum", "_h", *[f"{n}p" for n in names], F.spark_partition_id().alias("_segment")), "dealt")
+    by_segment = dealt_in.repartition(parts, "_segment") if parts > 1 else dealt_in.coalesce(1)
+
+    def segments(stream: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+        held: dict[int, list[tuple]] = {}
+        for r in stream:
+            held.setdefault(r[-1], []).append(r)
+        yield from sorted(held.items())
+
+    k, n_traits = len(shares), len(names)
+
+    def compare(stream: Iterator[tuple]) -> Iterator[tuple]:
+        """(segment, how far behind, rows by trait part and split), for all orders."""
+        for number, groups in segments(stream):
+            deal = _Deal(shares, [r[1:5] for r in groups], range(1, STARTS + 1))
+            to, behind = deal.run(np.zeros(k))
+            got = np.zeros((n_traits, TRAIT_PARTS, STARTS, k))
+            for t in range(n_traits):
+                for i, r in enumerate(groups):
+                    for cell in r[5 + t]:
+                        np.add.at(got[t, cell["p"]], (np.arange(STARTS), to[:, i]), cell["_n"])
+            yield number, behind.ravel().tolist(), got.ravel().tolist()
+
+    found = map_partition(by_segment, compare, T.StructType(
+        [T.StructField("segment", T.IntegerType()), T.StructField("behind", T.ArrayType(T.DoubleType())), T.StructField("got", T.ArrayType(T.DoubleType()))]), 1)
+    # one row per segment of groups; arrays of a fixed size
+    behind, got, last = np.zeros((STARTS, k)), np.zeros((n_traits, TRAIT_PARTS, STARTS, k)), -1
+    left = {}
+    for r in found.toLocalIterator():
+        left[r["segment"]] = np.array(r["behind"]).reshape(STARTS, k)
+        behind += left[r["segment"]]
+        got += np.array(r["got"]).reshape(got.shape)
+        last = max(last, r["segment"])
+    wanted = got.sum(3, keepdims=True) * np.array(shares)
+    off = ROW_WEIGHT * (behind**2).sum(1) + ((got - wanted) ** 2).sum((0, 1, 3)) / max(1, n_traits)
+    best = int(off.argmin())
+    carried = behind[best] - left[last][best]
+
+    def deal(stream: Iterator[tuple]) -> Iterator[tuple]:
+        for number, groups in segments(stream):
+            to, _ = _Deal(shares, [r[1:5] for r in groups], [best + 1]).run(carried if number == last else np.zeros(k))
+            for r, split in zip(groups, to[0].tolist()):
+                yield r[0], targets[split][0]
+
+    return materialize(map_partition(by_segment, deal, schema), "splits")
