@@ -155,8 +155,9 @@ def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets:
     to a power of two) and by the most frequent value of each trait, and dealt
     along the strata from the largest band down, each to the split furthest
     behind; so a group of a third of all rows comes first and all others make
-    up for it, and the smallest come last. A segment of groups is one task's;
-    the last one begins with what all others left uneven. STARTS orders within
+    up for it, and the smallest come last. A segment of groups is one task's: the
+    largest groups make the first, and what they leave uneven is carried to the
+    others by their rows. STARTS orders within
     the strata are dealt, and the one is taken that leaves rows and traits
     nearest to their shares. This is the same for any number of groups.
     Rows with a NULL group stay together; an empty table gives no row; ties are
@@ -186,12 +187,13 @@ def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets:
     schema = T.StructType([T.StructField(group, key_type), T.StructField("split_name", T.StringType())])
     if not n_groups:
         return spark.createDataFrame([], schema)
-    parts = -(-n_groups // segment)
-    line = ["_negband", "_stratum", "_h"]
-    ordered = keyed.withColumn("_negband", -F.col("_band")).repartitionByRange(parts, *line).sortWithinPartitions(*line)
-    dealt_in = materialize(
-        ordered.select("_g", "_rows", "_band", "_stratum", "_h", *[f"{n}p" for n in names], F.spark_partition_id().alias("_segment")), "dealt")
-    by_segment = dealt_in.repartition(parts, "_segment") if parts > 1 else dealt_in.coalesce(1)
+    # segment 0: all groups if they are few, else the largest, of which there are no more than a segment takes
+    others = 1 + F.pmod(F.xxhash64("_h", F.lit("segment")), F.lit(-(-n_groups // segment))).cast("int")
+    number = F.lit(0) if n_groups <= segment else F.when(F.col("_rows") * segment >= n_rows, 0).otherwise(others)
+    columns = keyed.withColumn("_segment", number).select("_g", "_rows", "_band", "_stratum", "_h", *[f"{n}p" for n in names], "_segment")
+    first = columns.where("_segment = 0").coalesce(1)
+    rest = columns.where("_segment > 0").repartition("_segment")
+    rest_rows = (rest.agg(F.sum("_rows")).first()[0] or 0) if n_groups > segment else 0
 
     def segments(stream: Iterator[tuple]) -> Iterator[tuple[int, list[tuple]]]:
         held: dict[int, list[tuple]] = {}
@@ -201,37 +203,44 @@ def deal_splits(rows: DataFrame, group: str, traits: Sequence[Column], targets:
 
     k, n_traits = len(shares), len(names)
 
-    def compare(stream: Iterator[tuple]) -> Iterator[tuple]:
-        """(segment, how far behind, rows by trait part and split), for all orders."""
-        for number, groups in segments(stream):
-            deal = _Deal(shares, [r[1:5] for r in groups], range(1, STARTS + 1))
-            to, behind = deal.run(np.zeros(k))
-            got = np.zeros((n_traits, TRAIT_PARTS, STARTS, k))
-            for t in range(n_traits):
-                for i, r in enumerate(groups):
-                    for cell in r[5 + t]:
-                        np.add.at(got[t, cell["p"]], (np.arange(STARTS), to[:, i]), cell["_n"])
-            yield number, behind.ravel().tolist(), got.ravel().tolist()
-
-    found = map_partition(by_segment, compare, T.StructType(
-        [T.StructField("segment", T.IntegerType()), T.StructField("behind", T.ArrayType(T.DoubleType())), T.StructField("got", T.ArrayType(T.DoubleType()))]), 1)
-    # one row per segment of groups; arrays of a fixed size
-    behind, got, last = np.zeros((STARTS, k)), np.zeros((n_traits, TRAIT_PARTS, STARTS, k)), -1
-    left = {}
-    for r in found.toLocalIterator():
-        left[r["segment"]] = np.array(r["behind"]).reshape(STARTS, k)
-        behind += left[r["segment"]]
-        got += np.array(r["got"]).reshape(got.shape)
-        last = max(last, r["segment"])
+    out = T.StructType([T.StructField("behind", T.ArrayType(T.DoubleType())), T.StructField("got", T.ArrayType(T.DoubleType()))])
+
+    def compared(part: DataFrame, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far behind each order leaves the splits, and the rows it gives them by trait part."""
+
+        def compare(stream: Iterator[tuple]) -> Iterator[tuple]:
+            for _, groups in segments(stream):
+                share = sum(r[1] for r in groups) / (rest_rows or 1)
+                to, behind = _Deal(shares, [r[1:5] for r in groups], range(1, STARTS + 1)).run(carried * share)
+                got = np.zeros((n_traits, TRAIT_PARTS, STARTS, k))
+                for t in range(n_traits):
+                    for i, r in enumerate(groups):
+                        for cell in r[5 + t]:
+                            np.add.at(got[t, cell["p"]], (np.arange(STARTS), to[:, i]), cell["_n"])
+                yield behind.ravel().tolist(), got.ravel().tolist()
+
+        behind, got = np.zeros((STARTS, k)), np.zeros((n_traits, TRAIT_PARTS, STARTS, k))
+        # one row per segment of groups, of a fixed size
+        for r in map_partition(part, compare, out, 1).toLocalIterator():
+            behind += np.array(r["behind"]).reshape(behind.shape)
+            got += np.array(r["got"]).reshape(got.shape)
+        return behind, got
+
+    carried, got = compared(first, np.zeros((STARTS, k)))
+    behind = carried
+    if rest_rows:
+        behind, more = compared(rest, carried)
+        got = got + more
     wanted = got.sum(3, keepdims=True) * np.array(shares)
     off = ROW_WEIGHT * (behind**2).sum(1) + ((got - wanted) ** 2).sum((0, 1, 3)) / max(1, n_traits)
     best = int(off.argmin())
-    carried = behind[best] - left[last][best]
+    start = carried[best]
 
     def deal(stream: Iterator[tuple]) -> Iterator[tuple]:
         for number, groups in segments(stream):
-            to, _ = _Deal(shares, [r[1:5] for r in groups], [best + 1]).run(carried if number == last else np.zeros(k))
+            share = sum(r[1] for r in groups) / (rest_rows or 1) if number else 0.0
+            to, _ = _Deal(shares, [r[1:5] for r in groups], [best + 1]).run(start * share)
             for r, split in zip(groups, to[0].tolist()):
                 yield r[0], targets[split][0]
 
-    return materialize(map_partition(by_segment, deal, schema), "splits")
+    return materialize(map_partition(first, deal, schema).unionByName(map_partition(rest, deal, schema)), "splits")
