@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,8 @@ from tracksift.session import materialize
 #: Share of the largest total the repeats allow that is asked for; Newton's
 #: tolerance; offsets tried per pass over the documents, and passes.
 FILL, TOLERANCE, OFFSETS, PASSES = 0.9, 1e-6, 16, 3
-MAX_SOURCES = 10_000
+#: Sources up to which their parameters are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 # Fixed value: how the vocabulary's texts are cut into words before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -59,8 +60,19 @@ def source_name(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"[\s\-]+", "_")
 
 
-def _by_source(values: dict[str, float], source: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), source)
+def _joined(df: DataFrame, values: dict[str, tuple], names: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the numbers that belong to its source."""
+    spark = df.sparkSession
+    rows = [(s, *map(float, v)) for s, v in values.items()]
+    params = spark.createDataFrame(rows, ", ".join(["`__source` string", *[f"`{n}` double" for n in names]]))
+    params = F.broadcast(params) if len(rows) <= BROADCAST_SOURCES else params
+    return df.join(params, F.col("source") == F.col("__source"), how).drop("__source")
+
+
+def _tilted(rate: float) -> Column:
+    """A document's rate before its source's cap, from its tokens over the source's mean."""
+    power = F.col("_m") * F.col("n_tokens") / F.col("_mean")
+    return F.lit(rate) * F.exp(F.least(F.greatest(power, F.lit(-700.0)), F.lit(700.0)))
 
 
 def balance(sizes: DataFrame, goals: dict[str, float], caps: dict[str, int], rate: float, means: dict[str, float]) -> dict[str, float]:
@@ -74,13 +86,11 @@ def balance(sizes: DataFrame, goals: dict[str, float], caps: dict[str, int], rat
     multiplier = dict.fromkeys(goals, 0.0)
     bracket = {s: [-700.0, 700.0] for s in goals}
     todo = set(goals)
+    t, n, free, cap = F.col("n_tokens").cast("double"), F.col("n"), F.col("_free"), F.col("_cap")
     for _ in range(100):
-        t, s = F.col("n_tokens").cast("double"), F.col("source")
-        x = t / _by_source(means, s)
-        free = F.lit(rate) * F.exp(F.least(F.greatest(_by_source(multiplier, s) * x, F.lit(-700.0)), F.lit(700.0)))
-        cap = _by_source({k: float(v) for k, v in caps.items()}, s)
-        sums = {r["source"]: (r["g"] or 0.0, r["h"] or 0.0) for r in sizes.where(s.isin(*todo)).groupBy("source").agg(
-            F.sum(F.col("n") * t * F.least(free, cap)).alias("g"), F.sum(F.when(free < cap, F.col("n") * t * x * free)).alias("h")).collect()}
+        rated = _joined(sizes, {s: (multiplier[s], means[s], caps[s]) for s in todo}, ["_m", "_mean", "_cap"]).withColumn("_free", _tilted(rate))
+        sums = {r["source"]: (r["g"] or 0.0, r["h"] or 0.0) for r in rated.groupBy("source").agg(
+            F.sum(n * t * F.least(free, cap)).alias("g"), F.sum(F.when(free < cap, n * t * t / F.col("_mean") * free)).alias("h")).collect()}
         for k in list(todo):
             g, h = sums.get(k, (0.0, 0.0))
             off = g - goals[k]
@@ -108,11 +118,12 @@ def mix(docs: DataFrame, key: str, targets: list[tuple[str, float, int]], total:
     out as asked. An empty table gives no row.
     """
     docs = materialize(docs.select(key, "source", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), "sizes")
-    if len(targets) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = {s: share for s, share, _ in targets if share > 0}
     caps = {s: int(r) for s, _, r in targets}
-    known = docs.where(F.col("source").isin(*wanted) & (F.col("n_tokens") > 0))
+    if not wanted:
+        return docs.select(key, "source", "n_tokens", F.lit(0).cast("bigint").alias("n_uses"),
+                           F.lit(None).cast("double").alias("target_share"), F.lit(None).cast("double").alias("real_share"))
+    known = _joined(docs.where("n_tokens > 0"), dict.fromkeys(wanted, ()), [])
     sizes = materialize(known.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "histogram")
     stats = {r["source"]: r for r in sizes.groupBy("source").agg(
         F.sum(F.col("n") * F.col("n_tokens")).alias("t"), F.sum("n").alias("n")).collect()}
@@ -127,12 +138,9 @@ def mix(docs: DataFrame, key: str, targets: list[tuple[str, float, int]], total:
     means = {s: stats[s]["t"] / stats[s]["n"] for s in here}
     multiplier = balance(sizes, goals, caps, rate, means)
 
-    s, t = F.col("source"), F.col("n_tokens").cast("double")
-    cap = _by_source({k: float(caps[k]) for k in here}, s)
-    tilt = F.least(F.greatest(_by_source(multiplier, s) * t / _by_source(means, s), F.lit(-700.0)), F.lit(700.0))
-    wanted_rate = F.least(F.lit(rate) * F.exp(tilt), cap)
     dither = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = known.where(s.isin(*here)).select(key, "source", "n_tokens", wanted_rate.alias("_w"), dither.alias("_u"), cap.alias("_cap"))
+    rated = _joined(known, {s: (multiplier[s], means[s], caps[s]) for s in here}, ["_m", "_mean", "_cap"])
+    rated = rated.select(key, "source", "n_tokens", F.least(_tilted(rate), "_cap").alias("_w"), dither.alias("_u"), "_cap")
 
     def copies(offset: Column) -> Column:
         return F.least(F.greatest(F.floor(F.col("_w") + F.col("_u") + offset), F.lit(0)), F.col("_cap")).cast("bigint")
@@ -140,18 +148,16 @@ def mix(docs: DataFrame, key: str, targets: list[tuple[str, float, int]], total:
     offset, width = dict.fromkeys(here, 0.0), 0.5
     for _ in range(PASSES):
         steps = [width * (2 * i / OFFSETS - 1) for i in range(OFFSETS + 1)]
-        got = rated.groupBy("source").agg(*[
-            F.sum(F.col("n_tokens") * copies(_by_source(offset, s) + F.lit(d))).alias(f"g{i}") for i, d in enumerate(steps)]).collect()
+        got = _joined(rated, {s: (x,) for s, x in offset.items()}, ["_o"]).groupBy("source").agg(*[
+            F.sum(F.col("n_tokens") * copies(F.col("_o") + F.lit(d))).alias(f"g{i}") for i, d in enumerate(steps)]).collect()
         for r in got:
             k = r["source"]
             i = min(range(len(steps)), key=lambda i: (abs(r[f"g{i}"] - goals[k]), abs(steps[i])))
             offset[k] += steps[i]
         width /= OFFSETS / 2
-    used = materialize(rated.select(F.col(key).alias("_key"), copies(_by_source(offset, s)).alias("n_uses")), "uses")
-    out = docs.join(used, docs[key] == used["_key"], "left").select(docs[key], "source", "n_tokens", F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
-    reached = {r["source"]: r["g"] for r in out.where(s.isin(*wanted)).groupBy("source").agg(F.sum(F.col("n_uses") * F.col("n_tokens")).alias("g")).collect()}
+    used = materialize(_joined(rated, {s: (x,) for s, x in offset.items()}, ["_o"]).select(F.col(key).alias("_key"), "source", "n_tokens", copies(F.col("_o")).alias("n_uses")), "uses")
+    reached = {r["source"]: r["g"] for r in used.groupBy("source").agg(F.sum(F.col("n_uses") * F.col("n_tokens")).alias("g")).collect()}
     whole = sum(reached.values()) or 1
     shares = {k: (w, reached.get(k, 0) / whole) for k, w in wanted.items()}
-    pick = lambda i: _by_source({k: float(v[i]) for k, v in shares.items()}, s)
-    has = reduce(lambda a, b: a | b, [s == k for k in wanted])
-    return out.select(key, "source", "n_tokens", "n_uses", F.when(has, pick(0)).alias("target_share"), F.when(has, pick(1)).alias("real_share"))
+    out = docs.join(used.select("_key", "n_uses"), docs[key] == F.col("_key"), "left").select(docs[key], "source", "n_tokens", F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
+    return _joined(out, shares, ["target_share", "real_share"], "left").select(key, "source", "n_tokens", "n_uses", "target_share", "real_share")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracksift.llm.languages import language_name, train_languages
 from tracksift.llm.leaks import leaked_spans
-from tracksift.llm.lookalike import lookalike_classes, lookalike_pairs
+from tracksift.llm.lookalike import consistent_texts, lookalike_classes, lookalike_pairs
 from tracksift.llm.mixing import mix, source_name, token_counts
 from tracksift.llm.pairs import answer_segments, pair_defects
 from tracksift.llm.runs import Vocabulary, label_runs
@@ -54,7 +54,7 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     the activity by the name in id.
     """
     rows = materialize(_people(spark, sf_dir), "people")
-    targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").orderBy(F.desc("target_share"), "split_name").limit(1000).collect()]
+    targets = [tuple(r) for r in table(spark, sf_dir, "split_targets").orderBy(F.desc("target_share"), "split_name").collect()]
     activity = F.regexp_extract("id", r"^[^_]*_([a-z]+)", 1)
     dealt = deal_splits(rows, "patient_group", [F.substring("id", 1, 1), activity], targets)
     to = dealt.select(F.col("patient_group").alias("_person"), "split_name")
@@ -105,7 +105,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    targets = [tuple(r) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").limit(10_001).collect()]
+    targets = [tuple(r) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").collect()]
     return mix(token_counts(docs, "text", tokenizer_path(), ["doc_id", "source"]), "doc_id", targets)
 
 
@@ -113,12 +113,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tokens of mixed scripts, or written whole in another script than they are read in."""
+    forms = consistent_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return forms.where("n_mixed > 0 OR n_whole > 0").select("doc_id", "n_mixed", "n_whole")
+
+
 def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with text, and its class of texts that look the same."""
     return lookalike_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_forest, p5_found, p7_found, p8_found, p8_spans, p9_mix, p10_found, p10_classes)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p4_forest, p5_found, p7_found, p8_found, p8_spans, p9_mix, p10_found, p10_classes, p10_flags)}
 
 _CODE = "upper(regexp_extract({0}, '(?i)([SC])[^0-9A-Za-z]*[0-9]+', 1)) || lpad(ltrim(regexp_extract({0}, '(?i)[SC][^0-9A-Za-z]*([0-9]+)', 1), '0'), 5, '0')"
 
