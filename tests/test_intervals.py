@@ -50,3 +50,11 @@ def test_spans_are_read_in_every_spelling(spark):
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(time_spans("t").alias("x"))
     got = [r.x and [tuple(s) for s in r.x] for r in df.collect()]
     assert got[0] == [(1500, 2000), (3000, 4250), (5000, 6500), (60000, 61500)] and got[1:] == [[], None]
+
+
+def test_long_intervals_are_three_parts_at_most(spark):
+    rows = [("a", 3, 10**12), ("a", 500, 700), ("a", 10**12 + 5, 10**12 + 9), ("b", 15, 17)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    out = periods_and_gaps(df, ["k"], "s", "e", 10)
+    got = {tuple(r) for r in out.collect()}
+    assert got == {("a", "period", 3, 10**12), ("a", "gap", 10**12, 10**12 + 5), ("a", "period", 10**12 + 5, 10**12 + 9), ("b", "period", 15, 17)}

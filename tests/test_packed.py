@@ -24,6 +24,17 @@ def test_malformed_quotes_go_back_to_bare():
     assert LABELS.parse('"a"x@1;b@2') == [('"a"x@1', True), ("b@2", False)]
 
 
+def test_brackets_are_slots_too():
+    assert LABELS.parse("a@1;[b@2;(c@3 | {d@4})];e@5") == [(x, False) for x in ("a@1", "b@2", "c@3", "d@4", "e@5")]
+    assert QIDS.parse("[1, 2], [3]") == [("1", False), ("2", False), ("3", False)] and QIDS.parse("[]; [ ] ;4") == [("4", False)]
+    assert LABELS.parse('["x]@1", [y@2]]') == [("x]@1", False), ("y@2", False)]
+    # unequal brackets: back to bare values, with a flag
+    assert LABELS.parse("[a@1;b@2") == [("[a@1", True), ("b@2", False)] and LABELS.parse("a@1;b@2]") == [("a@1", False), ("b@2]", True)]
+    assert LABELS.parse("(left) reach@1;x@2") == [("(left) reach@1", True), ("x@2", False)] and LABELS.parse("reach (left)@1") == [("reach (left)@1", False)]
+    assert [v for v, bad in LABELS.parse("[a]b@1;c@2]") if bad] == ["a]b@1", "c@2"]
+    assert values(LABELS, "[" * 40 + "a@1" + "]" * 40) == ["a@1"] and len(LABELS.parse("[" * 5000 + "a@1")) == 1 and LABELS.parse("[;" * 3000)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab,;|/\"' \t@1", min_size=1).map(str.strip).filter(bool), min_size=1, max_size=6), st.sampled_from([";", " | ", ", ", "<SEP>", "\n"]))
 def test_quoted_values_round_trip(items, sep):

@@ -6,7 +6,10 @@ between two periods. Intervals are first cut at a fixed time grid and the sweep
 runs per (entity, cell), so an entity with a third of all rows is spread over
 many tasks; a cell holds at most ``cell_ms`` distinct instants because events of
 one instant are summed before the sort. What touches a cell's border is merged
-afterwards by the same sweep over a few rows per cell.
+afterwards by the same sweep over a few rows per cell. An interval is cut into
+three parts at most, however long it is: the cells that it covers whole are one
+part, which goes to that second sweep; what cells found for themselves that lie
+under one is left out.
 """
 
 from __future__ import annotations
@@ -66,9 +69,10 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, cell_
     )
     iv = iv.where(" AND ".join(f"{a} IS NOT NULL" for a in k) + " AND _s < _e")
     cell = lambda x: F.floor(x / F.lit(cell_ms)).cast("bigint")
-    pieces = iv.select(
-        *k, "_s", "_e", F.explode(F.sequence(cell(F.col("_s")), cell(F.col("_e") - 1))).alias("_c")
-    )
+    first, last = cell(F.col("_s")), cell(F.col("_e") - 1)
+    pieces = iv.select(*k, "_s", "_e", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))).alias("_c"))
+    # first cell covered whole by an interval, and first one after those
+    whole = iv.where(last - first > 1).select(*k, (first + 1).alias("_from"), last.alias("_upto"))
     lo, hi = F.col("_c") * cell_ms, (F.col("_c") + 1) * cell_ms
     events = pieces.select(
         *k, "_c", F.inline(_deltas(F.greatest(F.col("_s"), lo), F.least(F.col("_e"), hi)))
@@ -84,8 +88,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, cell_
 
     inner = (F.col("_a") > lo) & (F.col("_b") < hi)
     piece = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("start_ms"), b.alias("end_ms"))
-    done = spans.select(
-        *k,
+    own = spans.select(
+        *k, "_c",
         F.inline(F.filter(
             F.array(
                 F.when(inner, piece("period", F.col("_a"), F.col("_b"))),
@@ -99,6 +103,15 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, cell_
     cells = spans.groupBy(*k, "_c").agg(
         F.min(F.struct("_a", "_b")).alias("_f"), F.max(F.struct("_a", "_b")).alias("_l")
     )
+    # cells under a part that covers them whole, by a sweep over cells
+    steps = whole.select(*k, F.inline(F.array(F.struct(F.col("_from").alias("_c"), F.lit(1).alias("d")), F.struct(F.col("_upto").alias("_c"), F.lit(-1).alias("d")))))
+    marks = steps.groupBy(*k, "_c").agg(F.sum("d").alias("d")).withColumn("_here", F.lit(False)).unionByName(
+        cells.select(*k, "_c", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("_here")))
+    upto = Window.partitionBy(*k).orderBy("_c").rangeBetween(Window.unboundedPreceding, 0)
+    under = marks.withColumn("_n", F.sum("d").over(upto)).where("_here AND _n > 0").select(*[F.col(a).alias(f"_u{a}") for a in k], F.col("_c").alias("_uc"))
+    same = F.col("_c") == F.col("_uc")
+    for a in k:
+        same = same & (F.col(a) == F.col(f"_u{a}"))
     left, right = F.col("_f._a") == lo, F.col("_l._b") == hi
     one = F.col("_f._a") == F.col("_l._a")
     joint = cells.select(
@@ -112,14 +125,18 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, cell_
             lambda x: x.isNotNull(),
         )),
     )
+    done = own.join(under, same, "left_anti").drop("_c")
+    covered = whole.select(*k, F.inline(F.array(*[piece(x, F.col("_from") * cell_ms, F.col("_upto") * cell_ms) for x in ("hull", "edge")])))
+    joint = joint.unionByName(covered)
     turns2 = (
         joint.select(*k, "kind", F.inline(_deltas(F.col("start_ms"), F.col("end_ms"))))
         .groupBy(*k, "kind", "t").agg(F.sum("d").alias("d")).where("d <> 0")
     )
     w2 = Window.partitionBy(*k, "kind").orderBy("t")
+    open2 = F.sum("d").over(w2.rowsBetween(Window.unboundedPreceding, 0))
     joined = (
-        turns2.withColumn("_b", F.lead("t").over(w2))
-        .where("(kind = 'edge' AND d > 0) OR (kind = 'hull' AND d < 0 AND _b IS NOT NULL)")
+        turns2.withColumn("_n", open2).where("_n = 0 OR _n = d").withColumn("_b", F.lead("t").over(w2))
+        .where("(kind = 'edge' AND _n > 0) OR (kind = 'hull' AND _n = 0 AND _b IS NOT NULL)")
         .select(
             *k, F.when(F.col("kind") == "edge", "period").otherwise("gap").alias("kind"),
             F.col("t").alias("start_ms"), F.col("_b").alias("end_ms"),

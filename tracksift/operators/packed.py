@@ -1,17 +1,19 @@
 """Several values packed in one field, split by a parsing expression grammar.
 
-    field   <- spacing (bracketed / slots) spacing !.
+    field     <- spacing slots spacing !.
+    slots     <- slot (sep slot)*
+    slot      <- spacing (quoted after / bracketed after / bare / nothing) spacing
+    quoted    <- '"' ('""' / !'"' .)* '"'  /  the same with single quotes
     bracketed <- '[' slots ']' / '(' slots ')' / '{' slots '}'
-    slots   <- slot (sep slot)*
-    slot    <- spacing (quoted &(sep / end) / bare / nothing) spacing
-    quoted  <- '"' ('""' / !'"' .)* '"'  /  the same with single quotes
-    bare    <- (!sep .)+
-    sep     <- '<SEP>' / [,;|/] / tab / line break / ' & ' / ' and ' / spaces where allowed
-
-Alternatives are tried in this order and the first that fits wins; a quote
-that is never closed, or after which neither a separator nor the end follows,
-makes ``quoted`` fail, and the parser goes back and reads the slot as bare,
-with an error flag. Each field is parsed on its own, so this is a narrow
+    bare      <- (!sep !close .)+            close: that of the bracket around
+    after     <- spacing &(sep / close / !.)
+    sep       <- '<SEP>' / [,;|/] / tab / line break / ' & ' / ' and ' / spaces where allowed
+
+Alternatives are tried in this order and the first that fits wins; a quote or
+bracket that is never closed, or after which neither a separator nor an end
+follows, makes its alternative fail, and the parser goes back and reads the slot
+as bare, with an error flag. The values of a bracketed slot follow each other
+like others; brackets may be nested. Each field is parsed on its own, so this is a narrow
 operation without a shuffle.
 """
 
@@ -31,6 +33,10 @@ _BRACKETS = {"[": "]", "(": ")", "{": "}"}
 _SEP = r"<\s*SEP\s*>|[,;|/\t\r\n]|[ \u00a0]+(?:&|and|und)[ \u00a0]+"
 
 
+#: Brackets within brackets that are parsed; deeper ones are read as bare.
+DEPTH = 50
+
+
 class Grammar:
     """Separators compiled for one kind of field; ``blanks`` says whether
     spaces between bare values separate them too."""
@@ -39,7 +45,7 @@ class Grammar:
         sep = _SEP + (r"|[ \u00a0]+" if blanks else "")
         self.sep = re.compile(sep, re.I)
         # a bare value ends before a separator; spaces before that are spacing
-        self.bare = re.compile(rf"(?:(?!{sep}).)+", re.I | re.S)
+        self.bare = {close: re.compile(rf"(?:(?!{sep}){char})+", re.I | re.S) for close, char in (("", "."), ("]", r"[^\]]"), (")", "[^)]"), ("}", "[^}]"))}
 
     def _sep_at(self, s: str, i: int) -> int:
         """End of the separator (with spacing) at ``i``; -1 if there is none."""
@@ -50,43 +56,58 @@ class Grammar:
                 return m.end()
         return -1
 
-    def _quoted(self, s: str, i: int) -> tuple[str, int] | None:
-        rule = _QUOTED.get(s[i : i + 1])
+    def _after(self, s: str, i: int, close: str) -> bool:
+        j = _SPACING.match(s, i).end()
+        return j >= len(s) or s[j] == close or self._sep_at(s, i) >= 0
+
+    def _quoted(self, s: str, i: int, close: str) -> tuple[str, int] | None:
+        rule = _QUOTED.get(s[i])
         m = rule.match(s, i) if rule else None
-        if not m:
-            return None
-        after = _SPACING.match(s, m.end()).end()
-        if after < len(s) and self._sep_at(s, m.end()) < 0:
+        if not m or not self._after(s, m.end(), close):
             return None
         return m.group(1).replace(s[i] * 2, s[i]).strip(), m.end()
 
-    def slots(self, s: str) -> list[tuple[str, bool]]:
-        """(value, malformed) of each slot that holds a value, in order."""
-        out, i, n = [], 0, len(s)
-        while i < n:
+    def _bracketed(self, s: str, i: int, close: str, depth: int, failed: set[int]) -> tuple[list[tuple[str, bool]], int] | None:
+        own = _BRACKETS.get(s[i])
+        if own is None or depth >= DEPTH or i in failed:
+            return None
+        if s.find(own, i + 1) >= 0:
+            values, end = self._slots(s, i + 1, own, depth + 1, failed)
+            if end < len(s) and self._after(s, end + 1, close):
+                return values, end + 1
+        failed.add(i)
+        return None
+
+    def _slots(self, s: str, i: int, close: str, depth: int, failed: set[int]) -> tuple[list[tuple[str, bool]], int]:
+        """((value, malformed) of each slot that holds a value, where the closing bracket or the end is)."""
+        out, n = [], len(s)
+        while True:
             i = _SPACING.match(s, i).end()
-            if i >= n:
-                break
-            read = self._quoted(s, i)
-            if read:
+            if i >= n or s[i] == close:
+                return out, i
+            if read := self._quoted(s, i, close):
                 value, i = read
                 if value:
                     out.append((value, False))
+            elif inner := self._bracketed(s, i, close, depth, failed):
+                out += inner[0]
+                i = inner[1]
             elif self.sep.match(s, i) is None:
-                m = self.bare.match(s, i)
+                m = self.bare[close].match(s, i)
                 value, i = m.group().strip(), m.end()
                 if value:
-                    out.append((value, '"' in value or value[0] == "'" or value[-1] == "'"))
+                    out.append((value, '"' in value or value[0] in "'[({" or value[-1] in "'])}" and not any(x in value for x in "[({")))
             j = self._sep_at(s, i)
             i = j if j > i else max(i, _SPACING.match(s, i).end())
-        return out
 
     def parse(self, s: str) -> list[tuple[str, bool]]:
         s = s.strip()
-        close = _BRACKETS.get(s[:1])
-        if close and s.endswith(close) and len(s) > 1:
-            return self.slots(s[1:-1].strip())
-        return self.slots(s)
+        values, _ = self._slots(s, 0, "", 0, set())
+        own = _BRACKETS.get(s[:1])
+        if own and s.endswith(own) and len(s) > 1 and values and values[0][0][0] == s[0]:
+            # brackets around the whole that hold unequal ones: taken off, and all within is doubtful
+            return [(v, True) for v, _ in self._slots(s[1:-1].strip(), 0, "", 0, set())[0]]
+        return values
 
 
 def packed_values(
