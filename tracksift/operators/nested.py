@@ -2,8 +2,8 @@
 
 A depth-first visitor walks each JSON document once and emits rows tagged with
 the table they belong to, a primary key, the parent's key and the payload. The
-tagged rows are one DataFrame; ``flat_table`` picks one tag and gives it its
-typed columns, ``write_tables`` writes them partitioned by tag.
+tagged rows are written once, partitioned by tag, and each flat table is read
+from its partition with its own typed columns.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracksift.functions.arrow import map_partition
+from tracksift.session import new_path
 
 TAGGED = T.StructType([
     T.StructField("tag", T.StringType()), T.StructField("run_no", T.LongType()), T.StructField("task", T.StringType()),
     T.StructField("row_key", T.StringType()), T.StructField("parent_key", T.StringType()),
     T.StructField("parent_pos", T.LongType()), T.StructField("pos", T.LongType()),
     T.StructField("entry_name", T.StringType()), T.StructField("payload", T.StringType()),
+    T.StructField("again", T.BooleanType()),
 ])
 
 #: Columns each flat table gets from its payload.
@@ -84,34 +86,41 @@ def _text(v: Any) -> str | None:
 
 
 class Visitor:
-    """Emits the tagged rows of one run."""
+    """Walks the documents of one run and gives their tagged rows one by one.
+
+    ``again`` marks a row that says of its task what an earlier one of the run
+    says too, as where two groups name the same subtask.
+    """
 
     def __init__(self, run_no: int | None):
-        self.run_no, self.rows, self.n = run_no, [], 0
+        self.run_no, self.n, self.said = run_no, 0, set()
 
-    def emit(self, tag: str, task: str, parent: str | None, parent_pos: int, pos: int, name: str, payload: dict) -> str:
+    def row(self, tag: str, task: str, parent: str | None, parent_pos: int, pos: int, name: str, payload: dict) -> tuple:
         key = f"{self.run_no}.{self.n}"
         self.n += 1
-        self.rows.append((tag, self.run_no, task, key, parent, parent_pos, pos, name, json.dumps(payload, ensure_ascii=False)))
-        return key
+        what = (tag, task, parent_pos, pos, name)
+        again = what in self.said
+        self.said.add(what)
+        return (tag, self.run_no, task, key, parent, parent_pos, pos, name, json.dumps(payload, ensure_ascii=False), again)
 
-    def results(self, doc: Any) -> None:
+    def results(self, doc: Any) -> Iterator[tuple]:
         if not isinstance(doc, dict):
             return
         for task, fields in doc.items():
             if isinstance(fields := _unpacked(fields), dict):
                 for name, v in fields.items():
-                    self.emit("score", task, None, -1, -1, name, {"value": _text(v), "value_type": value_type(v)})
+                    yield self.row("score", task, None, -1, -1, name, {"value": _text(v), "value_type": value_type(v)})
 
-    def config(self, task: str, body: dict, parent: str | None) -> None:
+    def config(self, task: str, body: dict, parent: str | None) -> Iterator[tuple]:
         for pos, name, x in entries(body.get("metric_list"), "metric"):
-            self.emit("metric", task, parent, -1, pos, name, {
+            yield self.row("metric", task, parent, -1, pos, name, {
                 "aggregation": _text(x.get("aggregation")), "higher_is_better": x.get("higher_is_better"), "args": _text(x.get("args"))})
         for pos, name, x in entries(body.get("filter_list"), "name"):
             steps = entries(x.get("filter"), "function")
-            key = self.emit("filter", task, parent, -1, pos, name, {"n_steps": len(steps)})
+            row = self.row("filter", task, parent, -1, pos, name, {"n_steps": len(steps)})
+            yield row
             for i, function, step in steps:
-                self.emit("step", task, key, pos, i, function, {
+                yield self.row("step", task, row[3], pos, i, function, {
                     "regex_pattern": _text(step.get("regex_pattern")), "kwargs": _text(step.get("kwargs"))})
         subs = _unpacked(body.get("task"))
         if isinstance(subs, (list, dict)) or ("group" in body and isinstance(subs, str)):
@@ -119,16 +128,17 @@ class Visitor:
                 inner = _unpacked(name)
                 nested = isinstance(inner, (list, dict))  # a group within the group
                 label = str(x.get("group", name)) if nested else name
-                key = self.emit("subtask", task, parent, -1, pos, label, {
+                row = self.row("subtask", task, parent, -1, pos, label, {
                     "test_split": _text(x.get("test_split")), "n_metrics": len(entries(x.get("metric_list"), "metric"))})
-                self.config(label, x if nested else {k: v for k, v in x.items() if k != "task"}, key)
+                yield row
+                yield from self.config(label, x if nested else {k: v for k, v in x.items() if k != "task"}, row[3])
 
-    def configs(self, doc: Any) -> None:
+    def configs(self, doc: Any) -> Iterator[tuple]:
         if not isinstance(doc, dict):
             return
         for task, body in doc.items():
             if isinstance(body := _unpacked(body), dict):
-                self.config(task, body, None)
+                yield from self.config(task, body, None)
 
 
 def tagged_rows(df: DataFrame, run: str = "run_no", results: str = "results", configs: str = "configs") -> DataFrame:
@@ -143,9 +153,8 @@ def tagged_rows(df: DataFrame, run: str = "run_no", results: str = "results", co
     def visit(rows: Iterator[tuple]) -> Iterator[tuple]:
         for run_no, r, c in rows:
             v = Visitor(run_no)
-            v.results(_loads(r))
-            v.configs(_loads(c))
-            yield from v.rows
+            yield from v.results(_loads(r))
+            yield from v.configs(_loads(c))
 
     return map_partition(df.select(df[run].cast("bigint"), df[results].cast("string"), df[configs].cast("string")), visit, TAGGED)
 
@@ -155,7 +164,7 @@ def flat_table(tagged: DataFrame, tag: str) -> DataFrame:
     return (
         tagged.where(F.col("tag") == tag)
         .withColumn("_p", F.from_json("payload", PAYLOADS[tag]))
-        .select("run_no", "task", "row_key", "parent_key", "parent_pos", "pos", "entry_name", "_p.*")
+        .select("run_no", "task", "row_key", "parent_key", "parent_pos", "pos", "entry_name", "again", "_p.*")
     )
 
 
@@ -166,3 +175,10 @@ def write_tables(tagged: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return flat_table(spark.read.schema(TAGGED).parquet(path), tag)
+
+
+def stored_tables(tagged: DataFrame) -> dict[str, DataFrame]:
+    """Each flat table by its tag, read from the tagged rows written to the shared folder."""
+    path = new_path(tagged.sparkSession, "tables")
+    write_tables(tagged, path)
+    return {tag: read_table(tagged.sparkSession, path, tag) for tag in PAYLOADS}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracksift.operators.drift import field_changes, profiled_fields, unified
 from tracksift.operators.intervals import periods_and_gaps, time_spans, to_ms
-from tracksift.operators.nested import tagged_rows
+from tracksift.operators.nested import stored_tables, tagged_rows
 from tracksift.operators.packed import packed_values
 from tracksift.sources.tables import log_rows, table
 
@@ -50,9 +52,34 @@ def label_value(value: str) -> str:
     return value if "@" in value else ""
 
 
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field how many values it packs and how many of them were malformed."""
+    rows = log_rows(spark, sf_dir, "sample_log", "qids", "filtered_resps").where("qids IS NOT NULL OR filtered_resps IS NOT NULL")
+    values = packed_values(rows, "sample_no", {"qids": True, "filtered_resps": False})
+    return values.groupBy("field_name").agg(F.count("*").alias("n_values"), F.count_if("malformed").alias("n_malformed"))
+
+
+def _run_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return stored_tables(tagged_rows(log_rows(spark, sf_dir, "run_log", "results", "configs")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = tagged_rows(log_rows(spark, sf_dir, "run_log", "results", "configs"))
-    return tagged.select("run_no", "task", F.col("tag").alias("kind"), "parent_pos", "pos", "entry_name").distinct()
+    rows = [t.where("NOT again").select("run_no", "task", F.lit(tag).alias("kind"), "parent_pos", "pos", "entry_name") for tag, t in _run_tables(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of scores, typed."""
+    return _run_tables(spark, sf_dir)["score"].select("run_no", "task", F.col("entry_name").alias("field"), "value_type", F.expr("try_cast(value AS double)").alias("number"))
+
+
+def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter steps by the name of the filter that their parent key leads to."""
+    tables = _run_tables(spark, sf_dir)
+    filters = tables["filter"].select(F.col("row_key").alias("parent_key"), F.col("entry_name").alias("filter_name"), "n_steps")
+    steps = tables["step"].select("parent_key", "run_no", "task", "pos", F.col("entry_name").alias("function"))
+    joined = steps.join(filters, "parent_key", "left")
+    return joined.groupBy("run_no", "task", "filter_name").agg(F.count("*").alias("n_steps"), F.max("n_steps").alias("n_said"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +94,7 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p6_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p3_found, p3_scores, p3_steps, p6_found, p6_unified)}
 
 ORACLES = {
     "p1_found": r"""

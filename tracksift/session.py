@@ -36,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._tracksift_path = path
