@@ -73,6 +73,13 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
+@lru_cache(maxsize=1)
+def _foldable() -> re.Pattern:
+    """Finds a character that ``_fold`` or the hyphens' table may change."""
+    found = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and (ord(c) in _HYPHEN or _fold(c) != c)]
+    return re.compile("[" + "".join(map(re.escape, found)) + "\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=200_000)
 def letter_script(ch: str) -> str:
     """The script a letter's name begins with; "" for letters common to all scripts."""
@@ -130,16 +137,19 @@ class Forms:
                 for script, c in own.items():
                     self.spelled.setdefault(script, {})[rep] = c
                 self.scripts[rep] = frozenset(own)
+        self._start()
+
+    def _start(self) -> None:
         self._safe = self._unsafe()
         self._tokens = lru_cache(maxsize=KEPT_TOKENS)(self._resolve)
+        self._spelled = lru_cache(maxsize=KEPT_TOKENS)(self._spell)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_tokens", "_safe")}
+        return {"base": self.base, "spelled": self.spelled, "scripts": self.scripts}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._safe = self._unsafe()
-        self._tokens = lru_cache(maxsize=KEPT_TOKENS)(self._resolve)
+        self._start()
 
     @staticmethod
     def _one(letters: list[str], like: str, named: dict[str, str], usual: frozenset[str], modern: bool) -> str | None:
@@ -168,7 +178,9 @@ class Forms:
 
     @staticmethod
     def _folded(text: str) -> str:
-        t = _INVISIBLE.sub("", text).translate(_FOLDS).translate(_HYPHEN)
+        t = _INVISIBLE.sub("", text)
+        if _foldable().search(t):
+            t = t.translate(_FOLDS).translate(_HYPHEN)
         return _LINE.sub("\n", _BLANK.sub(" ", t))
 
     def _sets(self, token: str) -> Iterator[frozenset[str]]:
@@ -210,16 +222,14 @@ class Forms:
             _, script, _, kind = self._tokens(token)
             if kind == "single":
                 votes[script] += n
+        top = min(votes, key=lambda s: (-votes[s], s != "LATIN", s), default="LATIN")
         mixed = whole = 0
         respelled: dict[str, str] = {}
         for token, n in tokens.items():
             new, script, left, kind = self._tokens(token)
             if kind == "several":
-                if not self.base.keys().isdisjoint(token):
-                    script = min(left, key=lambda s: (-votes[s], s != "LATIN", s))
-                    new = self._spell(token, script)
-                else:
-                    new = token
+                script = top if top in left else min(left, key=lambda s: (-votes[s], s != "LATIN", s))
+                new = self._spelled(token, script)
             if new != token:
                 own = {letter_script(c) for c in token if c.isalpha()} - {""}
                 mixed += n * (len(own) > 1)
@@ -228,7 +238,7 @@ class Forms:
             elif kind == "mixed":
                 mixed += n
         if respelled:
-            t = _TOKEN.sub(lambda m: respelled.get(m.group(), m.group()), t)
+            t = _TOKEN.sub(lambda m: respelled.get(m[0], m[0]), t)
         return unicodedata.normalize("NFC", t), mixed, whole
 
     def readings(self, token: str) -> tuple[str, ...]:
@@ -240,6 +250,8 @@ class Forms:
 
     def letters(self, text: str) -> str:
         """The text with signs folded and letters decomposed, before tokens are looked at."""
+        if self.plain(text):
+            return text if text.isascii() else unicodedata.normalize("NFD", text)
         return unicodedata.normalize("NFD", self._folded(text))
 
     def plain(self, text: str) -> bool:
