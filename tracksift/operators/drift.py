@@ -1,17 +1,19 @@
 """Schemas that drift between the files of a series: one table, all changes.
 
-Every field of every file is profiled (type, and the number it carries as a
-sketch of its value). Presence is compared with the preceding file of the same
+Every field of every file is profiled (type, and a sketch of its value: the
+number it carries and the shape of what is around it). Presence is compared with the preceding file of the same
 series and task through running file positions; what goes and what comes in the
 same file is matched as a bipartite graph whose edges need the same type and a
-number within two percent and are weighted by the likeness of names and
-numbers. Matched pairs are renames; the unified table carries every value
+number within two percent and are weighted by the likeness of names, numbers
+and shapes. Matched pairs are renames; the unified table carries every value
 under the name its field bore first.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from typing import Any
@@ -28,13 +30,15 @@ from tracksift.session import materialize
 
 #: Two numbers count as the same up to this share of the larger.
 NUMBER_TOLERANCE = 0.02
+#: What an equal shape adds to the likeness of a pair, whose names and numbers give 1 at most.
+SHAPE = 0.05
 
 PROFILE = T.StructType([
     T.StructField("series", T.StringType()), T.StructField("written_at", T.TimestampNTZType()),
     T.StructField("run_no", T.LongType()), T.StructField("task", T.StringType()),
     T.StructField("fields", T.ArrayType(T.StructType([
         T.StructField("field", T.StringType()), T.StructField("value_type", T.StringType()),
-        T.StructField("number", T.DoubleType()), T.StructField("text", T.StringType()),
+        T.StructField("number", T.DoubleType()), T.StructField("shape", T.StringType()), T.StructField("text", T.StringType()),
     ]))),
 ])
 
@@ -65,8 +69,20 @@ def same_number(a: float | None, b: float | None) -> bool:
     return a is not None and b is not None and abs(a - b) <= NUMBER_TOLERANCE * max(abs(a), abs(b))
 
 
-def profiles(df: DataFrame) -> DataFrame:
-    """One row per file and task with its profiled fields (columns as PROFILE).
+def shape_of(v: Any, depth: int = 3) -> str:
+    """What is around the number of a value: the words of a text, the kinds in a
+    list, the keys of an object, down to ``depth``."""
+    if isinstance(v, str):
+        return "s:" + " ".join(re.findall(r"[^\W\d_]+", v)[:4])
+    if isinstance(v, (list, dict)) and depth:
+        inner = [f"{k}={shape_of(x, depth - 1)}" for k, x in sorted(v.items())] if isinstance(v, dict) else sorted({shape_of(x, depth - 1) for x in v})
+        return "[" + ",".join(inner[:8]) + "]"
+    return "n" if isinstance(v, (int, float)) else ""
+
+
+def profiles(df: DataFrame, texts: bool = True) -> DataFrame:
+    """One row per file and task with its profiled fields (columns as PROFILE);
+    the values' texts are NULL where they aren't asked for.
 
     ``df`` has series, written_at, run_no, results. Files that aren't a JSON
     object are skipped, as are tasks that aren't one.
@@ -81,8 +97,7 @@ def profiles(df: DataFrame) -> DataFrame:
             for task, fields in doc.items() if isinstance(doc, dict) else ():
                 if isinstance(fields, dict):
                     yield series, at, run_no, task, [
-                        {"field": f, "value_type": value_type(v), "number": number_in(v),
-                         "text": v if v is None or isinstance(v, str) else json.dumps(v)}
+                        (f, value_type(v), number_in(v), shape_of(v), (v if v is None or isinstance(v, str) else json.dumps(v)) if texts else None)
                         for f, v in fields.items()
                     ]
 
@@ -100,11 +115,24 @@ def _classify(gone: list[dict], come: list[dict]) -> list[tuple[str, str, str]]:
     gone = sorted(gone, key=lambda x: x["field"])
     come = sorted(come, key=lambda x: x["field"])
     weights = {}
+    # what came, by type in order of its number: only numbers near enough are looked at
+    by_type: dict[str, list[tuple[float, int]]] = {}
+    for j, c in enumerate(come):
+        if c["value_type"] is not None and c["number"] is not None:
+            by_type.setdefault(c["value_type"], []).append((c["number"], j))
+    for known in by_type.values():
+        known.sort()
     for i, g in enumerate(gone):
-        for j, c in enumerate(come):
-            if g["value_type"] is not None and g["value_type"] == c["value_type"] and same_number(g["number"], c["number"]):
-                apart = abs(g["number"] - c["number"]) / (max(abs(g["number"]), abs(c["number"])) or 1.0)
-                weights[i, j] = 0.5 * _name_likeness(g["field"], c["field"]) + 0.5 * (1 - apart / NUMBER_TOLERANCE)
+        x = g["number"]
+        known = by_type.get(g["value_type"], []) if x is not None else []
+        reach = abs(x) * NUMBER_TOLERANCE / (1 - NUMBER_TOLERANCE) * (1 + 1e-9) if known else 0.0
+        for k in range(bisect_left(known, (x - reach, -1)), len(known)) if known else ():
+            y, j = known[k]
+            if y > x + reach:
+                break
+            if same_number(x, y):
+                apart = abs(x - y) / (max(abs(x), abs(y)) or 1.0)
+                weights[i, j] = 0.5 * _name_likeness(g["field"], come[j]["field"]) + 0.5 * (1 - apart / NUMBER_TOLERANCE) + SHAPE * (g["shape"] == come[j]["shape"])
     pairs = best_matching(weights, len(gone), len(come))
     left, right = {i for i, _ in pairs}, {j for _, j in pairs}
     return (
@@ -114,7 +142,7 @@ def _classify(gone: list[dict], come: list[dict]) -> list[tuple[str, str, str]]:
     )
 
 
-def profiled_fields(df: DataFrame) -> DataFrame:
+def profiled_fields(df: DataFrame, texts: bool = True) -> DataFrame:
     """One row per (series, task, file, field), and one with a NULL field for a
     file without fields, materialised, with the file's
     position among the task's files (``file_pos`` from 1), the field's position
@@ -125,7 +153,7 @@ def profiled_fields(df: DataFrame) -> DataFrame:
     its tasks and fields; file positions come from daily buckets. A field
     occurs once per file (a repeated key of a JSON object overwrites).
     """
-    files = materialize(profiles(df), "profiles")  # numbering reads it twice; the JSON is parsed once
+    files = materialize(profiles(df, texts), "profiles")  # numbering reads it twice; the JSON is parsed once
     placed = running_total(
         files, ["series", "task"], F.to_date("written_at"), ["written_at", "run_no"], F.lit(1), "file_pos"
     )
@@ -151,7 +179,7 @@ def field_changes(fields: DataFrame) -> DataFrame:
         "series", "task", "file_pos", "run_no", F.lit("retyped").alias("change_kind"),
         F.col("field").alias("old_field"), F.col("field").alias("new_field"),
     )
-    item = F.struct("field", F.col("seen_type").alias("value_type"), "number")
+    item = F.struct("field", F.col("seen_type").alias("value_type"), "number", "shape")
     files = fields.groupBy("series", "task", "file_pos").agg(F.first("run_no").alias("run_no"))
     moves = fields.where("field IS NOT NULL").select(
         "series", "task",

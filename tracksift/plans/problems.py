@@ -84,7 +84,7 @@ def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = log_rows(spark, sf_dir, "run_log", "series", "written_at", "results")
-    return field_changes(profiled_fields(runs)).select("run_no", "task", "change_kind", "old_field", "new_field").distinct()
+    return field_changes(profiled_fields(runs, texts=False)).select("run_no", "task", "change_kind", "old_field", "new_field").distinct()
 
 
 def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
