@@ -128,13 +128,30 @@ def glob_like(pattern: str) -> str:
 ANSWER_PUNCTUATION = ";/[]\"{}()=+\\_-><@`,?!"
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ["a", "an", "the"]
+# Contractions as they are written in full; each is also found with apostrophes left out.
+CONTRACTIONS = (
+    "ain't aren't can't could've couldn't couldn't've didn't doesn't don't hadn't hadn't've hasn't haven't he'd he'd've he's how'd how'll how's "
+    "I'd've I'm I've isn't it'd it'd've it'll let's ma'am mightn't mightn't've might've mustn't must've needn't not've o'clock oughtn't shan't "
+    "she'd've she's should've shouldn't shouldn't've somebody'd've somebody'll somebody's someone'd someone'd've someone'll someone's something'd "
+    "something'd've something'll 'ow's'at that's there'd there'd've there're there's they'd they'd've they'll they're they've 'twas wasn't we'd've we've "
+    "weren't what'll what're what's what've when's where'd where's where've who'd who'd've who'll who's who've why'll why're why's won't would've "
+    "wouldn't wouldn't've y'all y'all'll y'all'd've you'd you'd've you'll you're you've"
+).split()
+# Words that are contractions only as they stand, which is how they are meant.
+NOT_CONTRACTIONS = {"lets", "shes"}
+
+
+def contraction_table() -> dict[str, str]:
+    """Spelling with one apostrophe left out -> contraction."""
+    left_out = {full[:i] + full[i + 1 :]: full for full in CONTRACTIONS for i, c in enumerate(full) if c == "'"}
+    return {k: v for k, v in left_out.items() if k not in NOT_CONTRACTIONS}
 
 
 def answer_tokens(text: Column) -> Column:
     """A short answer made comparable: lower case, no ',', '?' or articles,
     punctuation dropped where it stands beside a blank (or between digits) and
     turned into a blank elsewhere, periods kept only inside numbers, number
-    words as digits."""
+    words as digits, contractions with their apostrophes."""
     t = F.trim(F.regexp_replace(F.replace(F.translate(F.lower(text), ",?", ""), F.lit("'s"), F.lit(" 's")), "[\n\t]", " "))
     # a fold over the marks whose state carries the text, so that it is made once
     # and not again for each mark (as a lambda over its expression would)
@@ -148,5 +165,6 @@ def answer_tokens(text: Column) -> Column:
     out = F.aggregate(F.array(*[F.lit(p) for p in ANSWER_PUNCTUATION]), start, drop, lambda s: s["out"])
     out = F.regexp_replace(out, r"(?<![0-9])\.|\.(?![0-9])", "")
     words = F.filter(F.split(F.trim(out), " +"), lambda w: ~w.isin(ARTICLES) & (w != ""))
-    table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    numbers = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
+    whole = F.create_map(*[F.lit(x) for kv in contraction_table().items() for x in kv])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), F.try_element_at(whole, w), w)), " ")

@@ -7,15 +7,18 @@ metrics are one ``agg`` with partial aggregation before the shuffle;
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracksift.operators.bootstrap import ROUNDS, bootstrap
-from tracksift.operators.ranks import running_total
-from tracksift.session import materialize
+from tracksift.operators.ranks import running_total, spread
+from tracksift.functions.arrow import map_partition
+from tracksift.session import discard, materialize, shuffle_parts
 
 AGGREGATIONS: dict[str, Callable[..., Column]] = {}
 
@@ -109,14 +112,9 @@ def pooled_stderr(se: Column, n: Column) -> Column:
     return F.sqrt(F.sum((n - 1) * se * se * n) / (total - F.count(n)) / total)
 
 
-def _spread(df: DataFrame, value: str, buckets: int) -> Column:
-    """A bucket that grows with ``value``, for running totals."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    width = ((high or 0) - (low or 0)) / buckets or 1
-    return F.floor((F.col(value) - F.lit(low or 0)) / F.lit(width))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 256) -> DataFrame:
     """(keys, q0, q1, ...): exact quantiles, interpolated between neighbours.
 
     Equal values are counted before anything is sorted, positions come from
@@ -127,7 +125,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     v = F.col(value).cast("double")
     known = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
     counts = materialize(known, "values")
-    upto = running_total(counts, keys, _spread(counts, "_v", buckets), ["_v"], F.col("_c"), "_cum")
+    upto = running_total(counts, keys, spread(counts, "_v", buckets), ["_v"], F.col("_c"), "_cum")
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     cols = []
     for i, q in enumerate(shares):
@@ -138,22 +136,39 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     return upto.join(totals, keys).groupBy(*keys).agg(*cols)
 
 
-def arrival_median(df: DataFrame, keys: list[str], order: str, value: str, buckets: int = 1024) -> DataFrame:
+def arrival_median(df: DataFrame, keys: list[str], order: str, value: str, buckets: int = 256) -> DataFrame:
     """(keys, mid): the middle value in order of arrival (a unique number), not of size."""
     rows = df.select(*keys, order, value)
-    placed = running_total(rows, keys, _spread(rows, order, buckets), [order], F.lit(1), "_i")
+    placed = running_total(rows, keys, spread(rows, order, buckets), [order], F.lit(1), "_i")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     return placed.join(sizes, keys).where("_i = floor(_n / 2) + 1").select(*keys, F.col(value).alias("mid"))
 
 
-def tree_hash(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """(keys, hash) of a set of hex digests: they are hashed in order within 256
-    buckets by their first two digits, then the buckets' hashes in order, so the
-    digests of a group are gathered in small parts only."""
-    part = F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256)
-    parts = df.where(F.col(digest).isNotNull()).groupBy(*keys, F.substring(digest, 1, 2).alias("_b")).agg(part.alias("_p"))
-    ordered = F.array_sort(F.collect_list(F.struct("_b", "_p")))
-    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["_p"]), ""), 256).alias("hash"))
+def sequence_hash(df: DataFrame, keys: list[str], order: list[str], digest: str) -> DataFrame:
+    """(keys, hash): SHA-256 over a group's digests one after the other in ``order``.
+
+    A group's rows are sorted, not gathered: they are hashed as they stream by,
+    so a group of any size takes no more memory than its digest. NULL digests
+    add nothing; a group with no other has the hash of nothing.
+    """
+    rows = df.select(*keys, *order, F.col(digest).cast("string").alias("_d"))
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("hash", T.StringType())])
+    n = len(keys)
+
+    def run(stream: Iterator[tuple]) -> Iterator[tuple]:
+        who, state = None, None
+        for r in stream:
+            if state is None or r[:n] != who:
+                if state is not None:
+                    yield *who, state.hexdigest()
+                who, state = r[:n], hashlib.sha256()
+            if r[-1] is not None:
+                state.update(r[-1].encode())
+        if state is not None:
+            yield *who, state.hexdigest()
+
+    parted = rows.repartition(shuffle_parts(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    return map_partition(parted, run, schema)
 
 
 # --- per row ---------------------------------------------------------------
@@ -173,8 +188,11 @@ def exact_match(a: Column, b: Column, ignore: list[str] | None = None, case: boo
 
 
 def anls(pred: Column, golds: Column, threshold: float = 0.5) -> Column:
-    """Best normalised edit similarity to a gold, 0 below the threshold."""
-    sim = F.array_max(F.transform(golds, lambda g: 1.0 - F.levenshtein(F.lower(F.trim(pred)), F.lower(F.trim(g))) / F.greatest(F.length(pred), F.length(g), F.lit(1))))
+    """Best normalised edit similarity to a gold, 0 below the threshold. Texts are
+    compared without case and with each run of blanks as one; the length they are
+    measured by is that of the texts as they are."""
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    sim = F.array_max(F.transform(golds, lambda g: 1.0 - F.levenshtein(plain(pred), plain(g)) / F.greatest(F.length(pred), F.length(g), F.lit(1))))
     return F.when(sim < threshold, 0.0).otherwise(sim)
 
 
@@ -223,17 +241,23 @@ def report(cells: DataFrame) -> DataFrame:
                        zero(F.try_divide(2.0 * F.col("_tp"), F.col("_p") + F.col("support"))).alias("f1"), "support")
 
 
-def rollup_groups(scores: DataFrame, edges: DataFrame, weighted: bool = True, depth: int = 8) -> DataFrame:
+def rollup_groups(scores: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:
     """(group, metric, value, stderr, n): scores (node, metric, value, stderr, n) of
     leaves rolled up over a tree of (parent, node) edges, by closure: a leaf
-    counts once in each ancestor, at whatever depth. Edge tables are task
-    trees, small beside the scores."""
-    closure = level = edges.select(F.col("parent").alias("group"), "node")
-    for _ in range(depth - 1):
-        up = edges.select(F.col("node").alias("group"), F.col("parent").alias("_up"))
-        level = level.join(up, "group").select(F.col("_up").alias("group"), "node")
-        closure = closure.unionByName(level)
-    joined = scores.join(closure.distinct(), "node")
+    counts once in each ancestor. The closure doubles its reach per round until
+    nothing new is found, so any depth takes its logarithm in rounds, and a
+    circle of groups ends. Edge tables are task trees, small beside the scores."""
+    closure = materialize(edges.select(F.col("parent").alias("group"), "node").where("group IS NOT NULL AND node IS NOT NULL").distinct(), "closure")
+    n = closure.count()
+    while n:
+        up = closure.select(F.col("node").alias("_mid"), F.col("group").alias("_top"))
+        longer = closure.join(up, F.col("group") == F.col("_mid")).select(F.col("_top").alias("group"), "node")
+        more = materialize(closure.unionByName(longer).distinct(), "closure")
+        discard(closure)
+        closure, before, n = more, n, more.count()
+        if n == before:
+            break
+    joined = scores.join(closure, "node")
     value = (F.sum(F.col("value") * F.col("n")) / F.sum("n")) if weighted else F.avg("value")
     return joined.groupBy("group", "metric").agg(value.alias("value"), pooled_stderr(F.col("stderr"), F.col("n")).alias("stderr"), F.sum("n").alias("n"))
 

@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, value: str, buckets: int) -> Column:
+    """A bucket that grows with ``value``, for running totals: about equally many
+    rows in each, whatever the values, by approximate quantiles over all rows."""
+    found = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    edges = sorted(set(found))
+    if not edges:
+        return F.lit(0)
+    # binary search by a tree of comparisons, as deep as the logarithm of the buckets
+    def side(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) <= F.lit(edges[mid]), side(lo, mid)).otherwise(side(mid + 1, hi))
+
+    return side(0, len(edges))
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows of the same keys
     that come before the row or are it, ordered by (bucket, *order).

@@ -34,3 +34,8 @@ def half_up(c: Column, places: int = 6) -> Column:
     """Rounded as SQL rounds a double: scaled, halves away from zero, scaled back."""
     scale = float(10**places)
     return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
+def sql_draw(seed: int, part: str, *of: str) -> str:
+    """SQL of ``sampling.draw``."""
+    return f"('0x' || substr(md5('{seed}:{part}:' || " + " || ':' || ".join(of) + "), 1, 8))::BIGINT"

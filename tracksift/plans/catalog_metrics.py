@@ -11,7 +11,7 @@ from tracksift.operators import sampling as P
 from tracksift.operators import state as K
 from tracksift.operators import stats as Z
 from tracksift.operators import windows as W
-from tracksift.plans.catalog import half_up, query, sql_mean
+from tracksift.plans.catalog import half_up, query, sql_draw, sql_mean
 from tracksift.plans.catalog_sequences import EV, events
 from tracksift.sources.tables import log_rows, table
 
@@ -35,8 +35,8 @@ def metric_exact_match(spark, sf_dir):
         "rec_no", M.exact_match(F.col("patient"), gold).alias("exact"), M.exact_match(F.col("patient"), gold, ["[^A-Za-z0-9 ]", " "], case=False, punctuation=False).alias("loose"))
 
 
-@query("""
-    WITH s AS (SELECT rec_no, list_max(list_transform(['feeding', 'deodorant', 'toothbrush'], lambda g: 1 - levenshtein(lower(trim(activity)), g) / CAST(greatest(length(activity), length(g), 1) AS DOUBLE))) AS s FROM fp_metadata)
+@query(r"""
+    WITH s AS (SELECT rec_no, list_max(list_transform(['feeding', 'deodorant', 'toothbrush'], lambda g: 1 - levenshtein(lower(trim(regexp_replace(activity, '\s+', ' ', 'g'))), g) / CAST(greatest(length(activity), length(g), 1) AS DOUBLE))) AS s FROM fp_metadata)
     SELECT rec_no, round(CASE WHEN s < 0.5 THEN 0 ELSE s END, 6) AS anls FROM s
 """)
 def metric_anls(spark, sf_dir):
@@ -168,7 +168,7 @@ def agg_group_rollup(spark, sf_dir):
     edges = table(spark, sf_dir, "supplier").select(name("n", "s_nationkey").alias("parent"), name("s", "s_suppkey").alias("node"))
     edges = edges.unionByName(table(spark, sf_dir, "nation").select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("node")))
     edges = edges.unionByName(table(spark, sf_dir, "region").select(F.lit("all").alias("parent"), name("r", "r_regionkey").alias("node")))
-    out = M.rollup_groups(scores, edges, depth=3)
+    out = M.rollup_groups(scores, edges)
     return out.select("group", "metric", r6(F.col("value"), "value"), r6(F.col("stderr"), "stderr"), "n")
 
 
@@ -328,15 +328,18 @@ def split_balanced(spark, sf_dir):
     return P.balanced_split(table(spark, sf_dir, "orders"), "o_orderkey", 7).select("o_orderkey", "part")
 
 
-@query("""
-    WITH s AS (SELECT p_partkey AS shot, sha256('5:' || p_partkey) AS h FROM part ORDER BY h LIMIT 4)
-    SELECT s_suppkey, CAST(r - 1 AS INTEGER) AS shot_no, shot AS p_partkey FROM (SELECT s_suppkey, shot, row_number() OVER (PARTITION BY s_suppkey ORDER BY h) AS r FROM supplier, s WHERE shot <> s_suppkey) WHERE r <= 3
+@query(f"""
+    WITH p AS (SELECT p_partkey AS shot, row_number() OVER (ORDER BY p_partkey) AS spot, count(*) OVER () AS n FROM part),
+    d AS (SELECT s_suppkey, j, floor(j * n / 4.0)::BIGINT AS low, floor((j + 1) * n / 4.0)::BIGINT AS high FROM supplier, range(4) t(j), (SELECT max(n) AS n FROM p)),
+    a AS (SELECT s_suppkey, j, 1 + low + {sql_draw(5, "at", "s_suppkey", "j")} % (high - low) AS spot FROM d),
+    r AS (SELECT s_suppkey, shot, row_number() OVER (PARTITION BY s_suppkey ORDER BY {sql_draw(5, "order", "s_suppkey", "j")}, j) AS r FROM a JOIN p USING (spot) WHERE shot <> s_suppkey)
+    SELECT s_suppkey, CAST(r - 1 AS INTEGER) AS shot_no, shot AS p_partkey FROM r WHERE r <= 3
 """)
 def fewshot_sample(spark, sf_dir):
     return P.fewshot(table(spark, sf_dir, "supplier"), "s_suppkey", table(spark, sf_dir, "part"), "p_partkey", 3, 5)
 
 
-@query("SELECT model_name, list_aggregate(list_transform(regexp_extract_all(model_name, '([0-9]+|[^0-9]+)', 1), lambda p: CASE WHEN p SIMILAR TO '[0-9].*' THEN lpad(p, 12, '0') ELSE lower(p) END), 'string_agg', '') AS sort_key FROM (SELECT DISTINCT model_name FROM run_log WHERE model_name IS NOT NULL)")
+@query("SELECT model_name, list_aggregate(list_transform(regexp_extract_all(model_name, '([0-9]+|[^0-9]+)', 1), lambda p: CASE WHEN p SIMILAR TO '[0-9].*' THEN lpad(length(regexp_replace(p, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(p, '^0+([0-9])', '\\1') ELSE lower(p) END), 'string_agg', '') AS sort_key FROM (SELECT DISTINCT model_name FROM run_log WHERE model_name IS NOT NULL)")
 def sort_natural(spark, sf_dir):
     return table(spark, sf_dir, "run_log").select("model_name").where("model_name IS NOT NULL").distinct().select("model_name", P.natural_key(F.col("model_name")).alias("sort_key"))
 

@@ -13,7 +13,7 @@ from tracksift.operators import sampling as P
 from tracksift.operators import sequences as S
 from tracksift.operators import state as K
 from tracksift.operators import windows as W
-from tracksift.plans.catalog import query
+from tracksift.plans.catalog import query, sql_draw
 from tracksift.plans.catalog_sequences import EV, events
 from tracksift.session import shared_dir
 from tracksift.session import materialize
@@ -83,10 +83,12 @@ def explode_responses(spark, sf_dir):
     return segs.groupBy("sample_no").agg(F.count("*").alias("n_segments"), F.round(F.sum(at(3) - at(2)), 4).alias("seconds"))
 
 
-@query("""
-    WITH s AS (SELECT qid, question_type, sampling, sha256('3:' || qid) AS h FROM fm_item_questions ORDER BY h LIMIT 3),
-    x AS (SELECT q.qid, q.fm_video, s.h, s.question_type || ' -> ' || s.sampling AS shot, row_number() OVER (PARTITION BY q.qid ORDER BY s.h) AS r FROM fm_item_questions q, s WHERE s.qid <> q.qid)
-    SELECT qid, 'Answer.' || chr(10) || string_agg(shot, chr(10) ORDER BY r) || chr(10) || any_value(fm_video) AS prompt FROM x WHERE r <= 2 GROUP BY qid
+@query(f"""
+    WITH p AS (SELECT qid AS shot, question_type || ' -> ' || sampling AS text, row_number() OVER (ORDER BY qid) AS spot, count(*) OVER () AS n FROM fm_item_questions),
+    d AS (SELECT qid, fm_video, j, floor(j * n / 3.0)::BIGINT AS low, floor((j + 1) * n / 3.0)::BIGINT AS high FROM fm_item_questions, range(3) t(j), (SELECT max(n) AS n FROM p)),
+    a AS (SELECT qid, fm_video, j, 1 + low + {sql_draw(3, "at", "qid", "j")} % (high - low) AS spot FROM d),
+    x AS (SELECT qid, fm_video, text, row_number() OVER (PARTITION BY qid ORDER BY {sql_draw(3, "order", "qid", "j")}, j) AS r FROM a JOIN p USING (spot) WHERE shot <> qid)
+    SELECT qid, 'Answer.' || chr(10) || string_agg(text, chr(10) ORDER BY r) || chr(10) || any_value(fm_video) AS prompt FROM x WHERE r <= 2 GROUP BY qid
 """)
 def fewshot_prompt(spark, sf_dir):
     """Description, two examples that aren't the question itself, the question."""

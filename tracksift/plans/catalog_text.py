@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracksift.functions import text as X
 from tracksift.functions.times import ntz_ms
 from tracksift.operators import responses as R
-from tracksift.operators.metrics import tree_hash
+from tracksift.operators.metrics import sequence_hash
 from tracksift.plans.catalog import query
 from tracksift.sources.tables import log_rows, table
 
@@ -63,8 +63,8 @@ def answer_tokens_scan(spark, sf_dir):
     q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(o, '(^|[^0-9])\.+', '\1', 'g'), '\.+([^0-9.]|$)', '\1', 'g'), '^\.', '') AS o FROM p)
     SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(trim(o), ' +'), lambda w: w NOT IN ('a', 'an', 'the', '')),
       lambda w: CASE w WHEN 'none' THEN '0' WHEN 'zero' THEN '0' WHEN 'one' THEN '1' WHEN 'two' THEN '2' WHEN 'three' THEN '3' WHEN 'four' THEN '4' WHEN 'five' THEN '5'
-        WHEN 'six' THEN '6' WHEN 'seven' THEN '7' WHEN 'eight' THEN '8' WHEN 'nine' THEN '9' WHEN 'ten' THEN '10' ELSE w END), ' ') AS answer FROM q
-""")
+        WHEN 'six' THEN '6' WHEN 'seven' THEN '7' WHEN 'eight' THEN '8' WHEN 'nine' THEN '9' WHEN 'ten' THEN '10' {_CONTRACTED} ELSE w END), ' ') AS answer FROM q
+""".replace("{_CONTRACTED}", " ".join("WHEN '" + k.replace("'", "''") + "' THEN '" + v.replace("'", "''") + "'" for k, v in X.contraction_table().items())))
 def vqa_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.answer_tokens(F.col("text")).alias("answer"))
 
@@ -116,14 +116,13 @@ def hash_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("doc_hash"), F.octet_length(t).cast("bigint").alias("n_bytes"), (F.regexp_replace(t, "[0-9]", "") == t).alias("no_digits"))
 
 
-@query(rf"""
-    WITH p AS (SELECT task, doc_hash[1:2] AS b, sha256(string_agg(doc_hash, '' ORDER BY doc_hash)) AS p FROM {_ONE} WHERE doc_hash IS NOT NULL GROUP BY task, doc_hash[1:2])
-    SELECT task, sha256(string_agg(p, '' ORDER BY b)) AS task_hash FROM p GROUP BY task
+@query("""
+    SELECT task, sha256(coalesce(string_agg(doc_hash, '' ORDER BY doc_id, sample_no), '')) AS task_hash FROM (SELECT DISTINCT sample_no, task, doc_id, doc_hash FROM sample_log) GROUP BY task
 """)
 def hash_task(spark, sf_dir):
-    """A task's hash over its samples' hashes in order, as a tree."""
-    rows = log_rows(spark, sf_dir, "sample_log", "task", "doc_hash")
-    return tree_hash(rows, ["task"], "doc_hash").withColumnRenamed("hash", "task_hash")
+    """A task's hash over its samples' hashes in order."""
+    rows = log_rows(spark, sf_dir, "sample_log", "task", "doc_id", "doc_hash")
+    return sequence_hash(rows, ["task"], ["doc_id", "sample_no"], "doc_hash").withColumnRenamed("hash", "task_hash")
 
 
 # --- response filters -------------------------------------------------------

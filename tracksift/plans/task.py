@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracksift.operators.bootstrap import ROUNDS, bootstrap
 from tracksift.operators.corpus_scores import COUNTS, counted_pairs, scores_of_counts
-from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, stderr, tree_hash
+from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, sequence_hash, stderr
 from tracksift.operators.responses import apply_pipelines
 from tracksift.session import materialize
 from tracksift.sources.logs import template
@@ -115,10 +115,19 @@ def requests(task: Task, spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("prompt", 256).alias("prompt_hash"), F.sha2("target", 256).alias("target_hash"))
 
 
-def cached_responses(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests with ``resps`` from the cache, requests still to answer), by prompt hash."""
-    have = asked.join(cache.select("prompt_hash", "resps").dropDuplicates(["prompt_hash"]), "prompt_hash")
-    return have, asked.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
+def cached_responses(asked: DataFrame, cache: DataFrame, sampled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(requests with ``resps`` from the cache, requests still to answer).
+
+    A response is known by its prompt's hash and the repeat it answers, where the
+    cache has ``repeat``; else it answers the first only. Responses that are
+    sampled (``sampled``) are never taken from the cache.
+    """
+    if sampled:
+        return asked.withColumn("resps", F.lit(None).cast("array<string>")).where("false"), asked
+    known = cache if "repeat" in cache.columns else cache.withColumn("repeat", F.lit(0))
+    keys = ["prompt_hash", "repeat"]
+    have = asked.join(known.select(*keys, "resps").dropDuplicates(keys), keys)
+    return have, asked.join(known.select(*keys), keys, "left_anti")
 
 
 def samples(task: Task, answered: DataFrame) -> DataFrame:
@@ -195,8 +204,9 @@ def evaluate(names: list[str], spark: SparkSession, sf_dir: str, source: str, ro
 
 
 def task_hash(asked: DataFrame) -> DataFrame:
-    """(task, hash) over the samples' hashes in order, as a tree."""
-    return tree_hash(asked.withColumn("_h", F.sha2(F.concat("doc_hash", "prompt_hash", "target_hash"), 256)), ["task"], "_h")
+    """(task, hash) over the samples' hashes in the order of documents and repeats."""
+    hashed = asked.withColumn("_h", F.sha2(F.concat("doc_hash", "prompt_hash", "target_hash"), 256))
+    return sequence_hash(hashed, ["task"], ["doc_id", "repeat"], "_h")
 
 
 def hierarchy(root: str, depth: int = 0) -> list[tuple[int, str]]:
