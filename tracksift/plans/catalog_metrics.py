@@ -393,11 +393,29 @@ def state_fold(spark, sf_dir):
     return rows.select("user_id", "event_id", "motion")
 
 
-@query()
+def _fill_sql(n: int, src: str, element: str) -> str:
+    """CTEs that fill windows of four frames one after the other."""
+    return f"""
+    h{n} AS (SELECT user_id, p // 4 AS w, arg_min(label, p) = '{element}' AS has, count(*) AS size, lead(arg_min(label, p) = '{element}') OVER (PARTITION BY user_id ORDER BY p // 4) AS nxt FROM {src} GROUP BY user_id, p // 4),
+    r{n} AS (SELECT user_id, w, has AS now, false AS filled FROM h{n} WHERE w = 0
+      UNION ALL SELECT h.user_id, h.w, h.has OR (r.now AND (coalesce(h.nxt, false) OR h.size < 4)), r.now AND (coalesce(h.nxt, false) OR h.size < 4) FROM r{n} r JOIN h{n} h ON h.user_id = r.user_id AND h.w = r.w + 1),
+    f{n} AS (SELECT x.user_id, event_id, p, CASE WHEN filled THEN '{element}' ELSE label END AS label FROM {src} x JOIN r{n} r ON r.user_id = x.user_id AND r.w = x.p // 4)"""
+
+
+@query(f"""
+    WITH RECURSIVE f0 AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS p, CASE WHEN event_type IN ('click', 'view') THEN 'idle' WHEN event_type = 'error' THEN 'reach' ELSE 'transport' END AS label FROM {EV}),
+    {_fill_sql(1, "f0", "transport")}, {_fill_sql(2, "f1", "idle")},
+    b AS (SELECT *, lag(label) OVER (PARTITION BY user_id ORDER BY p) AS bef FROM f2),
+    c AS (SELECT user_id, p, CASE label WHEN 'transport' THEN 'reach' ELSE 'reposition' END AS put, row_number() OVER (PARTITION BY user_id ORDER BY p) AS i FROM b WHERE (bef = 'idle' AND label = 'transport') OR (bef = 'transport' AND label = 'idle')),
+    k AS (SELECT user_id, i, p, put, p AS prev, true AS kept FROM c WHERE i = 1
+      UNION ALL SELECT c.user_id, c.i, c.p, c.put, CASE WHEN c.p > k.prev + 2 THEN c.p ELSE k.prev END, c.p > k.prev + 2 FROM k JOIN c ON c.user_id = k.user_id AND c.i = k.i + 1),
+    z AS (SELECT f2.user_id, f2.event_id, arg_max(k.put, k.p) AS put FROM f2 JOIN k ON k.kept AND k.user_id = f2.user_id AND f2.p >= k.p - 2 AND f2.p < k.p + 2 GROUP BY f2.user_id, f2.event_id)
+    SELECT f2.user_id, f2.event_id, coalesce(put, label) AS label FROM f2 LEFT JOIN z USING (user_id, event_id)
+""")
 def win_smooth(spark, sf_dir):
     e = F.col("event_type")
     label = F.when(e.isin("click", "view"), "idle").when(e == "error", "reach").otherwise("transport")
-    return K.smooth(events(spark, sf_dir).withColumn("label", label), "user_id", ["t", "event_id"], "label", ["transport", "idle"], 4)
+    return K.smooth(events(spark, sf_dir).withColumn("label", label), "user_id", ["t", "event_id"], "label", ["transport", "idle"], 4).select("user_id", "event_id", "label")
 
 
 @query()

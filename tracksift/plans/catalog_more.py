@@ -297,14 +297,3 @@ def majority_baseline(spark, sf_dir):
     counts = table(spark, sf_dir, "fp_metadata").where("activity IS NOT NULL").groupBy(F.col("activity").alias("gt")).agg(F.count("*").alias("n"))
     whole = Window.partitionBy()
     return counts.select("gt", "n", F.round(F.col("n") / F.sum("n").over(whole), 6).alias("share"), (F.col("n") == F.max("n").over(whole)).alias("majority"))
-
-
-@query(f"""
-    WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM {EV})
-    SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY user_id
-""")
-def hand_pass(spark, sf_dir):
-    """The smoothing passes keep every frame: counted after them."""
-    e = F.col("event_type")
-    rows = K.smooth(events(spark, sf_dir).withColumn("label", F.when(e == "click", "idle").otherwise("transport")), "user_id", ["t", "event_id"], "label", ["idle"], 4)
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"))

@@ -97,6 +97,32 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p3_found, p3_scores, p3_steps, p6_found, p6_unified)}
 
 ORACLES = {
+    "p3_scores": r"""
+    WITH d AS (SELECT DISTINCT ON (run_no) run_no, TRY_CAST(results AS JSON) AS j FROM run_log),
+    t AS (SELECT run_no, unnest(json_keys(j)) AS task, j FROM d WHERE json_type(j) = 'OBJECT'),
+    u AS (SELECT run_no, task, json_extract(j, '$."' || replace(task, '"', '\"') || '"') AS x FROM t),
+    v AS (SELECT run_no, task, CASE WHEN json_type(x) = 'VARCHAR' AND trim(x->>'$') LIKE '{%' THEN coalesce(TRY_CAST(x->>'$' AS JSON), x) ELSE x END AS x FROM u),
+    f AS (SELECT run_no, task, unnest(json_keys(x)) AS field, x FROM v WHERE json_type(x) = 'OBJECT'),
+    g AS (SELECT run_no, task, field, json_extract(x, '$."' || replace(field, '"', '\"') || '"') AS y FROM f)
+    SELECT run_no, task, field, CASE json_type(y) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS value_type,
+      CASE WHEN json_type(y) NOT IN ('ARRAY', 'OBJECT', 'NULL', 'BOOLEAN') THEN TRY_CAST(y->>'$' AS DOUBLE) END AS number FROM g
+    """,
+    "p2_found": r"""
+    WITH d AS (SELECT DISTINCT ON (sample_no) sample_no, task, qids, filtered_resps FROM sample_log),
+    f AS (
+      SELECT sample_no, 'qids' AS field_name, 0 AS e, qids AS t FROM d WHERE qids IS NOT NULL
+      UNION ALL SELECT sample_no, 'filtered_resps', generate_subscripts(filtered_resps, 1), unnest(filtered_resps) FROM d WHERE task LIKE 'strokerehab_primitives%'),
+    b AS (SELECT sample_no, field_name, e, regexp_replace(trim(t, ' ' || chr(10) || chr(9) || chr(13)), '(?s)^[\[({](.*)[\])}]$', '\1') AS t FROM f),
+    s AS (SELECT sample_no, field_name, e, regexp_extract_all(t, CASE WHEN field_name = 'qids'
+       THEN '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|<SEP>|[^\s,;|/"''&<]+'
+       ELSE '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|<SEP>|(?:[^,;|/\t\n<"'']|<[^S])+' END) AS l FROM b),
+    v AS (SELECT sample_no, field_name, e, generate_subscripts(l, 1) AS i, trim(unnest(l)) AS x FROM s),
+    u AS (SELECT sample_no, field_name, e, i, trim(CASE WHEN x LIKE '"%"' AND length(x) > 1 THEN replace(x[2:-2], '""', '"') WHEN x LIKE '''%''' AND length(x) > 1 THEN replace(x[2:-2], '''''', '''') ELSE x END) AS x FROM v WHERE x <> '<SEP>'),
+    k AS (SELECT sample_no, field_name, e, i, CASE WHEN field_name = 'qids' THEN ltrim(regexp_replace(x, '[^0-9]', '', 'g'), '0') ELSE x END AS x, x AS raw FROM u),
+    g AS (SELECT sample_no, field_name, e, i, CASE WHEN field_name = 'qids' AND x = '' AND regexp_matches(raw, '[0-9]') THEN '0' ELSE x END AS x FROM k)
+    SELECT sample_no, field_name, CAST(row_number() OVER (PARTITION BY sample_no, field_name ORDER BY e, i) - 1 AS BIGINT) AS pos, x AS item_value
+    FROM g WHERE x <> '' AND (field_name = 'qids' OR contains(x, '@'))
+    """,
     "p1_found": r"""
     WITH spans AS (
       SELECT sample_no, unnest(regexp_extract_all(array_to_string(filtered_resps, chr(10)),
