@@ -89,6 +89,29 @@ def matthews(gold: Column, pred: Column) -> Column:
     return F.coalesce(F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))), F.lit(0.0))
 
 
+def matthews_multiclass(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, mcc) of any number of classes from a confusion table (keys, gold, pred, n); 0 where undefined."""
+    keys = keys or []
+    sides = cells.select(*keys, F.inline(F.array(
+        F.struct(F.col("gold").alias("label"), F.col("n").alias("g"), F.lit(0).cast("bigint").alias("p"), F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("pred").alias("label"), F.lit(0).cast("bigint").alias("g"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("hit")))))
+    per = sides.groupBy(*keys, "label").agg(*[F.sum(c).cast("double").alias(c) for c in ("g", "p", "hit")])
+    s, c = F.sum("g"), F.sum("hit")
+    both, gg, pp = F.sum(F.col("g") * F.col("p")), F.sum(F.col("g") * F.col("g")), F.sum(F.col("p") * F.col("p"))
+    return per.groupBy(*keys).agg(F.coalesce(F.try_divide(c * s - both, F.sqrt((s * s - pp) * (s * s - gg))), F.lit(0.0)).alias("mcc"))
+
+
+@register_aggregation("acc_all")
+def acc_all(v: Column) -> Column:
+    """The mean of whether all of a question's answers are right, given one value per question."""
+    return mean(v)
+
+
+def stddev(v: Column, population: bool = False) -> Column:
+    """Standard deviation over the rows with a value, of a sample or of the whole."""
+    return F.stddev_pop(v) if population else F.stddev_samp(v)
+
+
 @register_aggregation("stderr")
 def stderr(v: Column) -> Column:
     """Standard error of the mean over the rows with a value."""
@@ -221,6 +244,11 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(F.try_divide(w * h, area(a) + area(b) - w * h), F.lit(0.0))
 
 
+def turned_box(b: list[Column]) -> list[Column]:
+    """A box whose corners may be given in either order, as (left, top, right, bottom)."""
+    return [F.least(b[0], b[2]), F.least(b[1], b[3]), F.greatest(b[0], b[2]), F.greatest(b[1], b[3])]
+
+
 # --- tables ----------------------------------------------------------------
 
 
@@ -241,6 +269,15 @@ def report(cells: DataFrame) -> DataFrame:
                        zero(F.try_divide(2.0 * F.col("_tp"), F.col("_p") + F.col("support"))).alias("f1"), "support")
 
 
+def report_averages(rows: DataFrame) -> DataFrame:
+    """The rows of ``report`` with their plain mean (``macro avg``) and the one by support (``weighted avg``)."""
+    cols = ("precision", "recall", "f1")
+    n = F.sum("support")
+    macro = rows.agg(*[F.avg(c).alias(c) for c in cols], n.alias("support")).select(F.lit("macro avg").alias("label"), *cols, "support")
+    weighted = rows.agg(*[F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), n), F.lit(0.0)).alias(c) for c in cols], n.alias("support")).select(F.lit("weighted avg").alias("label"), *cols, "support")
+    return rows.unionByName(macro).unionByName(weighted)
+
+
 def rollup_groups(scores: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:
     """(group, metric, value, stderr, n): scores (node, metric, value, stderr, n) of
     leaves rolled up over a tree of (parent, node) edges, by closure: a leaf

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracksift.functions.arrow import map_partition
 from tracksift.session import materialize
@@ -179,19 +179,72 @@ class Tracker:
         return ids
 
 
+def _frames(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(key, frame, rows of the frame) of rows sorted by key and frame."""
+    at, held = None, []
+    for r in rows:
+        if r[:2] != at:
+            if held:
+                yield *at, held
+            at, held = r[:2], []
+        held.append(r)
+    if held:
+        yield *at, held
+
+
 def track_boxes(df: DataFrame, key: str, least: float = 0.3, max_age: int = 30) -> DataFrame:
     """(key, frame, box, track): ``df`` has frame, box, x1, y1, x2, y2, boxes in order
-    of ``box`` within a frame; frames without boxes age the tracks by their number."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, frame bigint, box bigint, track bigint"
+    of ``box`` within a frame; frames without boxes age the tracks by their number.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows, last = Tracker(least, max_age), [], None
-        for frame, part in pdf.sort_values(["frame", "box"]).groupby("frame", sort=True):
-            for _ in range(min(int(frame) - last - 1, max_age + 1) if last is not None else 0):
+    Videos stream through their tasks frame by frame; what is held is one frame
+    and the open tracks.
+    """
+    schema = T.StructType([df.schema[key]] + [T.StructField(c, T.LongType()) for c in ("frame", "box", "track")])
+    parted = df.select(key, F.col("frame").cast("bigint"), F.col("box").cast("bigint"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
+    parted = parted.repartition(key).sortWithinPartitions(key, "frame", "box")
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        who, tracker, last = None, Tracker(least, max_age), None
+        for k, frame, boxes in _frames(rows):
+            if last is None or k != who:
+                who, tracker, last = k, Tracker(least, max_age), frame - 1
+            for _ in range(min(frame - last - 1, max_age + 1)):
                 tracker.frame([])
-            ids = tracker.frame(list(part[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-            rows += list(zip(part[key], [frame] * len(ids), part["box"], ids))
-            last = int(frame)
-        return pd.DataFrame(rows, columns=[key, "frame", "box", "track"])
+            for r, track in zip(boxes, tracker.frame([r[3:] for r in boxes])):
+                yield k, frame, r[2], track
+            last = frame
+
+    return map_partition(parted, run, schema)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+
+def bind_slots(df: DataFrame, key: str, anchors: list[tuple], least: float = 0.3) -> DataFrame:
+    """(key, frame, slot, box): which box of a frame fills each of a few slots.
+
+    A slot with an anchor (x1, y1, x2, y2; None: without) takes the free box that
+    overlaps it most, if by ``least``; the slots still empty then take, in order,
+    the free box that overlaps most what they held last. A slot that finds none
+    keeps what it held last and has no row for that frame.
+    """
+    schema = T.StructType([df.schema[key]] + [T.StructField(c, T.LongType()) for c in ("frame", "slot", "box")])
+    parted = df.select(key, F.col("frame").cast("bigint"), F.col("box").cast("bigint"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
+    parted = parted.repartition(key).sortWithinPartitions(key, "frame", "box")
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        who, held = None, {}
+        for k, frame, boxes in _frames(rows):
+            if k != who:
+                who, held = k, {}
+            free, filled = {r[2]: r[3:] for r in boxes}, {}
+            for wanted in (dict(enumerate(anchors)), held):
+                for slot in range(len(anchors)):
+                    at = wanted.get(slot)
+                    if slot in filled or at is None or not free:
+                        continue
+                    box = max(free, key=lambda b: (box_iou(at, free[b]), -b))
+                    if box_iou(at, free[box]) >= least:
+                        filled[slot] = (box, free.pop(box))
+            for slot, (box, place) in sorted(filled.items()):
+                held[slot] = place
+                yield k, frame, slot, box
+
+    return map_partition(parted, run, schema)

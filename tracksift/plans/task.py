@@ -9,8 +9,11 @@ of Catalyst's. Names are looked up in registries, which plug-ins may fill.
 
 from __future__ import annotations
 
+import inspect
+import json
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from fnmatch import fnmatchcase
 from functools import reduce
 from typing import Any
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 
 from tracksift.operators.bootstrap import ROUNDS, bootstrap
 from tracksift.operators.corpus_scores import COUNTS, counted_pairs, scores_of_counts
-from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, sequence_hash, stderr
+from tracksift.operators.metrics import AGGREGATIONS, STANDARD_ERRORS, anls, exact_match, sequence_hash, stderr
 from tracksift.operators.responses import apply_pipelines
+from tracksift.operators.scoring import DEFAULT_METRICS
 from tracksift.session import materialize
 from tracksift.sources.logs import template
+from tracksift.sources.tables import table
 
 #: Aggregations over (gold, pred) of all samples: of truths, and of texts.
 OF_TRUTHS, OF_TEXTS = ("f1", "matthews"), ("bleu", "chrf", "ter")
@@ -34,6 +39,10 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {}
 RESPONSE_SOURCES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 TASKS: dict[str, "Task"] = {}
 GROUPS: dict[str, list[str]] = {}
+#: tag -> tasks that bear it
+TAGS: dict[str, list[str]] = {}
+#: functions that declarations may name as ``!function name``
+FUNCTIONS: dict[str, Callable] = {}
 
 
 def register(registry: dict, name: str):
@@ -49,8 +58,20 @@ def register(registry: dict, name: str):
 
 
 @register(METRICS, "exact_match")
-def _exact(pred: Column, target: Column) -> Column:
-    return (pred == target).cast("double")
+def _exact(pred: Column, target: Column, ignore_case: bool = False, ignore_punctuation: bool = False, regexes_to_ignore: list[str] | None = None) -> Column:
+    return exact_match(pred, target, regexes_to_ignore, case=not ignore_case, punctuation=not ignore_punctuation)
+
+
+@register(METRICS, "anls")
+def _anls(pred: Column, target: Column, threshold: float = 0.5) -> Column:
+    return anls(pred, F.array(target), threshold)
+
+
+@register(METRICS, "identification")
+def _identification(pred: Column, target: Column) -> Column:
+    """Whether the named label is the target, both without case, blanks and punctuation."""
+    plain = lambda x: F.regexp_replace(F.lower(x), r"[^a-z0-9]", "")
+    return (plain(pred) == plain(target)).cast("double")
 
 
 @register(METRICS, "contains")
@@ -67,19 +88,93 @@ def _pair(pred: Column, target: Column) -> Column:
 
 @dataclass(frozen=True)
 class Task:
-    """``prompt`` and ``target`` are templates; ``load`` gives documents with doc_id;
-    ``metrics`` are (metric, aggregation); ``include`` another task's name whose
-    values hold where this one has the default."""
+    """``prompt`` and ``target`` are templates, or functions of a Column expression's
+    maker; ``load`` gives documents with doc_id; ``metrics`` are (metric,
+    aggregation); ``args`` gives a metric keywords for its score and aggregation,
+    each taking those it knows."""
 
     name: str
     load: Callable[[SparkSession, str], DataFrame]
-    prompt: str
-    target: str
+    prompt: str | Callable[[], Column]
+    target: str | Callable[[], Column]
     pipelines: dict[str, list[tuple[str, dict]]] = field(default_factory=lambda: {"none": [("take_first", {})]})
     metrics: tuple[tuple[str, str], ...] = (("exact_match", "mean"),)
     process: Callable[[DataFrame], DataFrame] | None = None
     repeats: int = 1
     description: str = ""
+    args: dict[str, dict[str, Any]] = field(default_factory=dict)
+    output_type: str = "generate_until"
+
+
+def _function(x: Any) -> Any:
+    """What a declaration means by a value: a registered function, or the value."""
+    m = re.fullmatch(r"!function\s+([\w.]+)", x.strip()) if isinstance(x, str) else None
+    if m and m[1] not in FUNCTIONS:
+        raise ValueError(f"no function {m[1]} is registered")
+    return FUNCTIONS[m[1]] if m else x
+
+
+def _known(f: Callable, args: dict[str, Any]) -> dict[str, Any]:
+    """Those keywords that a function takes."""
+    names = inspect.signature(f).parameters
+    return {k: v for k, v in args.items() if k in names}
+
+
+def declare(config: dict[str, Any]) -> Task:
+    """Registers the task of a declaration, as a dictionary or a parsed file holds it.
+
+    ``task`` names it, ``include`` another task whose values hold where none is
+    given, ``dataset`` a table's name or a function (spark, folder) -> documents,
+    ``doc_to_text`` and ``doc_to_target`` templates or functions, ``process_docs``
+    a function, ``tag`` one tag or several, ``metric_list`` metrics with their
+    aggregation and keywords (those of ``output_type`` if there is none),
+    ``filter_list`` named pipelines. ``group`` with ``task`` a list registers a
+    group instead.
+    """
+    if "group" in config and isinstance(config.get("task"), list):
+        members = [declare(x).name if isinstance(x, dict) else x for x in config["task"]]
+        register(GROUPS, config["group"])(members)
+        return TASKS[resolve([config["group"]])[0]]
+    base = TASKS[config["include"]] if "include" in config else None
+    values: dict[str, Any] = {f.name: getattr(base, f.name) for f in fields(Task)} if base else {}
+    values["name"] = config["task"]
+    if "dataset" in config:
+        source = _function(config["dataset"])
+        values["load"] = source if callable(source) else lambda spark, folder: table(spark, folder, source)
+    names = {"doc_to_text": "prompt", "doc_to_target": "target", "process_docs": "process", "repeats": "repeats", "description": "description", "output_type": "output_type"}
+    values |= {ours: _function(config[theirs]) for theirs, ours in names.items() if theirs in config}
+    if "filter_list" in config:
+        values["pipelines"] = {p["name"]: [(x["function"], {k: v for k, v in x.items() if k != "function"}) for x in p["filter"]] for p in config["filter_list"]}
+    kind = values.get("output_type", "generate_until")
+    if "metric_list" in config or (not base and kind in DEFAULT_METRICS):
+        listed = config.get("metric_list") or [{"metric": m} for m in DEFAULT_METRICS[kind]]
+        values["metrics"] = tuple((m["metric"], m.get("aggregation", "mean")) for m in listed)
+        values["args"] = {m["metric"]: {k: _function(v) for k, v in m.items() if k not in ("metric", "aggregation", "higher_is_better")} for m in listed}
+    task = register(TASKS, config["task"])(Task(**values))
+    tags = config.get("tag", [])
+    for tag in [tags] if isinstance(tags, str) else tags:
+        TAGS.setdefault(tag, []).append(task.name)
+    return task
+
+
+def read_declarations(path: str) -> list[Task]:
+    """Registers the tasks of a YAML or JSON file of one declaration or a list of them."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        found = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML files need a YAML reader; JSON files don't") from e
+
+        class Loader(yaml.SafeLoader):
+            """Keeps ``!function name`` as the text it is."""
+
+        Loader.add_constructor("!function", lambda _, node: f"!function {node.value}")
+        found = yaml.load(text, Loader)  # noqa: S506 (a safe loader)
+    return [declare(x) for x in (found if isinstance(found, list) else [found])]
 
 
 def matching(patterns: list[str], names: list[str]) -> list[str]:
@@ -88,17 +183,18 @@ def matching(patterns: list[str], names: list[str]) -> list[str]:
 
 
 def resolve(patterns: list[str]) -> list[str]:
-    """Task names of wildcards over tasks and groups; groups may hold groups."""
+    """Task names of wildcards over tasks, groups and tags; groups may hold groups."""
     out: set[str] = set()
-    todo = matching(patterns, [*TASKS, *GROUPS])
+    names = lambda ps: matching(ps, [*TASKS, *GROUPS, *TAGS])
+    todo = names(patterns)
     seen: set[str] = set()
     while todo:
         name = todo.pop()
         if name in seen:
             continue
         seen.add(name)
-        if name in GROUPS:
-            todo += matching(GROUPS[name], [*TASKS, *GROUPS])
+        if name in GROUPS or name in TAGS:
+            todo += names(GROUPS.get(name, []) + TAGS.get(name, []))
         else:
             out.add(name)
     return sorted(out)
@@ -108,8 +204,9 @@ def requests(task: Task, spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and repeat: task, doc_id, repeat, prompt, target, hashes."""
     docs = task.load(spark, sf_dir)
     docs = task.process(docs) if task.process else docs
-    prompt = F.concat(F.lit(task.description), template(task.prompt))
-    rows = docs.select("doc_id", prompt.alias("prompt"), template(task.target).alias("target"), F.sha2(F.to_json(F.struct(*docs.columns)), 256).alias("doc_hash"))
+    text = lambda x: x() if callable(x) else template(x)
+    prompt = F.concat(F.lit(task.description), text(task.prompt))
+    rows = docs.select("doc_id", prompt.alias("prompt"), text(task.target).alias("target"), F.sha2(F.to_json(F.struct(*docs.columns)), 256).alias("doc_hash"))
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(task.repeats - 1)))) if task.repeats > 1 else rows.withColumn("repeat", F.lit(0))
     return rows.select(F.lit(task.name).alias("task"), "doc_id", "repeat", "prompt", "target", "doc_hash",
                        F.sha2("prompt", 256).alias("prompt_hash"), F.sha2("target", 256).alias("target_hash"))
@@ -137,7 +234,7 @@ def samples(task: Task, answered: DataFrame) -> DataFrame:
     none = F.lit(None)
 
     def cell(p: str, m: str, a: str) -> Column:
-        x = METRICS[m](F.try_element_at(F.col("filtered")[p], F.lit(1)), F.col("target"))
+        x = METRICS[m](F.try_element_at(F.col("filtered")[p], F.lit(1)), F.col("target"), **_known(METRICS[m], task.args.get(m, {})))
         value, gold, pred = (none, x["gold"], x["pred"]) if a in OF_TRUTHS + OF_TEXTS else (x, none, none)
         return F.struct(F.lit(p).alias("filter"), F.lit(m).alias("metric"), value.cast("double").alias("value"),
                         gold.cast("string").alias("gold"), pred.cast("string").alias("pred"))
@@ -173,7 +270,7 @@ def results(task: Task, scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             out.append(_of_texts(rows, a, keys, rounds))
             continue
         cols = ["_gold", "_pred"] if a in OF_TRUTHS else ["value"]
-        value = F.when(here, AGGREGATIONS[a](*map(F.col, cols))).otherwise(value)
+        value = F.when(here, AGGREGATIONS[a](*map(F.col, cols), **_known(AGGREGATIONS[a], task.args.get(m, {})))).otherwise(value)
         if a in OF_TRUTHS:
             n = F.when(here, F.count("_gold")).otherwise(n)
         if STANDARD_ERRORS.get(a) == "closed":

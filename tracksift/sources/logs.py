@@ -129,6 +129,83 @@ def markdown_table(df: DataFrame, max_rows: int = 1000) -> str:
     return head + "".join("|" + "|".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|") for v in r) + "|\n" for r in rows)
 
 
+def results_document(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document): the results of a run as one JSON text, task -> ``metric,filter``
+    -> value, its error beside it as ``metric_stderr,filter`` (null if it has none), and
+    the number of samples per task. ``results`` has task, filter, metric, value, stderr,
+    n; what one run holds is as small as its tasks' metrics."""
+    key = lambda m: F.concat(m, F.lit(","), "filter")
+    entries = F.flatten(F.collect_list(F.array(F.struct(key(F.col("metric")).alias("k"), F.col("value").alias("v")), F.struct(key(F.concat("metric", F.lit("_stderr"))).alias("k"), F.col("stderr").alias("v")))))
+    tasks = results.groupBy(*keys, "task").agg(F.map_from_entries(F.array_sort(entries)).alias("v"), F.max("n").alias("n"))
+    by_task = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", c))))
+    # maps as values can't be sorted by, so tasks are ordered by name first
+    named = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("task", F.to_json("v", {"ignoreNullFields": "false"}).alias("j")))), lambda x: F.struct(x["task"], x["j"])))
+    texts = tasks.groupBy(*keys).agg(named.alias("r"), by_task("n").alias("n"))
+    body = F.array_join(F.transform(F.map_entries("r"), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), e["value"])), ",")
+    body = F.regexp_replace(body, r'\["((?:[^"\\]|\\.)*)"\]:\{', r'"$1":{')
+    return texts.select(*keys, F.concat(F.lit('{"results":{'), body, F.lit('},"n-samples":'), F.to_json("n"), F.lit("}")).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One text file line per document."""
+    documents.select(F.col("document").alias("value")).write.text(path)
+
+
+def stringified(df: DataFrame, column: str) -> Column:
+    """A nested column with every number and truth in it as text, lists and fields kept."""
+    def as_text(t: T.DataType) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(as_text(t.elementType))
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in t.fields])
+        if isinstance(t, T.MapType):
+            return T.MapType(T.StringType(), as_text(t.valueType))
+        return T.StringType()
+
+    return F.col(column).cast(as_text(df.schema[column].dataType))
+
+
+def sample_table(samples: DataFrame, output_type: str) -> DataFrame:
+    """Logged samples as a flat table: id, data, input_len, labels, output_type and
+    the raw and filtered prediction, by the kind of request.
+
+    ``samples`` has doc_id, target, arguments (array of [prompt, continuation]),
+    resps and filtered_resps: for ``generate_until`` and ``loglikelihood_rolling``
+    arrays of answers, for ``loglikelihood`` arrays of struct<ll, greedy>, for
+    ``multiple_choice`` arrays of log likelihoods, one per choice (and a column
+    ``choices``). Missing parts are NULL.
+    """
+    first = F.get(F.col("arguments"), 0)
+    said, kept = F.get("resps", 0), F.get("filtered_resps", 0)
+    data, label, extra = F.get(first, 0), F.col("target"), []
+    if output_type == "loglikelihood":
+        tell = lambda x: F.concat(F.lit("log probability of continuation is "), x["ll"].cast("string"), F.lit("\n\ncontinuation will "), F.when(x["greedy"], "").otherwise("not "), F.lit("be generated with greedy sampling"))
+        label, raw, filtered = F.get(first, 1), tell(said), tell(kept)
+    elif output_type == "multiple_choice":
+        best = lambda c: (F.array_position(c, F.array_max(c)) - 1).cast("string")
+        raw, filtered = best(F.col("resps")), best(F.col("filtered_resps"))
+        lines = F.transform(F.col("arguments"), lambda a, i: F.concat(i.cast("string"), F.lit(". "), F.get(a, 1)))
+        extra = [F.array_join(lines, "\n").alias("choices")]
+    elif output_type in ("generate_until", "loglikelihood_rolling"):
+        raw, filtered = said.cast("string"), kept.cast("string")
+    else:
+        raise ValueError(f"no table for {output_type}")
+    return samples.select(F.col("doc_id").alias("id"), data.alias("data"), *extra, F.length(data).alias("input_len"), label.alias("labels"),
+                          F.lit(output_type).alias("output_type"), raw.alias("raw_predictions"), filtered.alias("filtered_predictions"))
+
+
+def frame_key(shape: Column, kind: Column, data: Column, confidence: Column) -> Column:
+    """What a detection on a frame is kept under: a hash of its shape, type, bytes and threshold."""
+    head = F.concat_ws("|", shape.cast("string"), kind, confidence.cast("string"))
+    return F.sha2(F.concat(F.encode(head, "UTF-8"), F.lit(bytearray(b"|")), data), 256)
+
+
+def with_cached(df: DataFrame, key: str, cache: DataFrame, values: list[str]) -> DataFrame:
+    """``df`` with the cache's values and ``cached``; the cache has one row per key."""
+    known = cache.select(F.col(key).alias("_ck"), *values).dropDuplicates(["_ck"])
+    return df.join(known, F.col(key) == F.col("_ck"), "left").withColumn("cached", F.col("_ck").isNotNull()).drop("_ck")
+
+
 def latex_cells(df: DataFrame, group: list[str], value: str, error: str, higher_is_better: bool = True) -> DataFrame:
     """``df`` with ``cell``: value and error as text, the best of its group bold, the second underlined."""
     from pyspark.sql import Window
