@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracksift.operators import grouped as G
 from tracksift.operators import metrics as M
 from tracksift.operators.bootstrap import bootstrap
 from tracksift.operators import sampling as P
+from tracksift.operators import selection as C
 from tracksift.operators import state as K
 from tracksift.operators import stats as Z
 from tracksift.operators import windows as W
@@ -184,21 +186,19 @@ def agg_bootstrap_se(spark, sf_dir):
       arg_min(activity, rec_no) FILTER (WHERE activity IS NOT NULL) AS activity FROM fp_metadata GROUP BY id
 """)
 def agg_first_nonnull(spark, sf_dir):
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rec_no"))).alias(c)
-    return table(spark, sf_dir, "fp_metadata").groupBy("id").agg(first("patient"), first("stroke"), first("activity"))
+    return G.first_values(table(spark, sf_dir, "fp_metadata"), ["id"], "rec_no", ["patient", "stroke", "activity"])
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 3")
 def agg_nth(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r = 3").select("o_custkey", "o_orderkey")
+    return G.nth_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 2)
 
 
 @query("SELECT id, rec_no FROM (SELECT id, rec_no, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN subsampled_test_set THEN 0 ELSE 1 END, rec_no) AS r FROM fp_metadata) WHERE r = 1")
 def dedupe_keep_first(spark, sf_dir):
     """The preferred row per id: an aggregate of the least key, combined before the shuffle."""
-    key = F.struct(F.when(F.col("subsampled_test_set"), 0).otherwise(1).alias("p"), "rec_no")
-    return table(spark, sf_dir, "fp_metadata").groupBy("id").agg(F.min(key).alias("k")).select("id", "k.rec_no")
+    rows = table(spark, sf_dir, "fp_metadata").select("id", "rec_no", "subsampled_test_set")
+    return G.preferred_rows(rows, ["id"], [F.when(F.col("subsampled_test_set"), 0).otherwise(1), F.col("rec_no")]).select("id", "rec_no")
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY l_returnflag")
@@ -212,9 +212,8 @@ def agg_quantiles(spark, sf_dir):
     FROM fp_metadata, (SELECT unnest([10.0, 20.0, 40.0, 80.0])::DOUBLE AS grid) WHERE duration_s IS NOT NULL GROUP BY ALL
 """)
 def agg_cdf_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "fp_metadata").where("duration_s IS NOT NULL").withColumn("limit_s", F.explode(F.array(*[F.lit(x) for x in (10.0, 20.0, 40.0, 80.0)])))
-    hit = F.count_if(F.col("duration_s") <= F.col("limit_s"))
-    return rows.groupBy("activity", "limit_s").agg(hit.alias("n"), r6(100.0 * hit / F.count("*"), "pct"))
+    rows = G.cumulative_table(table(spark, sf_dir, "fp_metadata"), ["activity"], "duration_s", [10, 20, 40, 80])
+    return rows.select("activity", "limit_s", "n", r6(F.col("pct"), "pct"))
 
 
 @query(f"""
@@ -222,16 +221,13 @@ def agg_cdf_table(spark, sf_dir):
     FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())
 """)
 def agg_multi_stats(spark, sf_dir):
-    v = "o_totalprice"
-    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
-    return table(spark, sf_dir, "orders").groupingSets([[s], [p], []], s, p).agg(
-        F.count("*").alias("n"), r6(M.mean(F.col(v)), "mean"), r6(F.stddev_samp(v), "sd"), r6(F.stddev_samp(v) / F.sqrt(F.count("*")), "sem"))
+    rows = G.described(table(spark, sf_dir, "orders"), [["o_orderstatus"], ["o_orderpriority"], []], "o_totalprice")
+    return rows.select("o_orderstatus", "o_orderpriority", "n", *[r6(F.col(c), c) for c in ("mean", "sd", "sem")])
 
 
 @query("SELECT activity, arg_max(height, n * 100000 - height) AS mode_height, max(n) AS mode_n FROM (SELECT activity, height, count(*) AS n FROM fp_metadata WHERE height IS NOT NULL GROUP BY ALL) GROUP BY activity")
 def agg_mode(spark, sf_dir):
-    counts = table(spark, sf_dir, "fp_metadata").where("height IS NOT NULL").groupBy("activity", "height").agg(F.count("*").alias("n"))
-    return counts.groupBy("activity").agg(F.max_by("height", F.struct("n", -F.col("height"))).alias("mode_height"), F.max("n").alias("mode_n"))
+    return G.modes(table(spark, sf_dir, "fp_metadata"), ["activity"], "height").select("activity", F.col("mode").alias("mode_height"), "mode_n")
 
 
 _GRID = """
@@ -243,24 +239,21 @@ _GRID = """
 
 def _grid(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    # the grid of two small dimensions is the result's own size
-    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).crossJoin(F.broadcast(c.select(F.col("c_mktsegment").alias("seg")).distinct()))
     pred = c.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("seg")).agg((F.count("*") % 3).cast("int").alias("pred"))
-    return grid.join(pred, ["k", "seg"], "left").withColumn("gold", (F.col("k") + F.length("seg")) % 3)
+    rows = G.grid_filled(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), c.select(F.col("c_mktsegment").alias("seg")), pred, ["k", "seg"])
+    return rows.withColumn("gold", (F.col("k") + F.length("seg")) % 3)
 
 
 @query(f"WITH {_GRID} SELECT round(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS accuracy, count(pred) AS answered, count(*) AS cells FROM j")
 def agg_grid_accuracy(spark, sf_dir):
     """A missing prediction is no hit and counts in the denominator."""
-    hit = F.sum(F.when(F.col("pred") == F.col("gold"), 1).otherwise(0))
-    return _grid(spark, sf_dir).agg(r6(hit / F.count("*"), "accuracy"), F.count("pred").alias("answered"), F.count("*").alias("cells"))
+    out = _grid(spark, sf_dir).agg(*G.grid_accuracy(F.col("pred"), F.col("gold")))
+    return out.select(r6(F.col("accuracy"), "accuracy"), "answered", "cells")
 
 
 @query(f"WITH {_GRID} SELECT round(avg(apd), 6) AS apd, round(avg(mtsd), 6) AS mtsd FROM (SELECT k, sum(coalesce(abs(pred - gold), 2)) AS apd, abs(coalesce(sum(pred), 0) - sum(gold)) + 2 * count(*) FILTER (WHERE pred IS NULL) AS mtsd FROM j GROUP BY k)")
 def agg_apd_mtsd(spark, sf_dir):
-    p, g = F.col("pred"), F.col("gold")
-    per = _grid(spark, sf_dir).groupBy("k").agg(F.sum(F.coalesce(F.abs(p - g), F.lit(2))).alias("apd"), (F.abs(F.coalesce(F.sum(p), F.lit(0)) - F.sum(g)) + 2 * F.count_if(p.isNull())).alias("mtsd"))
-    return per.agg(r6(F.avg("apd"), "apd"), r6(F.avg("mtsd"), "mtsd"))
+    return G.subject_errors(_grid(spark, sf_dir), "k", "pred", "gold").select(r6(F.col("apd"), "apd"), r6(F.col("mtsd"), "mtsd"))
 
 
 @query(f"SELECT task, min(a) = 1 AS all_right, round(avg(a), 6) AS share FROM (SELECT task, id, min((accuracy > 0.2)::INT) AS a FROM {_ONE} WHERE accuracy IS NOT NULL GROUP BY ALL) GROUP BY task")
@@ -347,8 +340,7 @@ def sort_natural(spark, sf_dir):
 @query(f"SELECT l_returnflag, l_suppkey, CAST(r AS INTEGER) AS place, round(v, 6) AS v FROM (SELECT l_returnflag, l_suppkey, {sql_mean('l_discount')} AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY {sql_mean('l_discount')} DESC, l_suppkey) AS r FROM lineitem GROUP BY l_returnflag, l_suppkey) WHERE r <= 2")
 def topk_best_second(spark, sf_dir):
     means = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(M.mean(F.col("l_discount")).alias("v"))
-    w = Window.partitionBy("l_returnflag").orderBy(F.desc("v"), "l_suppkey")
-    return means.withColumn("place", F.row_number().over(w)).where("place <= 2").select("l_returnflag", "l_suppkey", "place", r6(F.col("v"), "v"))
+    return G.top_rows(means, ["l_returnflag"], [F.desc("v"), F.asc("l_suppkey")], 2).select("l_returnflag", "l_suppkey", "place", r6(F.col("v"), "v"))
 
 
 # --- frame windows and state ------------------------------------------------
@@ -454,27 +446,28 @@ def join_semi_anti(spark, sf_dir):
 def join_lookup_wide(spark, sf_dir):
     """A wide table's column chosen by a value of the other side: unpivot, then an equi-join."""
     wide = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1))).na.fill(0)
-    long = wide.unpivot(["l_suppkey"], ["A", "N", "R"], "flag", "n")
-    s = table(spark, sf_dir, "supplier").withColumn("flag", F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("R"))
-    return s.join(long, (s.s_suppkey == long.l_suppkey) & (s.flag == long.flag)).select("s_suppkey", s.flag, "n")
+    s = table(spark, sf_dir, "supplier")
+    out = G.chosen_column(s, wide, ("s_suppkey", "l_suppkey"), ["A", "N", "R"], F.when(F.col("s_nationkey") % 2 == 1, "R"), "n")
+    return out.where("n IS NOT NULL").select("s_suppkey", F.col("chosen").alias("flag"), "n")
 
 
 @query("SELECT p_partkey FROM part WHERE (p_size BETWEEN 3 AND 17) OR (p_size BETWEEN 19 AND 30)")
 def join_range_overlap(spark, sf_dir):
     """Rows whose range [size, size] meets a requested one of ``3-17,19-30``."""
-    wanted = F.flatten(F.transform(F.split(F.lit("3-17,19-30"), ","), lambda r: F.sequence(F.split(r, "-")[0].cast("int"), F.split(r, "-")[1].cast("int"))))
-    return table(spark, sf_dir, "part").where(F.arrays_overlap(wanted, F.array("p_size"))).select("p_partkey")
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").where(C.range_overlap(size, size, "3-17,30-19")).select("p_partkey")
+
+
+_LOGS = [f"strokerehab_identification_{i}" for i in (1, 2)] + ["strokerehab_ia3_lower", "strokerehab_ia3_upper"]
 
 
 @query(f"""
-    SELECT id, max(CASE WHEN task = 'strokerehab_identification_1' THEN accuracy END) AS a, max(CASE WHEN task = 'strokerehab_identification_2' THEN accuracy END) AS b
-    FROM {_ONE} WHERE id IS NOT NULL AND task IN ('strokerehab_identification_1', 'strokerehab_identification_2') GROUP BY id HAVING count(DISTINCT task) >= 2
+    SELECT doc_id, {", ".join(f"max(CASE WHEN task = '{t}' THEN accuracy END) AS {t}" for t in _LOGS)}
+    FROM (SELECT DISTINCT sample_no, task, doc_id, accuracy FROM sample_log) WHERE doc_id IS NOT NULL AND task IN ({", ".join(f"'{t}'" for t in _LOGS)}) GROUP BY doc_id HAVING count(DISTINCT task) >= 2
 """)
 def join_logs_align(spark, sf_dir):
-    rows = log_rows(spark, sf_dir, "sample_log", "task", "id", "accuracy").where("id IS NOT NULL")
-    first, second = "strokerehab_identification_1", "strokerehab_identification_2"
-    of = lambda t, n: F.max(F.when(F.col("task") == t, F.col("accuracy"))).alias(n)
-    return rows.where(F.col("task").isin(first, second)).groupBy("id").agg(of(first, "a"), of(second, "b"), F.count_distinct("task").alias("n")).where("n >= 2").select("id", "a", "b")
+    """What each of several logs says of a document, where two of them at least do."""
+    return G.aligned_logs(log_rows(spark, sf_dir, "sample_log", "task", "doc_id", "accuracy"), "doc_id", "task", _LOGS, "accuracy")
 
 
 @query("SELECT l_returnflag, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity END) AS F, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) AS O FROM lineitem GROUP BY l_returnflag")
@@ -512,18 +505,12 @@ def set_ops(spark, sf_dir):
 """)
 def results_long(spark, sf_dir):
     """Results as (task, metric, filter, value, stderr), by one aggregate instead of a self-join."""
-    doc = F.from_json("results", "map<string,map<string,string>>")
-    rows = log_rows(spark, sf_dir, "run_log", "results").where(F.try_parse_json("results").isNotNull()).select("run_no", F.explode(doc).alias("task", "fields"))
-    rows = rows.select("run_no", "task", F.explode("fields").alias("field", "text")).where("contains(field, ',')")
-    name, value = F.substring_index("field", ",", 1), F.col("text").try_cast("double")
-    is_se = name.endswith("_stderr")
-    rows = rows.select("run_no", "task", F.regexp_replace(name, "_stderr$", "").alias("metric"), F.expr("substr(field, instr(field, ',') + 1)").alias("filter"), value.alias("v"), is_se.alias("se"))
-    out = rows.groupBy("run_no", "task", "metric", "filter").agg(F.max(F.when(~F.col("se"), F.col("v"))).alias("value"), F.max(F.when(F.col("se"), F.col("v"))).alias("stderr"))
-    return out.where("value IS NOT NULL")
+    return G.results_table(log_rows(spark, sf_dir, "run_log", "results"), "run_no", "results")
 
 
 @query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS choice, conditional, round(x::DOUBLE, 6) AS loss FROM (SELECT vec_id, unnest([1, 2, 3, 4]) AS i, unnest(embedding[1:4]) AS x, true AS conditional FROM embeddings UNION ALL SELECT vec_id, unnest([1, 2, 3, 4]), unnest(embedding[5:8]), false FROM embeddings)")
 def choice_expansion(spark, sf_dir):
     """One request per choice, and its unconditional copy, in one generator."""
-    pair = lambda on, at: F.transform(F.slice("embedding", at, 4), lambda x, i: F.struct(i.alias("choice"), F.lit(on).alias("conditional"), x.cast("double").alias("x")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.concat(pair(True, 1), pair(False, 5)))).select("vec_id", "choice", "conditional", r6(F.col("x"), "loss"))
+    part = lambda at: F.transform(F.slice("embedding", at, 4), lambda x: x.cast("double"))
+    out = G.choice_requests(table(spark, sf_dir, "embeddings"), "vec_id", part(1), part(5))
+    return out.select("vec_id", "choice", "conditional", r6(F.col("text"), "loss"))
\ No newline at end of file

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tracksift.functions import geometry as G
 from tracksift.functions import text as X
+from tracksift.operators import grouped as GR
 from tracksift.operators import sampling as P
 from tracksift.operators import sequences as S
 from tracksift.operators import state as K
 from tracksift.operators import windows as W
-from tracksift.plans.catalog import query, sql_draw
+from tracksift.plans.catalog import half_up, query, sql_draw
 from tracksift.plans.catalog_sequences import EV, events
 from tracksift.session import shared_dir
 from tracksift.session import materialize
@@ -221,12 +222,9 @@ def pose_moved(spark, sf_dir):
     SELECT n_nationkey, CAST(sum((n IS NULL)::INT) AS BIGINT) AS missing, CAST(coalesce(sum((n > 1)::INT), 0) AS BIGINT) AS repeated FROM g LEFT JOIN c ON n_nationkey = c_nationkey AND seg = c_mktsegment GROUP BY n_nationkey
 """)
 def completeness_audit(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    segs = F.broadcast(c.select(F.col("c_mktsegment").alias("seg")).distinct())  # the few categories
-    grid = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(segs)
-    have = c.where("c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
-    return grid.join(have, ["n_nationkey", "seg"], "left").groupBy("n_nationkey").agg(
-        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("seg"), "c_acctbal")
+    out = GR.audit(table(spark, sf_dir, "nation").select("n_nationkey"), c.select("seg"), c.where("c_acctbal > 8000"), ["n_nationkey"], ["seg"])
+    return out.select("n_nationkey", "missing", "repeated")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) = 4")
@@ -241,28 +239,25 @@ def complete_groups(spark, sf_dir):
 def majority_arm(spark, sf_dir):
     rows = log_rows(spark, sf_dir, "label_track", "patient", "MarkerNames").where("patient IS NOT NULL AND MarkerNames IS NOT NULL")
     low = F.lower("MarkerNames")
-    return rows.groupBy("patient").agg(F.count_if(low.startswith("l")).alias("n_left"), F.count_if(low.startswith("r")).alias("n_right")).withColumn(
-        "arm", F.when(F.col("n_right") > F.col("n_left"), "right").otherwise("left"))
+    return GR.majority_side(rows, ["patient"], low.startswith("l"), low.startswith("r"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 6) AS share FROM lineitem GROUP BY ALL")
 def regime_share(spark, sf_dir):
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"))
-    return sums.select("l_returnflag", "l_linestatus", F.round(F.col("q") / F.sum("q").over(Window.partitionBy()), 6).alias("share"))
+    sums = GR.share_of_all(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_quantity"))
+    return sums.select("l_returnflag", "l_linestatus", half_up(F.col("share")).alias("share"))
 
 
 @query("SELECT o_orderstatus, CASE WHEN count(DISTINCT o_totalprice > 100000) = 1 THEN bool_and(o_totalprice > 100000) END AS agreed, count(*) AS original, least(count(*), 1000) AS effective FROM orders GROUP BY o_orderstatus")
 def flag_consensus(spark, sf_dir):
     flag = F.col("o_totalprice") > 100000
-    agreed = F.when(F.bool_and(flag) == F.bool_or(flag), F.bool_and(flag))
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(agreed.alias("agreed"), F.count("*").alias("original"), F.least(F.count("*"), F.lit(1000)).alias("effective"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(GR.consensus(flag).alias("agreed"), *GR.sample_sizes(1000))
 
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) - 1) // 64 AS BIGINT) AS batch FROM orders")
 def group_batches(spark, sf_dir):
     """Batches of 64 within a group, longest first."""
-    w = Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor((F.row_number().over(w) - 1) / 64).alias("batch"))
+    return GR.batched(table(spark, sf_dir, "orders"), ["o_orderstatus"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 64).select("o_orderkey", "batch")
 
 
 @query("""
@@ -271,10 +266,9 @@ def group_batches(spark, sf_dir):
 """)
 def token_windows(spark, sf_dir):
     """Windows of 50 tokens that share 10 with the one before."""
-    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.split("text", " ").alias("w"))
-    last = F.greatest(F.ceil((F.size("w") - 50) / 40.0), F.lit(0)).cast("bigint")
-    at = d.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("win"))
-    return at.select("doc_id", "win", F.array_join(F.slice("w", (F.col("win") * 40 + 1).cast("int"), F.lit(50)), " ").alias("part"))
+    d = table(spark, sf_dir, "documents").where("text <> ''")
+    at = d.select("doc_id", F.posexplode(GR.rolling_windows(F.split("text", " "), 50, 10)).alias("win", "part"))
+    return at.select("doc_id", F.col("win").cast("bigint").alias("win"), F.array_join("part", " ").alias("part"))
 
 
 @query("SELECT l_returnflag, l_linestatus, CASE r WHEN 1 THEN '\\textbf{' || c || '}' WHEN 2 THEN '\\underline{' || c || '}' ELSE c END AS cell FROM (SELECT l_returnflag, l_linestatus, printf('%.2f $\\pm$ %.2f', v, s) AS c, rank() OVER (PARTITION BY l_linestatus ORDER BY v DESC) AS r FROM (SELECT l_returnflag, l_linestatus, avg(l_extendedprice) AS v, stddev_samp(l_extendedprice) / sqrt(count(*)) AS s FROM lineitem GROUP BY ALL))")
@@ -287,13 +281,11 @@ def latex_table(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN -1.0 ELSE c_acctbal END AS bal FROM customer")
 def overrides(spark, sf_dir):
     """Values of a small table put over those of a large one."""
-    c = table(spark, sf_dir, "customer")
-    fixed = c.where("c_custkey % 10 = 0").select("c_custkey", F.lit(-1.0).alias("by_hand"))
-    return c.join(fixed, "c_custkey", "left").select("c_custkey", F.coalesce("by_hand", "c_acctbal").alias("bal"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("bal"))
+    return GR.overridden(c, "c_custkey", c.where("c_custkey % 10 = 0").select("c_custkey", F.lit(-1.0).alias("bal")), "bal")
 
 
 @query("SELECT gt, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (), 6) AS share, n = max(n) OVER () AS majority FROM (SELECT activity AS gt, count(*) AS n FROM fp_metadata WHERE activity IS NOT NULL GROUP BY activity)")
 def majority_baseline(spark, sf_dir):
-    counts = table(spark, sf_dir, "fp_metadata").where("activity IS NOT NULL").groupBy(F.col("activity").alias("gt")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy()
-    return counts.select("gt", "n", F.round(F.col("n") / F.sum("n").over(whole), 6).alias("share"), (F.col("n") == F.max("n").over(whole)).alias("majority"))
+    rows = GR.majority_class(table(spark, sf_dir, "fp_metadata").withColumnRenamed("activity", "gt"), "gt")
+    return rows.select("gt", "n", half_up(F.col("share")).alias("share"), "majority")
\ No newline at end of file
