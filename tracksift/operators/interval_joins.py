@@ -28,15 +28,19 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     return pairs.withColumn("t0", t0).withColumn("t1", t1).where((F.col("t0") < F.col("t1")) & (F.floor(F.col("t0") / bucket) == F.col("_b"))).drop("_b")
 
 
-def asof_join(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, default: str | None = None) -> DataFrame:
+def asof_join(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, default: str | None = None, clamp: bool = False) -> DataFrame:
     """``probes`` (keys, probe_id, at) with the value of the last mark at or
-    before ``at``; before the first mark the default. One union and one sort
+    before ``at``; before the first mark the default, or with ``clamp`` the first
+    mark's value. One union and one sort
     per entity; of several marks of one instant the largest value counts."""
     p = probes.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema[value].dataType).alias("_v"), "probe_id")
     m = marks.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     w = Window.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    out = p.unionByName(m).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select(*keys, "probe_id", F.col("_t").alias(at), F.coalesce("_last", F.lit(default)).alias(value))
+    out = p.unionByName(m).withColumn("_last", F.last("_v", ignorenulls=True).over(w))
+    if clamp:
+        out = out.withColumn("_next", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = out.where("_side = 1")
+    return out.select(*keys, "probe_id", F.col("_t").alias(at), F.coalesce("_last", *(["_next"] if clamp else []), F.lit(default)).alias(value))
 
 
 def substring_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, n: int) -> DataFrame:

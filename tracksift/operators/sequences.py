@@ -7,6 +7,7 @@ operators chained on one key share a single shuffle and sort.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -228,3 +229,51 @@ def simulate(shares: DataFrame, start: str, n_sequences: int, length: int, seed:
 
     schema = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("label", T.StringType())])
     return map_partition(shares.sparkSession.range(n_sequences), run, schema)
+
+
+def marker_intervals(df: DataFrame, keys: list[str], order: list[str], at: str, text: str) -> DataFrame:
+    """(keys, label, t0, duration) of markers by their keywords as they are written
+    (lower case), successive equal ones as one; the last lasts to the entity's last
+    time. Markers without a keyword are passed over."""
+    value = F.col(text)
+    has = lambda *ws: reduce(lambda a, b: a | b, [value.contains(x) for x in ws])
+    label = (F.when(has("reach"), "reach").when(has("reposition", "retract"), "reposition").when(has("transport"), "transport")
+             .when(has("stabilize"), "stabilize").when(has("idle", "rest"), "idle"))
+    last = F.max(at).over(Window.partitionBy(*keys))
+    rows = df.withColumn("_last", last).withColumn("label", label).where("label IS NOT NULL")
+    kept = collapse(rows, keys, order, "label")
+    end = F.coalesce(F.lead(at).over(ordered(keys, order)), F.col("_last"))
+    return kept.select(*keys, "label", F.col(at).alias("t0"), (end - F.col(at)).alias("duration"))
+
+
+def window_flags(windows: DataFrame, segs: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """(keys, window_id, middle, whole, labels): the segments' flag at a window's
+    middle, the flag of the whole window (NULL if it changes) and its different
+    labels in order of their first time; ``segs`` has t0, t1, label and the flag.
+    Windows without a segment have NULLs and no labels."""
+    s = segs.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("t0").alias("_a"), F.col("t1").alias("_b"), F.col("label").alias("_l"), F.col(flag).alias("_f"))
+    on = (F.col("_a") < F.col("t1")) & (F.col("t0") < F.col("_b"))
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_s{i}"))
+    rows = windows.join(s, on, "left")
+    middle = (F.col("t0") + F.col("t1")) / 2.0
+    firsts = rows.groupBy(*keys, "window_id", "_l").agg(F.min("_a").alias("_first"), F.max(F.when((F.col("_a") <= middle) & (middle < F.col("_b")), F.col("_f"))).alias("_mid"), F.min("_f").alias("_low"), F.max("_f").alias("_high"))
+    items = F.array_sort(F.collect_list(F.when(F.col("_l").isNotNull(), F.struct("_first", "_l"))))
+    return firsts.groupBy(*keys, "window_id").agg(
+        F.max("_mid").alias("middle"), F.when(F.min("_low") == F.max("_high"), F.min("_low")).alias("whole"), F.transform(items, lambda x: x["_l"]).alias("labels"))
+
+
+def count_errors(pred: Column, ref: Column, labels: list[str]) -> Column:
+    """struct<errors map<label, n>, mean, n_pred, n_ref>: how far a label's counts in two
+    sequences are apart, per label and on average."""
+    count = lambda seq, l: F.size(F.filter(seq, lambda x: x == l))
+    off = [F.abs(count(pred, l) - count(ref, l)) for l in labels]
+    return F.struct(F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*off)).alias("errors"), (sum(off[1:], off[0]) / len(labels)).alias("mean"),
+                    F.size(pred).alias("n_pred"), F.size(ref).alias("n_ref"))
+
+
+def class_durations(sides: dict[str, DataFrame]) -> DataFrame:
+    """(side, label, n, total, mean): segments' durations per label of each named side (label, t0, t1)."""
+    span = F.col("t1") - F.col("t0")
+    parts = [df.select(F.lit(name).alias("side"), "label", span.alias("_d")) for name, df in sides.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("side", "label").agg(F.count("*").alias("n"), F.sum("_d").alias("total"), (F.sum("_d") / F.count("_d")).alias("mean"))

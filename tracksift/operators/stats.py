@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracksift.functions.arrow import map_partition
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -77,3 +82,38 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     log_p = lambda k: logs(r) + logs(t) + logs(s) + logs(n - s) - logs(n) - logs(k) - logs(r - k) - logs(s - k) - logs(t - s + k)
     own = log_p(a)
     return min(1.0, sum(math.exp(log_p(k)) for k in range(max(0, s - t), min(r, s) + 1) if log_p(k) <= own + 1e-9))
+
+
+def _with_p(df: DataFrame, columns: list[str], p_of: Callable[..., float]) -> DataFrame:
+    """``df`` with ``p`` of the numbers in ``columns``; NULL where one is."""
+    at = [df.columns.index(c) for c in columns]
+    schema = T.StructType(df.schema.fields + [T.StructField("p", T.DoubleType())])
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for r in rows:
+            x = [r[i] for i in at]
+            yield *r, None if None in x else float(p_of(*x))
+
+    return map_partition(df, run, schema)
+
+
+def chi_square_test(cells: DataFrame, row: str, col: str, n: str) -> DataFrame:
+    """One row (chi2, dof, p) of a contingency table in long form."""
+    return _with_p(chi_square(cells, row, col, n), ["chi2", "dof"], chi_square_p)
+
+
+def fisher_tests(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """``df`` with the two-sided exact ``p`` of each row's 2x2 table of counts."""
+    return _with_p(df, [a, b, c, d], fisher_p)
+
+
+def slope_p(slope: Column, error: Column) -> Column:
+    """Two-sided p of a slope by the normal distribution, as for samples of hundreds;
+    the complementary error function in its rational form (error under 1.2e-7)."""
+    z = F.abs(slope / error) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * z)
+    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    power = F.lit(terms[-1])
+    for x in reversed(terms[:-1]):
+        power = power * t + x
+    return t * F.exp(-z * z + power)

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,53 @@ def read_samples(spark: SparkSession, path: str, tolerant: bool = True) -> DataF
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, lines from 1 in each file.
+
+    Lines are numbered within the splits that a file is read in; how many lines the
+    splits before it have is summed from one row per split, so no file has to be
+    read by one task (compressed ones are one split anyway).
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("at", T.LongType()), T.StructField("value", T.StringType())])
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        split, n = None, 0
+        for file, start, value in rows:
+            split, n = ((file, start), 1) if (file, start) != split else (split, n + 1)
+            yield file, start, n, value
+
+    placed = map_partition(lines, count, schema)
+    w = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("file", "start").agg(F.max("at").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return placed.join(sizes.select("file", "start", "before"), ["file", "start"]).select("file", (F.col("at") + F.col("before")).alias("line_no"), "value")
+
+
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_no, fields): JSON lines, blank ones skipped; a broken one fails the
+    read and is named by its file and line."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    broken = F.concat(F.lit("no JSON object in "), "file", F.lit(", line "), F.col("line_no").cast("string"))
+    object_ = F.when(F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")), F.col("value")).otherwise(F.raise_error(broken))
+    return rows.select("file", "line_no", F.from_json(object_, schema).alias("r")).select("file", "line_no", "r.*")
+
+
+def scan_results(spark: SparkSession, path: str, glob: str = "*_results.json") -> DataFrame:
+    """(path, folder, stamp, results, configs): one row per result file below ``path``,
+    whatever folder it lies in; files that aren't a JSON object are skipped."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "results string, configs string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    kept = rows.where("d IS NOT NULL AND d._corrupt IS NULL")
+    folder = F.element_at(F.split(F.regexp_replace("path", "/[^/]*$", ""), "/"), -1)
+    return kept.select("path", folder.alias("folder"), stamp_in(F.col("path")).alias("stamp"), "d.results", "d.configs")
+
+
+def models_with_logs(files: DataFrame, path: str = "path") -> DataFrame:
+    """(model, n_logs): folders that hold a log, by the folder's name."""
+    folder = F.element_at(F.split(F.regexp_replace(path, "/[^/]*$", ""), "/"), -1)
+    return files.groupBy(folder.alias("model")).agg(F.count("*").alias("n_logs"))
+
+
 def json_records(text: str) -> Iterator[str]:
     """The JSON objects of a text, whatever stands between them: lines, one array,
     or objects over several lines. Broken ones are skipped."""
@@ -208,8 +255,6 @@ def with_cached(df: DataFrame, key: str, cache: DataFrame, values: list[str]) ->
 
 def latex_cells(df: DataFrame, group: list[str], value: str, error: str, higher_is_better: bool = True) -> DataFrame:
     """``df`` with ``cell``: value and error as text, the best of its group bold, the second underlined."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy(F.desc_nulls_last(value) if higher_is_better else F.asc_nulls_last(value))
     text = F.format_string("%.2f $\\pm$ %.2f", F.col(value), F.coalesce(F.col(error), F.lit(0.0)))
     rank = F.rank().over(w)
@@ -238,6 +283,19 @@ def normalized_path(path: Column) -> Column:
     return F.lower(F.replace(F.replace(path, F.lit(" "), F.lit("_")), F.lit("__"), F.lit("_")))
 
 
+def chat_messages(system: Column | None, shots: Column, question: Column, multi_turn: bool) -> Column:
+    """array<struct<role, content>> of a few-shot prompt: a system message if there is
+    one, then the examples (array<struct<question, answer>>) as turns, or all in the
+    user's one message."""
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    head = F.array(say("system", system)) if system is not None else F.array().cast("array<struct<role:string,content:string>>")
+    if multi_turn:
+        turns = F.flatten(F.transform(shots, lambda s: F.array(say("user", s["question"]), say("assistant", s["answer"]))))
+        return F.concat(head, turns, F.array(say("user", question)))
+    text = F.array_join(F.concat(F.transform(shots, lambda s: F.concat(s["question"], F.lit(" "), s["answer"])), F.array(question)), "\n\n")
+    return F.concat(head, F.array(say("user", text)))
+
+
 _FIELD = re.compile(r"\{\{\s*(\w+)(?:\s*\|\s*regex_replace\(\s*'([^']*)'\s*,\s*'([^']*)'\s*\))?\s*\}\}")
 
 
