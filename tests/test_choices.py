@@ -20,7 +20,7 @@ from tracksift.operators import stats as Z
 from tracksift.operators import tracks as R
 from tracksift.operators.corpus_scores import cut_words, edit_distance
 from tracksift.operators.interval_joins import asof_join
-from tracksift.operators.ranks import running_total, spread
+from tracksift.operators.ranks import RANGE, ranged, running_total
 from tracksift.plans import task as T
 from tracksift.sources import logs as L
 
@@ -142,11 +142,13 @@ def test_sequence_hash(spark):
 
 
 def test_ranges_of_equal_rows(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(500)] + [(1e12,)], "v double")
-    sizes = [r["count"] for r in df.groupBy(spread(df, "v", 8).alias("b")).count().collect()]
-    assert len(sizes) >= 8 and max(sizes) < 120  # one far value doesn't put the others together
-    placed = running_total(df, [], spread(df, "v", 8), ["v"], F.lit(1), "n").orderBy("v").collect()
+    df = spark.createDataFrame([("hot", float(i)) for i in range(500)] + [("hot", 1e12), ("b", 0.0), (None, 1.0)], "k string, v double")
+    rows = ranged(df, ["k", "v"])
+    sizes = [r["count"] for r in rows.groupBy(RANGE).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200  # neither the hot key nor one far value gathers rows in one range
+    placed = running_total(rows, ["k"], F.col(RANGE), ["v"], F.lit(1), "n").where("k = 'hot'").orderBy("v").collect()
     assert [r.n for r in placed] == list(range(1, 502))
+    assert running_total(ranged(df.where("false"), ["k", "v"]), ["k"], F.col(RANGE), ["v"], F.lit(1), "n").count() == 0
 
 
 def test_groups(spark):

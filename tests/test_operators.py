@@ -212,7 +212,7 @@ def test_quantiles_against_percentile(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([round(rng.gauss(0, 5), 1), 2.0])) for _ in range(500)] + [("c", 7.0), ("d", None), ("hot", float("nan")), ("b", None)]
     df = spark.createDataFrame(rows, "k string, v double").where("k IS NOT NULL")
-    got = {r.k: (r.q0, r.q1, r.q2) for r in M.exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.95], 16).collect()}
+    got = {r.k: (r.q0, r.q1, r.q2) for r in M.exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.95]).collect()}
     want = df.where("NOT isnan(v)").groupBy("k").agg(F.percentile("v", F.array(F.lit(0.0), F.lit(0.5), F.lit(0.95))).alias("x")).where("x IS NOT NULL").collect()
     assert set(got) == {"hot", "b", "c"} and all(got[r.k] == pytest.approx(tuple(r.x)) for r in want)
     assert M.exact_quantiles(df.where("false"), ["k"], "v", [0.5]).count() == 0

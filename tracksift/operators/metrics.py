@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracksift.operators.bootstrap import ROUNDS, bootstrap
-from tracksift.operators.ranks import running_total, spread
+from tracksift.operators.ranks import RANGE, ranged, running_total
 from tracksift.functions.arrow import map_partition
 from tracksift.session import discard, materialize, shuffle_parts
 
@@ -137,7 +137,7 @@ def pooled_stderr(se: Column, n: Column) -> Column:
 
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """(keys, q0, q1, ...): exact quantiles, interpolated between neighbours.
 
     Equal values are counted before anything is sorted, positions come from
@@ -147,8 +147,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     """
     v = F.col(value).cast("double")
     known = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
-    counts = materialize(known, "values")
-    upto = running_total(counts, keys, spread(counts, "_v", buckets), ["_v"], F.col("_c"), "_cum")
+    counts = ranged(known, [*keys, "_v"])
+    upto = running_total(counts, keys, F.col(RANGE), ["_v"], F.col("_c"), "_cum")
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     cols = []
     for i, q in enumerate(shares):
@@ -159,10 +159,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     return upto.join(totals, keys).groupBy(*keys).agg(*cols)
 
 
-def arrival_median(df: DataFrame, keys: list[str], order: str, value: str, buckets: int = 256) -> DataFrame:
+def arrival_median(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, mid): the middle value in order of arrival (a unique number), not of size."""
-    rows = df.select(*keys, order, value)
-    placed = running_total(rows, keys, spread(rows, order, buckets), [order], F.lit(1), "_i")
+    rows = ranged(df.select(*keys, order, value), [*keys, order])
+    placed = running_total(rows, keys, F.col(RANGE), [order], F.lit(1), "_i")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     return placed.join(sizes, keys).where("_i = floor(_n / 2) + 1").select(*keys, F.col(value).alias("mid"))
 

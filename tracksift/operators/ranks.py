@@ -11,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.session import materialize, shuffle_parts
 
-def spread(df: DataFrame, value: str, buckets: int) -> Column:
-    """A bucket that grows with ``value``, for running totals: about equally many
-    rows in each, whatever the values, by approximate quantiles over all rows."""
-    found = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-    edges = sorted(set(found))
-    if not edges:
-        return F.lit(0)
-    # binary search by a tree of comparisons, as deep as the logarithm of the buckets
-    def side(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(value) <= F.lit(edges[mid]), side(lo, mid)).otherwise(side(mid + 1, hi))
-
-    return side(0, len(edges))
+
+#: Column that says which range of its order a row lies in.
+RANGE = "__range"
+
+
+def ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df``, written in ranges of ``by`` of about equally many rows, with the number
+    of a row's range as RANGE: a bucket for ``running_total``.
+
+    Ranges are as many as the session's shuffle partitions and are taken from the
+    rows themselves, so neither a hot key (with its order in ``by``) nor a few far
+    values put more into one than belongs there. Rows equal in ``by`` share one.
+    """
+    parts = shuffle_parts(df.sparkSession)
+    return materialize(df.repartitionByRange(parts, *by).withColumn(RANGE, F.spark_partition_id()), "ranged")
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:

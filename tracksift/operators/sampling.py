@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracksift.operators.ranks import running_total, spread
+from tracksift.operators.ranks import RANGE, ranged, running_total
 
 
-def numbered(df: DataFrame, order: str, out: str = "_n", buckets: int = 256) -> DataFrame:
-    """``df`` with its position (from 1) in a total order of a number, by running
-    counts of ranges of about equally many rows rather than one global window."""
-    return running_total(df, [], spread(df, order, buckets), [order], F.lit(1), out)
+def numbered(df: DataFrame, order: str, out: str = "_n") -> DataFrame:
+    """``df`` with its position (from 1) in a total order, by running counts of
+    ranges of about equally many rows rather than one global window."""
+    return running_total(ranged(df, [order]), [], F.col(RANGE), [order], F.lit(1), out).drop(RANGE)
 
 
 def limit_fraction(df: DataFrame, order: str, limit: float) -> DataFrame:
