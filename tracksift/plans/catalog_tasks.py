@@ -110,8 +110,8 @@ def stream_state_fold(spark, sf_dir):
 
 @query("SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
-    """Daily windows; the batch twin of the streaming plan, with the window's day."""
-    rows = folds.windowed_counts(table(spark, sf_dir, "events"))
+    """Daily windows of a stream over the events' file, the open ones too."""
+    rows = folds.run_to_whole_table(folds.windowed_counts(folds.stream_events(spark, f"{sf_dir}/events.parque[t]")), "counts")
     return rows.select(F.date_from_unix_date(F.floor(F.col("start_ms") / 86_400_000).cast("int")).cast("string").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

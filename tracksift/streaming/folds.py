@@ -26,8 +26,11 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-class MotionState(StatefulProcessor):
-    """Motion starts at a click or purchase and, once on, ends at a view."""
+class FlagState(StatefulProcessor):
+    """A flag per key that kinds of ``starts`` turn on and, once on, kinds of ``ends`` off."""
+
+    def __init__(self, starts: frozenset[str], ends: frozenset[str]):
+        self.starts, self.ends = starts, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.on = handle.getValueState("on", StructType([StructField("on", BooleanType())]))
@@ -37,7 +40,7 @@ class MotionState(StatefulProcessor):
         data = pd.concat(list(rows)).sort_values(["t", "event_id"])
         states = []
         for kind in data["event_type"]:
-            on = kind != "view" if on else kind in ("click", "purchase")
+            on = kind not in self.ends if on else kind in self.starts
             states.append(on)
         self.on.update((on,))
         yield pd.DataFrame({"user_id": [key[0]] * len(data), "event_id": data["event_id"].to_numpy(), "motion": states})
@@ -50,11 +53,15 @@ def stream_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> D
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def motion_stream(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, motion) per event; events of one user must come in order
-    from batch to batch, within a batch they are sorted."""
+def motion_stream(events: DataFrame, starts: tuple[str, ...] = ("click", "purchase"), ends: tuple[str, ...] = ("view",)) -> DataFrame:
+    """(user_id, event_id, motion) per event: motion starts at a kind of ``starts``
+    and, once on, ends at one of ``ends``.
+
+    Events of one user should come in order from batch to batch, within a batch
+    they are sorted; one that comes in a later batch than it should is judged by
+    the state there is by then, and counts from then on."""
     rows = events.select("user_id", "event_id", ntz_ms(F.col("ts")).alias("t"), "event_type")
-    return rows.groupBy("user_id").transformWithStateInPandas(MotionState(), OUT, "Append", "None")
+    return rows.groupBy("user_id").transformWithStateInPandas(FlagState(frozenset(starts), frozenset(ends)), OUT, "Append", "None")
 
 
 def _at(events: DataFrame, late: str) -> DataFrame:
@@ -89,3 +96,21 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     finally:
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_to_whole_table(stream: DataFrame, label: str) -> DataFrame:
+    """Runs an aggregation over what is there and returns its whole result, open
+    windows too: each batch writes the result so far as a table of its own, and the
+    last one counts."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    last: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+        last[:] = [batch]
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}")
