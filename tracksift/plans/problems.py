@@ -77,7 +77,7 @@ def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter steps by the name of the filter that their parent key leads to."""
     tables = _run_tables(spark, sf_dir)
     filters = tables["filter"].select(F.col("row_key").alias("parent_key"), F.col("entry_name").alias("filter_name"), "n_steps")
-    steps = tables["step"].select("parent_key", "run_no", "task", "pos", F.col("entry_name").alias("function"))
+    steps = tables["step"].where("NOT again").select("parent_key", "run_no", "task", "pos", F.col("entry_name").alias("function"))
     joined = steps.join(filters, "parent_key", "left")
     return joined.groupBy("run_no", "task", "filter_name").agg(F.count("*").alias("n_steps"), F.max("n_steps").alias("n_said"))
 
@@ -96,7 +96,47 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_flags, p3_found, p3_scores, p3_steps, p6_found, p6_unified)}
 
+def _unpacked_sql(x: str) -> str:
+    """JSON kept as a text, unpacked."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND trim({x}->>'$')[1:1] IN ('[', '{{') THEN coalesce(TRY_CAST({x}->>'$' AS JSON), {x}) ELSE {x} END"
+
+
+def _entries_sql(source: str, keep: str, value: str, name: str) -> str:
+    """(keep, pos, name, x) of a list in any of its shapes."""
+    return f"""(
+      SELECT {keep}, generate_subscripts(l, 1) - 1 AS pos, unnest(list_transform(l, lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN json_extract_string(e, '$.{name}') WHEN json_type(e) = 'NULL' THEN NULL ELSE e->>'$' END)) AS name, unnest(l) AS x
+      FROM (SELECT {keep}, list_transform(CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]')
+          WHEN json_type(v) = 'OBJECT' AND NOT list_contains(json_keys(v), '{name}') AND len(list_filter(json_keys(v), lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0 THEN list_transform(json_keys(v), lambda k: json_extract(v, '$."' || k || '"'))
+          ELSE [v] END, lambda e: {_unpacked_sql("e")}) AS l
+        FROM (SELECT {keep}, {_unpacked_sql(value)} AS v FROM {source}) WHERE v IS NOT NULL AND json_type(v) <> 'NULL'))"""
+
+
+_TABLES = f"""
+    WITH d AS (SELECT DISTINCT ON (run_no) run_no, TRY_CAST(results AS JSON) AS r, TRY_CAST(configs AS JSON) AS c FROM run_log),
+    t AS (SELECT run_no, unnest(json_keys(r)) AS task, r FROM d WHERE json_type(r) = 'OBJECT'),
+    u AS (SELECT run_no, task, {_unpacked_sql("x")} AS x FROM (SELECT run_no, task, json_extract(r, '$."' || task || '"') AS x FROM t)),
+    c AS (SELECT run_no, unnest(json_keys(c)) AS task, c FROM d WHERE json_type(c) = 'OBJECT'),
+    b AS (SELECT run_no, task, {_unpacked_sql("x")} AS x FROM (SELECT run_no, task, json_extract(c, '$."' || task || '"') AS x FROM c)),
+    o AS (SELECT run_no, task, x, {_unpacked_sql("json_extract(x, '$.task')")} AS s FROM b WHERE json_type(x) = 'OBJECT'),
+    g AS (SELECT run_no, task, s FROM o WHERE json_type(s) IN ('ARRAY', 'OBJECT') OR (json_type(s) = 'VARCHAR' AND list_contains(json_keys(x), 'group'))),
+    s AS (SELECT * FROM {_entries_sql("g", "run_no, task", "s", "task")} WHERE name IS NOT NULL),
+    k AS (SELECT run_no, task, x FROM o UNION ALL SELECT run_no, name, x FROM s WHERE json_type(x) = 'OBJECT'),
+    m AS (SELECT * FROM {_entries_sql("(SELECT run_no, task, json_extract(x, '$.metric_list') AS y FROM k)", "run_no, task", "y", "metric")} WHERE name IS NOT NULL),
+    f AS (SELECT * FROM {_entries_sql("(SELECT run_no, task, json_extract(x, '$.filter_list') AS y FROM k)", "run_no, task", "y", "name")} WHERE name IS NOT NULL),
+    p AS (SELECT * FROM {_entries_sql("(SELECT run_no, task, pos AS parent, json_extract(x, '$.filter') AS y FROM f WHERE json_type(x) = 'OBJECT')", "run_no, task, parent", "y", "function")} WHERE name IS NOT NULL)
+"""
+
+
 ORACLES = {
+    "p3_steps": _TABLES + """
+    SELECT p.run_no, p.task, n.name AS filter_name, count(*) AS n_steps, CAST(max(n) AS BIGINT) AS n_said FROM (SELECT DISTINCT run_no, task, parent, pos, name FROM p) p
+    JOIN (SELECT run_no, task, parent, any_value(f.name) AS name, count(DISTINCT p.pos) AS n FROM p JOIN f USING (run_no, task) WHERE f.pos = parent GROUP BY run_no, task, parent) n USING (run_no, task, parent) GROUP BY p.run_no, p.task, n.name
+    """,
+    "p3_found": _TABLES + """
+    SELECT run_no, task, 'score' AS kind, -1::BIGINT AS parent_pos, -1::BIGINT AS pos, unnest(json_keys(x)) AS entry_name FROM u WHERE json_type(x) = 'OBJECT'
+    UNION SELECT run_no, task, 'subtask', -1, pos, name FROM s UNION SELECT run_no, task, 'metric', -1, pos, name FROM m
+    UNION SELECT run_no, task, 'filter', -1, pos, name FROM f UNION SELECT run_no, task, 'step', parent, pos, name FROM p
+    """,
     "p3_scores": r"""
     WITH d AS (SELECT DISTINCT ON (run_no) run_no, TRY_CAST(results AS JSON) AS j FROM run_log),
     t AS (SELECT run_no, unnest(json_keys(j)) AS task, j FROM d WHERE json_type(j) = 'OBJECT'),
