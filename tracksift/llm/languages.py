@@ -164,9 +164,12 @@ def train_languages(df: DataFrame, text: str, lang: Column, sample_rows: int = S
     NULL or empty texts and rows without a language aren't used; an empty table
     gives a model without languages, which tells none.
     """
-    rows = df.select(lang.alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang IS NOT NULL AND text <> ''").dropDuplicates(["lang", "h"])
+    rows = df.select(lang.alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang IS NOT NULL AND text <> ''")
+    # the sample is found by hashes alone, so texts aren't shuffled; copies of a text count once
     w = Window.partitionBy("lang").orderBy("h")
-    sample = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample_rows)
+    taken = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample_rows).select("lang", "h")
+    # at most sample_rows for each name of two or three letters
+    sample = rows.join(F.broadcast(taken), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("part", T.StringType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
 
     def count(batch: Iterator[tuple]) -> Iterator[tuple]:
