@@ -27,7 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if base:
-        return f"{base.rstrip('/')}/{app}"
+        folder = f"{base.rstrip('/')}/{app}"
+        if app not in _LOCAL:
+            # the application's tables go with it
+            _LOCAL[app] = folder
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(where)
+            fs.deleteOnExit(where)
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if app not in _LOCAL:
