@@ -105,6 +105,31 @@ def strip_punctuation() -> Step:
     return lambda r: F.transform(r, lambda x: F.regexp_replace(x, r"\p{P}", ""))
 
 
+@register_filter("ignore")
+def ignore(case: bool = False, punctuation: bool = False, patterns: list[str] | None = None) -> Step:
+    """Responses without what is to be ignored: patterns first, then case, then punctuation of any script."""
+    def clean(x: Column) -> Column:
+        for p in patterns or []:
+            x = F.regexp_replace(x, p, "")
+        x = F.lower(x) if case else x
+        return F.regexp_replace(x, r"\p{P}", "") if punctuation else x
+
+    return lambda r: F.transform(r, clean)
+
+
+def simple_choice(responses: Column, question: Column) -> Column:
+    """The first response as a choice's letter: the choices are the question's lines
+    ``A. text``, lettered in their order; the one found earliest in the response
+    without its marks counts, else that response is given. NULL without responses."""
+    texts = F.transform(F.regexp_extract_all(question, F.lit(r"\b([A-Z])\.\s+([^\n]*)"), F.lit(2)), lambda x: F.trim(x))
+    said = F.trim(F.regexp_replace(F.get(responses, 0), r"(?U)[^\w\s]", ""))
+    hits = F.filter(F.transform(texts, lambda x, i: F.struct(F.when(x != "", F.instr(said, x)).otherwise(0).alias("at"), i.alias("i"), x.alias("x"))), lambda h: h["at"] > 0)
+    first = F.array_min(hits)
+    # of choices with one text the last one's letter stands
+    place = F.array_max(F.transform(F.filter(hits, lambda h: h["x"] == first["x"]), lambda h: h["i"]))
+    return F.when(F.size(hits) > 0, F.char(F.lit(65) + place)).otherwise(said)
+
+
 def pipeline(steps: list[tuple[str, dict[str, Any]]]) -> Step:
     made = [FILTERS[name](**kwargs) for name, kwargs in steps]
 

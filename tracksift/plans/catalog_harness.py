@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracksift.operators import metrics as M
+from tracksift.operators import responses as R
 from tracksift.operators import scoring as Q
 from tracksift.operators import state as K
 from tracksift.plans import task as T
@@ -161,3 +162,37 @@ def baseline_ones(spark, sf_dir):
 def default_metrics(spark, sf_dir):
     names = sorted({m for ms in Q.DEFAULT_METRICS.values() for m in ms})
     return spark.createDataFrame([(n,) for n in names], "metric string")
+
+
+T.declare({"task": "declared_twice", "include": "declared_default", "repeats": 2, "doc_to_text": "{{ fm_video | replace('_', ' ') | upper }}?{{ question_type | capitalize }}"})
+T.register(T.GROUPS, "declared_group")(["declared_kind", "declared_twice"])
+
+
+@query("SELECT CAST(qid AS BIGINT) AS doc_id, CAST(r AS INTEGER) AS repeat, upper(replace(fm_video, '_', ' ')) || '?' || upper(question_type[1:1]) || lower(question_type[2:]) AS prompt FROM fm_item_questions, range(2) t(r)")
+def task_repeats(spark, sf_dir):
+    """Requests made twice each, from a template with piped fields."""
+    return T.requests(T.TASKS["declared_twice"], spark, sf_dir).select("doc_id", "repeat", "prompt")
+
+
+@query("SELECT * FROM (VALUES ('group', 'declared_group', 2, 'declared_group'), ('task', 'declared_kind', 1, '  declared_kind'), ('task', 'declared_twice', 1, '  declared_twice')) t(kind, name, members, shown)")
+def task_listing(spark, sf_dir):
+    return T.listing(spark, "declared_group")
+
+
+@query("""
+    SELECT qid, CASE qid % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'none of these' ELSE 'B' END AS choice FROM fm_item_questions
+""")
+def filter_simple_choice(spark, sf_dir):
+    """The choice whose text stands first in the answer; the answer itself if none does."""
+    q = F.col("qid") % 4
+    answer = F.when(q == 0, "It's the BLUE cup, not red.").when(q == 1, "red cup").when(q == 2, "none of these!").otherwise("(blue cup) or red cup")
+    question = F.lit("Which?\nA. red cup\nB. blue cup\nC. green.cup")
+    lowered = F.when(q == 0, "Its the blue cup").otherwise(answer)
+    return table(spark, sf_dir, "fm_item_questions").select("qid", R.simple_choice(F.array(lowered), question).alias("choice"))
+
+
+@query("SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[0-9]+', '', 'g')), '[[:punct:]]', '', 'g') AS kept FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n]|[$+<=>^`|~]', '', 'g') AS text FROM documents WHERE text IS NOT NULL)")
+def filter_ignore(spark, sf_dir):
+    """Patterns, case and punctuation left out of answers (of plain characters, which both engines class alike)."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"[^ -~\n]|[$+<=>^`|~]", "").alias("t"))
+    return docs.select("doc_id", F.get(R.ignore(True, True, ["[0-9]+"])(F.array("t")), 0).alias("kept"))

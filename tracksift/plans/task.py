@@ -312,3 +312,14 @@ def hierarchy(root: str, depth: int = 0) -> list[tuple[int, str]]:
     for child in matching(GROUPS.get(root, []), [*TASKS, *GROUPS]):
         out += hierarchy(child, depth + 1)
     return out
+
+
+def listing(spark: SparkSession, root: str | None = None) -> DataFrame:
+    """(kind, name, members, shown): registered groups, tags and tasks with how many
+    tasks they stand for, names indented by their depth below ``root`` if it is given."""
+    if root is not None:
+        rows = [("group" if n in GROUPS else "task", n, len(resolve([n])), "  " * d + n) for d, n in hierarchy(root)]
+    else:
+        named = [("group", GROUPS), ("tag", TAGS), ("task", TASKS)]
+        rows = [(kind, n, len(resolve([n])), n) for kind, names in named for n in sorted(names)]
+    return spark.createDataFrame(rows, "kind string, name string, members int, shown string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -296,18 +296,30 @@ def chat_messages(system: Column | None, shots: Column, question: Column, multi_
     return F.concat(head, F.array(say("user", text)))
 
 
-_FIELD = re.compile(r"\{\{\s*(\w+)(?:\s*\|\s*regex_replace\(\s*'([^']*)'\s*,\s*'([^']*)'\s*\))?\s*\}\}")
+_FIELD = re.compile(r"\{\{\s*(\w+)((?:\s*\|\s*\w+(?:\(\s*(?:'[^']*'\s*,?\s*)*\))?)*)\s*\}\}")
+_PIPE = re.compile(r"\|\s*(\w+)(?:\(((?:\s*'[^']*'\s*,?)*)\s*\))?")
+#: What a template's field may be piped through; each takes the value and texts.
+TEMPLATE_FILTERS: dict[str, Callable[..., Column]] = {
+    "regex_replace": lambda x, a, b="": F.regexp_replace(x, a, b), "replace": lambda x, a, b: F.replace(x, F.lit(a), F.lit(b)),
+    "lower": F.lower, "upper": F.upper, "trim": F.trim, "capitalize": lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000_000_000))),
+    "title": F.initcap, "default": lambda x, a: F.when(x == "", a).otherwise(x), "length": lambda x: F.length(x).cast("string"),
+}
 
 
 def template(text: str) -> Column:
-    """A ``{{ field }}`` template as one concatenation; a field may be piped through
-    ``regex_replace('a', 'b')``. An unknown field fails when the plan is analysed."""
+    """A ``{{ field }}`` template as one concatenation; a field may be piped through any
+    of TEMPLATE_FILTERS, one after the other (``{{ f | trim | replace('a', 'b') }}``). A
+    NULL field is empty; an unknown one fails when the plan is analysed, an unknown filter at once."""
     parts, at = [], 0
     for m in _FIELD.finditer(text):
         if m.start() > at:
             parts.append(F.lit(text[at : m.start()]))
-        field = F.coalesce(F.col(m[1]).cast("string"), F.lit(""))
-        parts.append(F.regexp_replace(field, m[2], m[3]) if m[2] is not None else field)
+        value = F.coalesce(F.col(m[1]).cast("string"), F.lit(""))
+        for name, args in _PIPE.findall(m[2]):
+            if name not in TEMPLATE_FILTERS:
+                raise ValueError(f"no template filter {name}")
+            value = TEMPLATE_FILTERS[name](value, *re.findall(r"'([^']*)'", args))
+        parts.append(value)
         at = m.end()
     parts.append(F.lit(text[at:]))
     return F.concat(*parts)
