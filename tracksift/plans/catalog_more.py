@@ -23,8 +23,6 @@ from tracksift.sources.tables import log_rows, table
 
 
 def _path(spark, label: str) -> str:
-
-
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -39,20 +37,21 @@ def io_csv(spark, sf_dir):
     return L.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double", sep=";")
 
 
-@query("SELECT doc_id, any_value(target) AS target, len(any_value(filtered_resps)) AS n FROM (SELECT DISTINCT ON (sample_no) * FROM sample_log WHERE task = 'strokerehab_primitives_1') GROUP BY doc_id, sample_no")
+@query("SELECT doc_id, target, CAST(len(filtered_resps) AS BIGINT) AS n, CAST(cardinality(arguments) AS BIGINT) AS n_args, prompt_hash FROM (SELECT DISTINCT ON (sample_no) * FROM sample_log)")
 def io_jsonl(spark, sf_dir):
-    """Sample logs as JSON lines, with a broken line put among them and skipped."""
+    """All sample logs as JSON lines, with a broken line put among them and skipped."""
     path = _path(spark, "jsonl")
-    rows = log_rows(spark, sf_dir, "sample_log", "task", "doc_id", "target", "filtered_resps").where("task = 'strokerehab_primitives_1'")
-    lines = rows.select(F.to_json(F.struct("doc_id", "target", "filtered_resps")).alias("value"))
+    rows = log_rows(spark, sf_dir, "sample_log", "doc_id", "target", "filtered_resps", "arguments", "prompt_hash")
+    lines = rows.select(F.to_json(F.struct("doc_id", "target", "filtered_resps", "arguments", "prompt_hash")).alias("value"))
     lines.unionByName(spark.range(1).select(F.lit('{"doc_id": 1, "target').alias("value"))).write.text(path)
     read = L.read_samples(spark, path).where("_corrupt_record IS NULL")
-    return read.select("doc_id", "target", F.when(F.col("filtered_resps").isNotNull(), F.size("filtered_resps")).cast("bigint").alias("n"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+    return read.select("doc_id", "target", size("filtered_resps").alias("n"), size("arguments").alias("n_args"), "prompt_hash")
 
 
 @query()
 def io_jsonl_whole(spark, sf_dir):
-    """The round trip of all samples, nested and NULL fields included; ``io_jsonl``'s SQL takes one task."""
+    """The round trip of all samples, nested and NULL fields included."""
     path = _path(spark, "jsonl")
     cols = ["doc_id", "target", "arguments", "resps", "filtered_resps"]
     lines = log_rows(spark, sf_dir, "sample_log", *cols).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))

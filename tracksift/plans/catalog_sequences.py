@@ -291,7 +291,7 @@ def frame_confusion(spark, sf_dir):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("gt")), 6))
 
 
-@query("SELECT rec_no, k FROM fp_metadata, (SELECT DISTINCT lower(trim(activity)) AS k FROM fp_metadata WHERE activity IS NOT NULL) WHERE length(k) >= 3 AND contains(lower(path_v), k)")
+@query("SELECT rec_no, k FROM fp_metadata, (SELECT DISTINCT lower(trim(activity)) AS k FROM fp_metadata WHERE activity IS NOT NULL) WHERE contains(lower(path_v), k)")
 def join_substring(spark, sf_dir):
     meta = table(spark, sf_dir, "fp_metadata")
     needles = meta.select(F.lower(F.trim("activity")).alias("k")).where("k IS NOT NULL").distinct()
