@@ -260,3 +260,21 @@ def test_declarations(tmp_path):
     pytest.importorskip("yaml")
     (task,) = T.read_declarations(str(tmp_path / "t.yaml"))
     assert task.metrics == (("exact_match", "mean"),) and task.load(None, "") is None
+
+
+def test_tracks_stream_as_one_tracker_per_video_gives_them(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, f, b, float(rng.randint(0, 12)), 0.0) for k in "ab" for f in rng.sample(range(60), 25) for b in range(rng.randint(1, 3))]
+    df = spark.createDataFrame([(*r, r[3] + 5, 4.0) for r in rows], "id string, frame int, box int, x1 double, y1 double, x2 double, y2 double")
+    want = set()
+    for k in "ab":
+        tracker, last = K.Tracker(0.3, 4), None
+        for frame in sorted({r[1] for r in rows if r[0] == k}):
+            for _ in range(frame - last - 1 if last is not None else 0):
+                tracker.frame([])
+            boxes = sorted(r for r in rows if r[0] == k and r[1] == frame)
+            want |= {(k, frame, r[2], t) for r, t in zip(boxes, tracker.frame([(r[3], 0.0, r[3] + 5, 4.0) for r in boxes]))}
+            last = frame
+    assert {tuple(r) for r in K.track_boxes(df, "id", 0.3, 4).collect()} == want
