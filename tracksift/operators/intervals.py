@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.session import materialize
+
 CELL_MS = 600_000
 
 
@@ -72,7 +74,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, cell_
     first, last = cell(F.col("_s")), cell(F.col("_e") - 1)
     pieces = iv.select(*k, "_s", "_e", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))).alias("_c"))
     # first cell covered whole by an interval, and first one after those
-    whole = iv.where(last - first > 1).select(*k, (first + 1).alias("_from"), last.alias("_upto"))
+    whole = materialize(iv.where(last - first > 1).select(*k, (first + 1).alias("_from"), last.alias("_upto")), "whole")
     lo, hi = F.col("_c") * cell_ms, (F.col("_c") + 1) * cell_ms
     events = pieces.select(
         *k, "_c", F.inline(_deltas(F.greatest(F.col("_s"), lo), F.least(F.col("_e"), hi)))
