@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tracksift.plans import catalog, catalog_choices, catalog_frames, catalog_harness, catalog_metrics, catalog_more, catalog_sequences, catalog_tasks, catalog_text, problems  # noqa: F401
+from tracksift.plans import catalog, catalog_choices, catalog_files, catalog_frames, catalog_harness, catalog_metrics, catalog_more, catalog_sequences, catalog_tasks, catalog_text, problems  # noqa: F401
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 ORACLES = catalog.ORACLES | problems.ORACLES
