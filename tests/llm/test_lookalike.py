@@ -72,3 +72,13 @@ def test_pairs_and_classes(spark):
     got = {r.doc_id: tuple(r)[1:] for r in lookalike_classes(df, "doc_id", "text").collect()}
     assert got[2] == (1, 2, 4, 3) and got[4] == (1, 1, 4, 3) and got[5] == (5, 5, 1, 1) and got[399] == (100, 100, 300, 1)
     assert len(got) == 305 and lookalike_pairs(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_a_form_of_many_texts_is_met_in_blocks(spark):
+    texts = ["".join(c if i >> k & 1 else "\u200b" + c for k, c in enumerate("same1")) for i in range(32)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (101, "other"), (102, "\u043ether")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y and (a < 101) == (b < 101)}
+    for block in (2000, 5, 1):
+        got = [tuple(r) for r in lookalike_pairs(df, "doc_id", "text", block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

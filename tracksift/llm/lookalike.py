@@ -52,6 +52,8 @@ _LINE = re.compile("\r\n?|[\u000b\u000c\u0085\u2028\u2029]")
 _HYPHEN = str.maketrans({"\u2010": "-", "\u2011": "-", "\ufe63": "-"})
 _TOKEN = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _FOLDED = {"<wide>", "<narrow>", "<noBreak>"}
+#: Different texts of one form that are met with each other at once.
+BLOCK = 2_000
 #: Tokens whose spelling a task keeps at hand.
 KEPT_TOKENS = 200_000
 
@@ -310,20 +312,24 @@ def form_digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return map_partition(df.select(key, text), run, schema)
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+def lookalike_pairs(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id_a, doc_id_b), smaller first: documents whose texts differ
     in characters and have the same form.
 
     Keys are unique integers; rows with a NULL key, or NULL, empty or invisible
     texts are left out. Forms meet as distinct texts first, where a hot group
-    of plain copies is one row; only pairs of different texts are joined with
-    their documents, so no pair is made that isn't in the result.
+    of plain copies is one row; a form of very many texts is cut into blocks of
+    about ``block``, of which two meet in a task; only pairs of different texts are
+    joined with their documents, so no pair is made that isn't in the result.
     """
     docs = materialize(form_digests(df.where(F.col(key).isNotNull()), key, text), "forms")
     texts = docs.select("form_hash", "text_hash").distinct()
-    a = texts.select("form_hash", F.col("text_hash").alias("text_a"))
-    b = texts.select("form_hash", F.col("text_hash").alias("text_b"))
-    meet = a.join(b, "form_hash").where("text_a < text_b").select("text_a", "text_b")
+    sizes = texts.groupBy("form_hash").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"), F.count("*").alias("_texts")).where("_texts > 1")
+    placed = texts.join(sizes, "form_hash").select("form_hash", "text_hash", "_n", F.pmod(F.xxhash64("text_hash"), F.col("_n")).cast("int").alias("_at"))
+    a = placed.select("form_hash", F.col("text_hash").alias("text_a"), F.col("_at").alias("_i"), F.explode(F.sequence(F.col("_at"), F.col("_n") - 1)).alias("_j"))
+    b = placed.select("form_hash", F.col("text_hash").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_i"), F.col("_at").alias("_j"))
+    # within a block each pair is met in both orders, between two blocks in one
+    meet = a.join(b, ["form_hash", "_i", "_j"]).where("_i < _j OR text_a < text_b").select("text_a", "text_b")
     left = docs.select(F.col("text_hash").alias("text_a"), F.col(key).alias("_a"))
     right = docs.select(F.col("text_hash").alias("text_b"), F.col(key).alias("_b"))
     pairs = meet.join(left, "text_a").join(right, "text_b")
