@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracksift.functions import text as X
 from tracksift.operators import sampling as P
+from tracksift.plans import problems
 from tracksift.plans.catalog import query
 from tracksift.session import new_path
 from tracksift.sources import logs as L
@@ -99,3 +100,10 @@ def final_answer_allowed(spark, sf_dir):
     """Answers outside the vocabulary are none."""
     rows = log_rows(spark, sf_dir, "sample_log", "filtered_resps").withColumn("text", F.array_join("filtered_resps", "\n"))
     return rows.select("sample_no", X.final_answer(F.col("text"), ["drinking", "feeding", "shelf"]).alias("answer"))
+
+
+@query(f"SELECT sample_no, pos, CAST(item_value AS INTEGER) AS qid, question_type, sampling FROM ({problems.ORACLES['p2_found']}) v LEFT JOIN fm_item_questions q ON q.qid = CAST(item_value AS INTEGER) WHERE field_name = 'qids'")
+def join_question_metadata(spark, sf_dir):
+    """Every question asked, with what is known of it; unknown ids keep NULLs."""
+    asked = problems.p2_found(spark, sf_dir).where("field_name = 'qids'").select("sample_no", "pos", F.col("item_value").cast("int").alias("qid"))
+    return asked.join(table(spark, sf_dir, "fm_item_questions").select("qid", "question_type", "sampling"), "qid", "left").select("sample_no", "pos", "qid", "question_type", "sampling")
