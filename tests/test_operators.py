@@ -281,6 +281,17 @@ def test_substring_join_of_short_needles(spark):
     assert got == sorted((a, b) for a in texts for b in needles if a is not None and b is not None and b in a)
 
 
+@pytest.mark.parametrize(("many", "joins"), [(300, "BroadcastHashJoin"), (60_000, "SortMergeJoin")])
+def test_substring_join_never_broadcasts_the_grams(spark, many, joins):
+    """Sizes are known here, and the texts are the smaller table before their grams are listed."""
+    t = spark.range(200).select(F.concat(F.lit("item number "), F.col("id").cast("string"), F.lit(" of the list")).alias("t"))
+    n = spark.range(many).select(F.concat(F.lit("number "), F.col("id").cast("string"), F.lit(" ")).alias("n"))
+    out = substring_join(t, "t", n, "n", 3)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert joins in plan and "BuildLeft" not in plan
+    assert sorted(r.t for r in out.collect()) == sorted(r.t for r in t.collect())
+
+
 def test_corpus_scores_of_empty_answers(spark):
     df = spark.createDataFrame([("g", "", "a b")], "k string, h string, r string")
     row = corpus_scores(df, ["k"], "h", "r").first()

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracksift.session import materialize
+
+#: Bytes of needles that are broadcast, and of a row besides its values.
+FEW_NEEDLES, ROW_BYTES = 4_000_000, 100
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int, label: str = "label") -> DataFrame:
     """Pairs with max(t0) < min(t1): (keys, a_t0, a_t1, a_label, b_t0, b_t1, b_label, t0, t1).
@@ -47,7 +52,12 @@ def substring_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
     """Pairs where ``needle`` is contained in ``text``, joined on the needle's first
     ``n`` characters among the text's n-grams (each once per text) and then
     checked. Shorter needles are joined on the text's shorter grams, the empty one
-    with every text."""
+    with every text.
+
+    Spark takes an exploded side for as small as it was before, so which side is
+    broadcast isn't left to it: the needles are written once and measured; up to
+    FEW_NEEDLES bytes they are broadcast and no text is shuffled, more are joined by a
+    merge. The texts' grams are never broadcast."""
     size = F.length(text)
 
     def pieces(k: int) -> Column:
@@ -56,4 +66,6 @@ def substring_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
 
     every = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(k) for k in range(1, n + 1)]))
     grams = texts.where(F.col(text).isNotNull()).withColumn("_g", F.explode(every))
-    return grams.join(needles.withColumn("_g", F.substring(needle, 1, n)), "_g").where(F.contains(F.col(text), F.col(needle))).drop("_g")
+    known = materialize(needles.where(F.col(needle).isNotNull()).withColumn("_g", F.substring(needle, 1, n)), "needles")
+    few = (known.agg(F.sum(ROW_BYTES + F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= FEW_NEEDLES
+    return grams.join(known.hint("broadcast" if few else "merge"), "_g").where(F.contains(F.col(text), F.col(needle))).drop("_g")
