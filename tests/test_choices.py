@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,18 @@ def test_rollups_of_any_depth(spark):
     assert {r.group: r.value for r in M.rollup_groups(scores, edges, weighted=False).collect()}["g0"] == 0.5
 
 
+def test_rollups_dont_depend_on_the_order_of_leaves(spark):
+    """The whole's value is 2995.11 / 60000, midway between two values of six places."""
+    cents = [2950 + i % 90 for i in range(99)]
+    leaves = [(f"s{i}", c / 100, 541 + i) for i, c in enumerate(cents)]
+    leaves.append(("s99", (299_511 - sum(cents)) / 100, 60_000 - sum(n for _, _, n in leaves)))
+    edges = spark.createDataFrame([("all", s) for s, _, _ in leaves], "parent string, node string")
+    orders = [random.Random(seed).sample(leaves, len(leaves)) for seed in range(8)]
+    rows = [(s, f"m{k}", v / n, 0.1, n) for k, order in enumerate(orders) for s, v, n in order]
+    scores = spark.createDataFrame(rows, "node string, metric string, value double, stderr double, n int").coalesce(1)
+    assert {r.value for r in M.rollup_groups(scores, edges).collect()} == {2995.11 / 60_000}
+
+
 def test_sequence_hash(spark):
     import hashlib
 

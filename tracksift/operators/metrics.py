@@ -33,15 +33,21 @@ def register_aggregation(name: str):
     return add
 
 
-@register_aggregation("mean")
-def mean(v: Column) -> Column:
-    """The mean over the rows with a value, the same in whatever order they come:
-    values are added as decimals of twelve places and divided once. Where a
-    value is too large or too small for that, or not finite, it is ``avg``."""
+def total(v: Column) -> Column:
+    """Aggregate: the sum, the same in whatever order the rows come: values are
+    added as decimals of twelve places. Where a value is too large or too small
+    for that, or not finite, it is the sum of doubles."""
     d = v.cast("double")
     exact = d.try_cast("decimal(28,12)")
     fits = F.count_if(exact.isNotNull() & ((d == 0) | (F.abs(d) >= 1e-6))) == F.count(d)
-    return F.when(fits, F.try_divide(F.sum(exact).cast("double"), F.count(d))).otherwise(F.avg(d))
+    return F.when(fits, F.sum(exact).cast("double")).otherwise(F.sum(d))
+
+
+@register_aggregation("mean")
+def mean(v: Column) -> Column:
+    """The mean over the rows with a value, the same in whatever order they come:
+    their ``total`` is divided once."""
+    return F.try_divide(total(v), F.count(v))
 
 
 @register_aggregation("median")
@@ -283,7 +289,9 @@ def rollup_groups(scores: DataFrame, edges: DataFrame, weighted: bool = True) ->
     leaves rolled up over a tree of (parent, node) edges, by closure: a leaf
     counts once in each ancestor. The closure doubles its reach per round until
     nothing new is found, so any depth takes its logarithm in rounds, and a
-    circle of groups ends. Edge tables are task trees, small beside the scores."""
+    circle of groups ends. Edge tables are task trees, small beside the scores.
+    Values are added by ``total``, so one that lies midway between two rounded ones
+    doesn't depend on the order of the leaves."""
     closure = materialize(edges.select(F.col("parent").alias("group"), "node").where("group IS NOT NULL AND node IS NOT NULL").distinct(), "closure")
     n = closure.count()
     while n:
@@ -295,7 +303,7 @@ def rollup_groups(scores: DataFrame, edges: DataFrame, weighted: bool = True) ->
         if n == before:
             break
     joined = scores.join(closure, "node")
-    value = (F.sum(F.col("value") * F.col("n")) / F.sum("n")) if weighted else F.avg("value")
+    value = (total(F.col("value") * F.col("n")) / F.sum("n")) if weighted else mean(F.col("value"))
     return joined.groupBy("group", "metric").agg(value.alias("value"), pooled_stderr(F.col("stderr"), F.col("n")).alias("stderr"), F.sum("n").alias("n"))
 
 
